@@ -8,8 +8,10 @@ one record on each side of the boundary.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -19,65 +21,71 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Words that one Python worker remembers with their ids, in each of two generations.
-CACHE_WORDS = 150_000
-#: Stands alone between words that are tokenised in one call; words that hold it are tokenised one by one.
-MARK = "☃"
+#: Words that one Python worker remembers with their ids, in each of two generations; so many pieces of words too.
+CACHE_WORDS = 250_000
+#: Words of printable ASCII and the accented letters of Latin-1, which are the same in every normal form.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+#: The tokenizer's pieces of such a word, once that is in lower case.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+#: Opens the names of special tokens, which the tokenizer looks for in the text as it stands.
 _SPECIAL = "<|"
 _coders: dict = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level model writes the accented letters: a byte that prints is itself, the others follow from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    letter = {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+
+
+class Memory(dict):
+    """Makes a missing value by ``make``; holds up to twice ``limit``, of which those not asked for in a while go."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Coder:
-    """Token ids of texts, by way of a bounded memory of the ids of white-space-separated words.
+    """Token ids of texts, by way of a bounded memory of the ids of white-space-separated words and their pieces.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words
-    in order. Only space, tab, line feed and carriage return are split at here.
+    in order. Only space, tab, line feed and carriage return are split at here. A plain word is
+    cut into pieces as the tokenizer does, and the pieces go to its model; it reads all other words itself.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), cache_words
-        self.new: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        self.mark = np.array(self.tokenizer.encode(MARK, add_special_tokens=False).ids, np.uint32)
-
-    def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if MARK not in w and _SPECIAL not in w and w]
-        new = self.new
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, np.uint32)
-            m, n = self.mark, len(self.mark)
-            at = np.flatnonzero(ids[: len(ids) - n + 1] == m[0])
-            for j in range(1, n):
-                at = at[ids[at + j] == m[j]]
-            if len(at) != len(some) - 1:  # a word holds the mark's ids: one by one then
-                for w in some:
-                    new[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
-                continue
-            raw, a = ids.tobytes(), 0
-            for w, b in zip(some, at.tolist() + [len(ids)]):
-                new[w] = raw[4 * a : 4 * b]
-                a = b + n
-        for w in words:
-            if MARK in w or _SPECIAL in w:
-                new[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.words, self.pieces = Memory(self.of_word, cache_words), Memory(self.of_piece, cache_words)
+
+    def of_piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
+        return pack_ids(f"<{len(ids)}I", *ids)
+
+    def of_word(self, word: str) -> bytes:
+        if PLAIN(word) and _SPECIAL not in word:
+            return b"".join([self.pieces[p] for p in PIECES(word.lower())])
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return pack_ids(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, 4 bytes each."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        unknown = set().union(*split).difference(self.new)
-        if unknown:
-            old = self.old
-            known = {w: old[w] for w in unknown if w in old}
-            if len(self.new) + len(unknown) > self.limit:  # words not met for a while go
-                self.old, self.new = self.new, {"": b""}
-                self.new.update((w, self.old[w]) for words in split for w in words if w in self.old)
-            self.new.update(known)
-            self.learn([w for w in unknown if w not in known])
-        get = self.new.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        get = self.words.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
 
 
 def coder(path: str) -> Coder:
@@ -137,7 +145,7 @@ def cut(length: int):
     return run
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cut_before boolean, cut_after boolean"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cut_before boolean, cut_after boolean"
 
 
 def token_stream(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,4 +175,4 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int =
     Rows with equal or null ids are documents of their own. Other columns are not looked at. An empty
     table gives no pieces. A text of any length takes memory in proportion to itself, once.
     """
-    return token_stream(docs, tokenizer_path, end_id, id_col, text_col).mapInArrow(cut(length), PIECES)
+    return token_stream(docs, tokenizer_path, end_id, id_col, text_col).mapInArrow(cut(length), SCHEMA)
