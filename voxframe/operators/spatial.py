@@ -92,6 +92,7 @@ def radius_features(cells: DataFrame, radius: float, coords: Sequence[str] = UM,
 
 
 def _against_neighbours(cells: DataFrame, near: DataFrame, features: Sequence[str], named) -> DataFrame:
+    near = near.select(*CELL, "other")
     theirs = cells.select("vol_id", F.col("label").alias("other"), *(missing_if_nan(F.col(f)).alias(f"_{f}") for f in features))
     aggs = [g(f"_{f}").alias(f"_{s}_{f}") for f in features for s, g in (("mean", F.avg), ("std", F.stddev_pop))]
     stats = near.select(*CELL, "other").join(theirs, ["vol_id", "other"]).groupBy(*CELL).agg(*aggs)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPS
+from ..functions.scratch import stored
 from ..operators import cell, geometry, learn, segment, spatial, voxel
 from ..operators.voxel import CELL
 
@@ -92,7 +93,8 @@ def morphology(voxels: DataFrame, volumes: DataFrame) -> DataFrame:
     faces = voxel.adjacency(voxels)
     surfaces = voxel.surface_area(voxels, volumes, faces)
     cells = voxel.shape_features(voxel.basic_features(voxels, volumes), surfaces)
-    return cell.merge_features(cells, cell.contact_features(surfaces, voxel.contact_edges(voxels, volumes, faces)), voxel.pca_axes(voxels, volumes))
+    out = cell.merge_features(cells, cell.contact_features(surfaces, voxel.contact_edges(voxels, volumes, faces)), voxel.pca_axes(voxels, volumes))
+    return stored(out, "morphology")  # many statistics of the cells follow; the voxels are read once
 
 
 def intensity(voxels: DataFrame, volumes: DataFrame, raw: DataFrame) -> DataFrame:
@@ -108,7 +110,7 @@ def with_neighbourhood(cells: DataFrame, config: Config = Config()) -> DataFrame
     if local:
         stats = spatial.local_neighbour_stats(cells, local, config.local_k)
         tables.append(stats.drop(*local))
-    return cell.merge_features(cells, *tables)
+    return stored(cell.merge_features(cells, *tables), "neighbourhood")
 
 
 def region(voxels: DataFrame, volumes: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +128,7 @@ def anomaly(voxels: DataFrame, volumes: DataFrame, config: Config = Config(), fo
         cells = cells.join(learn.isolation_forest_score(cells, columns, seed=config.seed), CELL, "left")
         lof = learn.local_outlier_factor(cells, spatial.UM)
         cells = cells.join(learn.normalize_score(lof, "lof", "lof_score").select(*CELL, "lof_score"), CELL, "left")
-        extra = ["isolation_forest_score", "lof_score"]
+        cells, extra = stored(cells, "scores"), ["isolation_forest_score", "lof_score"]
     return learn.anomaly_score(cells, config.contamination, extra)
 
 
@@ -136,7 +138,7 @@ def morphometry(voxels: DataFrame, volumes: DataFrame, raw: DataFrame | None = N
     if raw is not None:
         cells = cells.join(voxel.intensity_features(voxels, raw), CELL, "left")
     cells = learn.cluster_cells(cells, learn.choose_feature_columns(cells, config.feature_set), config.clusters, config.seed)
-    cells = spatial.region_bins(cells, volumes, config.grid)
+    cells = stored(spatial.region_bins(cells, volumes, config.grid), "morphometry")
     regions = spatial.region_features(cells.drop("region_z", "region_y", "region_x", "region_id"), volumes, ("volume_um3", "sphericity"), config.grid, "is_anomaly")
     return cell.public_cell_table(cells), regions, cell.summary_stats(cells, ("volume_um3", "sphericity", "anomaly_score"))
 
@@ -148,8 +150,6 @@ def size_statistics(voxels: DataFrame, bins: int = 50) -> tuple[DataFrame, DataF
 
 def finalize_segmentation(instances: DataFrame, volumes: DataFrame, raw: DataFrame | None = None, min_area: int = 20, min_size: int = 0, max_size: int | None = None, min_intensity: float | None = None, shape: bool = False) -> DataFrame:
     """Labels and mean confidence after cleaning, cut to the volume, and resized where ``volumes`` has a target shape."""
-    from ..functions.scratch import stored
-
     inside = instances.join(volumes.select("vol_id", "nz", "ny", "nx"), "vol_id").where("z < nz AND y < ny AND x < nx").drop("nz", "ny", "nx")
     inside = stored(inside, "instances")
     labels = segment.clean_instances(inside.select("vol_id", "z", "y", "x", "label"), raw, min_area, min_size, max_size, min_intensity)
