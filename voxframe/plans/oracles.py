@@ -83,9 +83,6 @@ roi_pixels AS (
         WHERE py>=0 AND px>=0 AND py<ny AND px<nx GROUP BY ALL HAVING count(*)%2=1) s)
 """
 
-R = "round({}, {}) + 0.0"
-
-
 def r(expr: str, name: str, digits: int = 6) -> str:
     return f"round(({expr})::DOUBLE, {digits}) + 0.0 AS {name}"
 
@@ -273,7 +270,7 @@ SQL: dict[str, str] = {
     ),
     "slice_components": f"{SLICES} SELECT 'v0' AS vol_id, label, z, y, x, min(name) AS component FROM reach GROUP BY label, z, y, x",
     "resize_nearest": f"SELECT vol_id, tz AS z, ty AS y, tx AS x, label FROM label_vox JOIN {_resized('z', 'nz', '(nz+3)')} USING (z) JOIN {_resized('y', 'ny', '(ny//2)')} USING (y) JOIN {_resized('x', 'nx', 'nx')} USING (x)",
-    "resize_linear": f"SELECT vol_id, tz AS z, ty AS y, tx AS x, {r('sum(value*wz*wy*wx)', 'value', 4)} FROM raw_vox JOIN {_linear('z', 'nz', 'nz')} USING (z) JOIN {_linear('y', 'ny', 'greatest(round_even(ny/2.0,0),1)::BIGINT')} USING (y) JOIN {_linear('x', 'nx', 'greatest(round_even(nx/2.0,0),1)::BIGINT')} USING (x) WHERE wz>0 AND wy>0 AND wx>0 GROUP BY ALL",
+    "resize_linear": f"SELECT vol_id, tz AS z, ty AS y, tx AS x, {r('sum(value*wz*wy*wx)', 'value')} FROM raw_vox JOIN {_linear('z', 'nz', 'nz')} USING (z) JOIN {_linear('y', 'ny', 'greatest(round_even(ny/2.0,0),1)::BIGINT')} USING (y) JOIN {_linear('x', 'nx', 'greatest(round_even(nx/2.0,0),1)::BIGINT')} USING (x) WHERE wz>0 AND wy>0 AND wx>0 GROUP BY ALL",
     "exposed_faces": (
         "SELECT p.vol_id, p.label, axis, count(*) AS faces FROM label_vox p, (VALUES ('z',1,0,0),('z',-1,0,0),('y',0,1,0),('y',0,-1,0),('x',0,0,1),('x',0,0,-1)) d(axis,dz,dy,dx) LEFT JOIN label_vox q ON q.z=p.z+dz AND q.y=p.y+dy AND q.x=p.x+dx AND q.label=p.label WHERE q.label IS NULL GROUP BY ALL"
     ),

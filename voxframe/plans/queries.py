@@ -23,6 +23,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+def local_times(df: DataFrame) -> DataFrame:
+    """Instants as the log's own kind of time."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, t in df.dtypes if t == "timestamp"})
+
+
 def query(f: Callable) -> Callable:
     """Register under the function's name. The function gets what its parameters are named for."""
     names = f.__code__.co_varnames[: f.__code__.co_argcount]
@@ -439,7 +444,7 @@ def resize_nearest(vox, vol):
 
 @query
 def resize_linear(raw, vol):
-    return rounded(geometry.resize_linear(raw, geometry.target_shape(vol, (1.0, 2.0, 2.0))), 4)
+    return geometry.resize_linear(raw, geometry.target_shape(vol, (1.0, 2.0, 2.0)))
 
 
 @query
@@ -558,18 +563,18 @@ def batch_summary(spark, sf_dir):
 
 @query
 def edit_rate(spark, log):
-    return streams.replayed(spark, log, streams.edit_rate, "complete")
+    return local_times(streams.replayed(spark, log, streams.edit_rate, "complete"))
 
 
 @query
 def edit_sessions(spark, log):
-    return streams.replayed(spark, log, streams.edit_sessions, "complete")
+    return local_times(streams.replayed(spark, log, streams.edit_sessions, "complete"))
 
 
 @query
 def dedup_log(spark, log):
     twice = log.select("ts", "operation", "label_id", "z_index", "layer_name")
-    return streams.replayed(spark, twice.union(twice), streams.dedup_log)
+    return local_times(streams.replayed(spark, twice.union(twice), streams.dedup_log))
 
 
 @query

@@ -8,22 +8,27 @@ from pyspark.sql import functions as F
 from ..functions.scratch import new_path
 
 
+def _timed(log: DataFrame, late: str) -> DataFrame:
+    """Event times as instants, with a watermark."""
+    return log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def edit_rate(log: DataFrame, window: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Edits of each operation in tumbling or sliding windows."""
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
-    out = log.withWatermark("ts", late).groupBy(w.alias("w"), "operation").agg(F.count(F.lit(1)).alias("edits"))
+    out = _timed(log, late).groupBy(w.alias("w"), "operation").agg(F.count(F.lit(1)).alias("edits"))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "operation", "edits")
 
 
 def edit_sessions(log: DataFrame, gap: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions of edits on each layer, ended by a gap."""
-    out = log.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "layer_name").agg(F.count(F.lit(1)).alias("edits"))
+    out = _timed(log, late).groupBy(F.session_window("ts", gap).alias("w"), "layer_name").agg(F.count(F.lit(1)).alias("edits"))
     return out.select("layer_name", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "edits")
 
 
 def dedup_log(log: DataFrame, keys: tuple[str, ...] = ("operation", "label_id", "z_index", "layer_name", "ts"), late: str = "1 hour") -> DataFrame:
     """The log without repeated entries."""
-    marked = log.withWatermark("ts", late)
+    marked = _timed(log, late)
     return marked.dropDuplicatesWithinWatermark(list(keys)) if log.isStreaming else marked.dropDuplicates(list(keys))
 
 
