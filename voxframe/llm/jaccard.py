@@ -185,16 +185,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     slim = nodes.select("id", "size", "bits")
 
     tiles = nodes.select("id", F.explode("tiles").alias("tile"))
+    shared = tiles.groupBy("tile").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    met = written(tiles.join(shared.select("tile", "low"), "tile"), "jaccard-met")  # most tiles have one member and end here
     pick = F.min_by("id", F.xxhash64("id", "tile"))
-    shared = tiles.groupBy("tile").agg(F.min("id").alias("low"), F.max("id").alias("high"), pick.alias("other"), F.count(F.lit(1)).alias("members")).where("low < high")
-    members = written(tiles.join(shared.select("tile", "low", "other", "members"), "tile"), "jaccard-tiles")
+    members = written(met.join(met.groupBy("tile").agg(pick.alias("other"), F.count(F.lit(1)).alias("members")), "tile"), "jaccard-tiles")
 
     def links(pairs: DataFrame) -> DataFrame:
         a, b = (slim.select(F.col("id").alias(c), F.col("size").alias(f"{c}_size"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
         sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)")
         maybe = written(sized.mapInArrow(possible(percent), "a long, b long"), "jaccard-pairs")
         wanted = maybe.select(F.col("a").alias("id")).union(maybe.select("b")).distinct()
-        sets = written(rows.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]).mapInArrow(whole_sets(words), "id long, shingles binary"), "jaccard-sets")
+        # the texts are many whatever the size of the wanted ids: one shuffle, the same at every size
+        sets = written(rows.join(wanted.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id", "text"]).mapInArrow(whole_sets(words), "id long, shingles binary"), "jaccard-sets")
         full = maybe.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("a_set")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("b_set")), "b")
         return written(full.mapInArrow(exact(percent), "a long, b long").distinct(), "jaccard-links")
 
