@@ -94,6 +94,17 @@ def test_substring_dedup(docs, unit):
     assert any(r.n_removed for r in got.values())
 
 
+@pytest.mark.parametrize("unit", ["words", "bytes"])
+def test_frequent_anchors_change_nothing(spark, unit):
+    rng = random.Random(8)
+    make = lambda k: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(k))
+    passage = make(60)
+    d = spark.createDataFrame([(i, f"{make(rng.randint(0, 40))} {passage} {make(rng.randint(0, 40))}") for i in range(120)], "doc_id long, text string")
+    f = fm_dedup.dedup_windows if unit == "words" else suffix_dedup.dedup_bytes
+    shown = lambda often: sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in f(d, often=often).collect())
+    assert shown(1) == shown(1000) and sum(r[1] for r in shown(1)) >= 119 * (60 if unit == "words" else len(passage))
+
+
 def shingles(text, n):
     w = WORD.findall((text or "").encode().lower())
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import binary_array
-from .repeats import LAST, Unit, covered, remove_repeats
+from .repeats import LAST, OFTEN, Unit, covered, remove_repeats
 
 _ONE, _SIX, _LOW6 = np.uint64(1), np.uint64(6), np.uint64(63)
 
@@ -135,7 +135,7 @@ def _finish(unit: Unit):
     return run
 
 
-def dedup_windows(docs: DataFrame, length: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_windows(docs: DataFrame, length: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", often: int = OFTEN) -> DataFrame:
     """Remove from each text the words of windows that also start in a document with a smaller id.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a window is ``length`` consecutive words of one document, judged on the
@@ -144,7 +144,8 @@ def dedup_windows(docs: DataFrame, length: int = 50, gram: int = 16, id_col: str
 
     Null and empty texts have no words and keep nothing. A null id is larger than any other and no smaller than another
     null. Rows that repeat an id remove nothing from each other. Texts shorter than a window stay whole. Other columns are not looked at.
-    An empty table gives an empty result. ``gram`` (words of an anchor) changes the work, not the result.
+    An empty table gives an empty result. ``gram`` (words of an anchor) and ``often`` (different segments of an anchor in a chunk
+    from which on it counts as frequent) change the work, not the result.
     """
     unit = Unit(length, gram, True, "u8")
-    return remove_repeats(docs, unit, fm_windows, _finish(unit), "id long, n_words long, n_removed long, kept binary", id_col, text_col).withColumnRenamed("id", id_col)
+    return remove_repeats(docs, unit, fm_windows, _finish(unit), "id long, n_words long, n_removed long, kept binary", id_col, text_col, often).withColumnRenamed("id", id_col)
