@@ -85,15 +85,16 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     urls = written(urls.select("id", "host", "path", name.alias("rule"), verdict.alias("verdict"), url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens")), "urls")
     labelled = urls.where("verdict is not null and size(tokens) > 0")
     sets = urls.where("verdict is null and size(tokens) > 0").select(F.array_sort("tokens").alias("tokens")).distinct()
-    best = None
+    nothing = F.lit(None).cast("struct<confidence: double, support: double, n: int, allows: boolean, mined: array<string>>")
     if labelled.limit(1).count():
         mined = written(mine(labelled.select("tokens", "verdict"), min_support, min_confidence), "url-rules")
         hits = sets.select("tokens", F.explode("tokens").alias("key")).join(mined, "key").where(F.size(F.array_except("antecedent", "tokens")) == 0)
         rank = F.struct("confidence", "support", F.size("antecedent").alias("n"), (~F.col("block")).alias("allows"), F.col("antecedent").alias("mined"))
         best = hits.groupBy("tokens").agg(F.max(rank).alias("best"))
-    if best is None:
-        out = urls.withColumn("best", F.lit(None).cast("struct<confidence: double, support: double, n: int, allows: boolean, mined: array<string>>"))
+        # only URLs that no fixed rule decides look for a mined one
+        open_ = urls.where("verdict is null").withColumn("tokens", F.array_sort("tokens")).join(best, "tokens", "left").select(*urls.columns, "best")
+        out = urls.where("verdict is not null").withColumn("best", nothing).unionByName(open_)
     else:
-        out = urls.withColumn("_set", F.when(F.col("verdict").isNull(), F.array_sort("tokens"))).join(best.withColumnRenamed("tokens", "_set"), "_set", "left")
+        out = urls.withColumn("best", nothing)
     decided = F.coalesce("verdict", F.when(F.col("best.allows") == F.lit(False), "block").otherwise("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", decided.alias("verdict"), F.col("best.mined").alias("mined"), F.col("best.confidence").alias("confidence"))
