@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, components, lower_bytes, mixed, slices, text_buffers, word_hashes, word_spans, written
+from .common import Spans, components, lower_bytes, mixed, release, slices, text_buffers, word_hashes, word_spans, written
 
 BITS = 1024
 #: Largest size of a band over its smallest.
@@ -176,17 +176,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     node of the links too. A row with a null id has a null component and links with nothing. Other columns are not
     looked at. An empty table gives an empty result.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = written(rows.mapInArrow(signatures(words, percent), "id long, size long, digest binary, bits binary, tiles array<long>"), "jaccard-signatures")
     firsts = signed.where("size > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("first"))
     firsts = written(firsts, "jaccard-firsts")
-    nodes = signed.join(firsts.select("digest", F.col("first").alias("id")), ["digest", "id"]).dropDuplicates(["digest", "id"])
-    nodes = written(nodes.select("id", "size", "bits", "tiles"), "jaccard-nodes")
-    slim = nodes.select("id", "size", "bits")
+    # one row of equal sets stands for all: the others are left out where they are, so that the wide rows need not be shuffled if they are few
+    own = signed.where("size > 0 and id is not null")
+    copies = written(own.select("digest", "id").join(firsts, "digest").where("id <> first").select("digest", "id").distinct(), "jaccard-copies")
+    nodes = own.join(copies, ["digest", "id"], "left_anti")
+    slim = written(nodes.select("id", "size", "bits").distinct(), "jaccard-nodes")
 
     tiles = nodes.select("id", F.explode("tiles").alias("tile"))
     shared = tiles.groupBy("tile").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     met = written(tiles.join(shared.select("tile", "low"), "tile"), "jaccard-met")  # most tiles have one member and end here
+    release(spark)
     pick = F.min_by("id", F.xxhash64("id", "tile"))
     members = written(met.join(met.groupBy("tile").agg(pick.alias("other"), F.count(F.lit(1)).alias("members")), "tile"), "jaccard-tiles")
 
@@ -205,6 +209,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 
     found = links(pairs_of("id", "low").union(pairs_of("id", "other")).distinct())
     labels = components(found)
+    release(spark)
     labelled = members.select("tile", "id", "members").join(labels, "id", "left").select("tile", "id", "members", F.coalesce("component", "id").alias("label"))
     labelled = written(labelled, "jaccard-labelled")
     split = labelled.groupBy("tile").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("tile")
