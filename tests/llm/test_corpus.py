@@ -198,6 +198,27 @@ def test_mixing(docs):
     assert sorted(order) == sorted(r.doc_id for r in got)
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 3.0, "b": 2**0.5, "c": 0.017}])
+def test_mixing_keeps_the_weights_over_many_periods(spark, weights):
+    total = sum(weights.values())
+    rows = [(i, "x" * 9, "en", s, 9) for s, w in weights.items() for i in range(int(4500 * w / total))]  # one document per block
+    got = mixing.mix_sources(spark.createDataFrame(rows, SCHEMA), weights, block_bytes=10).select("source", *mixing.COLUMNS).collect()
+    assert len(got) == len({r.slot for r in got}) == len(rows) and all(r.release <= r.slot < r.deadline for r in got)
+    for s, w in weights.items():
+        own = sorted(r.slot for r in got if r.source == s)
+        for k, t in enumerate(own):  # just before and just after each of its slots the source is farthest off
+            assert abs(k - t * w / total) < 1 and abs(k + 1 - (t + 1) * w / total) < 1
+
+
+def test_mixing_shares_are_not_shifted_to_small_sources():
+    assert mixing.whole_parts({"a": 0.7, "b": 0.2, "c": 0.1}, 1000) == {"a": 700, "b": 200, "c": 100}
+    many = {"a": 1 / 3} | {f"s{i}": 2 / 3 / 400 for i in range(400)}
+    slots = [t for t, s, *_ in mixing.pfair(mixing.exact_parts(many, 1604), dict.fromkeys(many, 3000)) if t < 6000 and s == "a"]
+    assert all(abs(k - t / 3) < 1 for k, t in enumerate(slots)) and abs(len(slots) - 2000) < 1
+    none = mixing.exact_parts({"a": 0.5, "b": 0.25, "c": 0.0}, 1000)
+    assert (none["a"], none["b"], none["c"]) == (666, 333, 1)
+
+
 def test_quality_learns_held_out(spark):
     rng = random.Random(1)
     make = lambda junk: " ".join("".join(rng.choices("abcdef", k=4)) + ("$$$" if junk else "") for _ in range(40))

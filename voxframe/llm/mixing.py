@@ -3,64 +3,127 @@
 The text of each source, in a pseudo-random order of its documents, is cut into blocks of equal size.
 With weight w, block k of a source may run from slot floor(k / w) and is due by slot ceil((k + 1) / w).
 One block runs per slot; of the blocks that may run, the one that is due first does. The weights are
-whole parts of a period, and after each period the schedule repeats, so one period is all that has to
-be planned, whatever the size of the corpus.
+exact fractions and the schedule runs through all blocks, so nothing is rounded and no remainder is
+lost. The driver plans it one block at a time and holds a bounded number of them; documents take no
+part in that, and the plan has three numbers per block.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
-from collections.abc import Mapping
+import math
+from array import array
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import parts, scratch
 
 COLUMNS = ("block", "release", "deadline", "slot", "block_offset")
+#: Blocks of a source in one row of the plan, and of all sources that the driver holds before it writes them.
+RUN = 256
+HELD = 1 << 18
+PLAN = "_mix_source string, _mix_run long, _mix_releases array<long>, _mix_deadlines array<long>, _mix_slots array<long>"
 
 
 def whole_parts(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Whole numbers of at least 1 that sum to the period, in proportion to the weights, by largest remainder."""
-    total = sum(weights.values()) or 1
-    free = period - len(weights)
-    exact = {s: free * w / total for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
+    """Whole numbers that sum to the period, in proportion to the weights, by largest remainder."""
+    total = sum(Fraction(repr(float(w))) for w in weights.values())
+    exact = {s: period * (Fraction(repr(float(w))) / total if total else Fraction(1, len(weights))) for s, w in weights.items()}
+    out = {s: int(x) for s, x in exact.items()}
+    for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[: period - sum(out.values())]:
         out[s] += 1
     return out
 
 
+def exact_parts(weights: Mapping[str, float], period: int) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights as decimals; a source of weight 0 gets one part in ``period``, the others share the rest."""
+    given = {s: Fraction(repr(float(w))) for s, w in weights.items() if w > 0}
+    rest = (period - len(weights) + len(given)) / sum(given.values(), Fraction(0)) if given else 0
+    shares = {s: given[s] * rest if s in given else Fraction(1) for s in weights}
+    scale = math.lcm(*(x.denominator for x in shares.values()))
+    whole = {s: int(x * scale) for s, x in shares.items()}
+    common = math.gcd(*whole.values())
+    return {s: x // common for s, x in whole.items()}
+
+
+def pfair(shares: Mapping[str, int], blocks: Mapping[str, int]) -> Iterator[tuple[int, str, int, int, int]]:
+    """(slot, source, block, release, deadline) of all blocks by slot, earliest deadline first among released blocks.
+
+    A source that is used up leaves its slots to no one but blocks that are released by then.
+    """
+    total = sum(shares.values())
+    waiting = [(0, s, 0) for s in shares if shares[s] and blocks[s]]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, str, int, int]] = []
+    t = 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            release, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // shares[s]), s, k, release))
+        due, s, k, release = heapq.heappop(ready)
+        yield t, s, k, release, due
+        if k + 1 < blocks[s]:
+            heapq.heappush(waiting, ((k + 1) * total // shares[s], s, k + 1))
+        t += 1
+
+
 def pfair_period(shares: Mapping[str, int]) -> dict[str, list[int]]:
-    """Slots of the blocks of each source in one period of sum(shares) slots, earliest deadline first among released blocks."""
-    period = sum(shares.values())
-    waiting = [(k * period // a, -(-(k + 1) * period // a), s) for s, a in shares.items() for k in range(a)]
-    waiting.sort(reverse=True)
-    ready: list[tuple[int, str]] = []
+    """Slots of the blocks of each source in one period of sum(shares) slots."""
     slots: dict[str, list[int]] = {s: [] for s in shares}
-    for t in range(period):
-        while waiting and waiting[-1][0] <= t:
-            _, due, s = waiting.pop()
-            heapq.heappush(ready, (due, s))
-        slots[heapq.heappop(ready)[1]].append(t)
+    for t, s, *_ in pfair(shares, shares):
+        slots[s].append(t)
     return slots
 
 
+def written_plan(spark: SparkSession, shares: Mapping[str, int], blocks: Mapping[str, int]) -> DataFrame:
+    """The schedule of all blocks in the shared folder, in rows of ``RUN`` blocks of a source."""
+    total = sum(shares.values())
+    far = [s for s in shares if -(-blocks[s] * total // shares[s]) >= 1 << 63]
+    if far:
+        raise ValueError(f"weights so small that slots pass 64 bits: {far[:5]}")
+    path = scratch(spark, "mixing-plan")
+    open_: dict[str, tuple[array, array, array]] = {s: (array("q"), array("q"), array("q")) for s in shares}
+    done: list[tuple] = []
+
+    def write() -> None:
+        columns = [pa.array(x, t) for x, t in zip(zip(*done), (pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 3))]
+        names = ["_mix_source", "_mix_run", "_mix_releases", "_mix_deadlines", "_mix_slots"]
+        spark.createDataFrame(pa.table(columns, names=names)).coalesce(1).write.mode("append").parquet(path)
+        done.clear()
+
+    for t, s, k, release, due in pfair(shares, blocks):
+        for own, x in zip(open_[s], (release, due, t)):
+            own.append(x)
+        if (k + 1) % RUN == 0 or k + 1 == blocks[s]:
+            done.append((s, k // RUN, *open_[s]))
+            open_[s] = (array("q"), array("q"), array("q"))
+            if len(done) * RUN >= HELD:
+                write()
+    if done:
+        write()
+    return spark.read.schema(PLAN).parquet(path)
+
+
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, period: int = 1000, block_bytes: int = 1 << 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Give each document its place in a mixture of the sources; every document gets one.
 
-    ``weights``: target weight by source; a source that it leaves out has one part of the period, the
-    least there is. Without it, a source's weight is its size in bytes to the ``power``.
-    ``period``: slots of the repeating schedule, raised to four per source where there are more sources.
-    The number of sources is taken to be bounded, that of documents is not.
+    ``weights``: target weight by source; a source that it leaves out or gives 0 has one slot in
+    ``period``, and the others share the rest. Without it, a source's weight is its size in bytes to the ``power``.
+    ``period`` counts for sources without weight only, and is raised to four per source where there are more sources.
+    The number of sources is taken to be bounded, that of documents is not. The driver plans a few hundred
+    thousand blocks a second, and raises ValueError for weights so small that slots pass 64 bits.
 
     Returns the columns of ``docs`` (those named like a result column are replaced) and ``block`` (of its
     source, from 0), ``release``, ``deadline`` (slot numbers; the block runs in [release, deadline)),
     ``slot`` and ``block_offset`` (bytes of the block before the document). (slot, block_offset) is the
-    order of the mixture. Up to the slot where the first source is used up, every source has had its
-    weight's share of the slots to within less than one block; later its slots stay empty and the others
-    keep their order. A document is in the block where it starts, so one longer than a block leaves
+    order of the mixture. As long as a source is not used up, it has had its weight's share of the slots
+    to within less than one block, however many those are; later slots may stay empty. A document is in the block where it starts, so one longer than a block leaves
     its source's next blocks empty.
 
     Null sources are a source of their own. Null or empty texts count one byte. An empty table gives
@@ -83,26 +146,28 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, pow
         wanted = {s: float(n) ** power for s, n in sizes.items()}
     else:
         wanted = {s: max(0.0, float(weights.get(s[1:] if s else None, 0))) for s in sizes}
-    shares = whole_parts(wanted, max(period, 4 * len(wanted))) if wanted else {}
-    slots = pfair_period(shares) if shares else {}
-    table = json.dumps([{"_mix_source": s, "_mix_share": a, "_mix_slots": slots[s]} for s, a in shares.items()])
-    plan = spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<_mix_source string, _mix_share long, _mix_slots array<long>>>")))
+    shares = exact_parts(wanted, max(period, 4 * len(wanted))) if wanted else {}
+    plan = written_plan(spark, shares, {s: (n - 1) // block_bytes + 1 for s, n in sizes.items()}) if wanted else spark.createDataFrame([], PLAN)
 
     earlier = Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("_mix_source", "_mix_bucket", F.coalesce(F.sum("_mix_total").over(earlier), F.lit(0)).alias("_mix_base"))
+    base = totals.select("_mix_source", "_mix_bucket", "_mix_total", F.coalesce(F.sum("_mix_total").over(earlier), F.lit(0)).alias("_mix_base"))
+    base = base.withColumns({"_mix_first": F.expr(f"_mix_base div {block_bytes}"), "_mix_last": F.expr(f"(_mix_base + _mix_total - 1) div {block_bytes}")})
+    # each bucket gets the plan of its own blocks, so that rows meet it where they are
+    own = base.withColumn("_mix_run", F.explode(F.expr(f"sequence(_mix_first div {RUN}, _mix_last div {RUN})"))).join(plan, ["_mix_source", "_mix_run"])
+    own = own.groupBy("_mix_source", "_mix_bucket", "_mix_base", "_mix_first", "_mix_last").agg(F.array_sort(F.collect_list(F.struct("_mix_run", "_mix_releases", "_mix_deadlines", "_mix_slots"))).alias("_mix_runs"))
+    cut = lambda c: F.expr(f"slice(flatten(_mix_runs.{c}), cast(_mix_first % {RUN} + 1 as int), cast(_mix_last - _mix_first + 1 as int))").alias(c)
+    own = own.select("_mix_source", "_mix_bucket", "_mix_base", "_mix_first", *(cut(c) for c in ("_mix_releases", "_mix_deadlines", "_mix_slots")))
     inside = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_hash", id_col).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_mix_before", F.coalesce(F.sum("_mix_size").over(inside), F.lit(0))).join(base, ["_mix_source", "_mix_bucket"])
-    # the plan has one row per source and ``period`` numbers in all
-    placed = placed.join(F.broadcast(plan), "_mix_source")
-    cycle = sum(shares.values())
+    placed = rows.withColumn("_mix_before", F.coalesce(F.sum("_mix_size").over(inside), F.lit(0))).join(own, ["_mix_source", "_mix_bucket"])
     placed = placed.withColumn("_mix_start", F.col("_mix_base") + F.col("_mix_before")).withColumn("block", F.expr(f"_mix_start div {block_bytes}"))
+    at = "cast(block - _mix_first + 1 as int)"
     placed = placed.withColumns({
-        "release": F.expr(f"(block * {cycle}) div _mix_share"),
-        "deadline": F.expr(f"((block + 1) * {cycle} + _mix_share - 1) div _mix_share"),
-        "slot": F.expr(f"(block div _mix_share) * {cycle} + element_at(_mix_slots, cast(block % _mix_share + 1 as int))"),
+        "release": F.expr(f"element_at(_mix_releases, {at})"),
+        "deadline": F.expr(f"element_at(_mix_deadlines, {at})"),
+        "slot": F.expr(f"element_at(_mix_slots, {at})"),
         "block_offset": F.expr(f"_mix_start - block * {block_bytes}"),
     })
-    return placed.drop("_mix_source", "_mix_size", "_mix_hash", "_mix_bucket", "_mix_before", "_mix_base", "_mix_share", "_mix_slots", "_mix_start")
+    return placed.drop("_mix_source", "_mix_size", "_mix_hash", "_mix_bucket", "_mix_before", "_mix_base", "_mix_first", "_mix_releases", "_mix_deadlines", "_mix_slots", "_mix_start")
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
