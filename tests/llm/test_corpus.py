@@ -340,6 +340,23 @@ def test_null_ids(spark):
     assert langid.identify(d).count() == 3
 
 
+def test_stages_judge_rows_that_share_an_id(spark):
+    d = spark.createDataFrame([(None, "x y", "en", "s", 1), (9, "X y", "en", "s", 2), (None, "p q", "en", "s", 3), (5, "X Y", "en", "s", 4), (5, "r", "en", "s", 5), (5, "R", "en", "t", 6), (7, None, "en", "s", 7), (7, "", "en", "s", 7), (None, "p q", "en", "t", 8)], SCHEMA)
+    kept = exact_dedup.keep_last_copies(d)
+    assert kept.columns == d.columns
+    got = sorted(((r.doc_id or -1, (r.text or "").lower()) for r in kept.collect()))
+    assert got == [(-1, "p q"), (5, "r"), (7, ""), (9, "x y")]
+    assert kept.where("doc_id = 5").first().text == "R"
+    rng = random.Random(3)
+    make = lambda junk: " ".join("".join(rng.choices("abcdef", k=4)) + ("$$$" if junk else "") for _ in range(40))
+    rows = [(i, make(i % 4 == 0)) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(400)], "doc_id long, quality int")
+    good, bad = [make(False) for _ in range(3)], [make(True) for _ in range(3)]
+    extra = [(None, good[0]), (None, bad[0]), (1001, good[1]), (1001, bad[1]), (1002, good[2]), (1002, good[2])]
+    left = quality.keep_good(spark.createDataFrame(rows + extra, "doc_id long, text string"), labels).where("doc_id is null or doc_id > 1000").collect()
+    assert collections.Counter((r.doc_id, r.text) for r in left) == {(None, good[0]): 1, (1001, good[1]): 1, (1002, good[2]): 2}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -8,7 +8,7 @@ and texts that only share a digest are told apart.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, scratch
@@ -88,6 +88,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_last_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that exact deduplication keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of ``docs`` that exact deduplication keeps, with all their columns.
+
+    Each row is judged by its id and its text. Of rows that repeat both, the one whose text is first as it is written stays;
+    where those are equal too, any one.
+    """
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("id"), "digest").distinct()
+    keys = {"_kept_null": F.col("id").isNull(), "_kept_id": F.coalesce("id", F.lit(0).cast("long")), "_kept_digest": F.col("digest")}
+    kept = kept.select(*(c.alias(n) for n, c in keys.items()))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = F.col(id_col).cast("long")
+    rows = docs.withColumns({"_kept_null": own.isNull(), "_kept_id": F.coalesce(own, F.lit(0).cast("long")), "_kept_digest": F.sha2(ascii_lower(text), 256)})
+    # the keys of the join are those of the window, so the rows are shuffled once
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(text))
+    return rows.join(kept, list(keys), "left_semi").withColumn("_kept_place", first).where("_kept_place = 1").select(*docs.columns)

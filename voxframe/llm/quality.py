@@ -70,12 +70,14 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Statistics of the texts; other columns go along."""
     for batch in batches:
         data, at = text_buffers(batch.column("text"))
         out = [statistics(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in slices(at, SLICE_BYTES)]
         flat = np.vstack(out).astype(np.float32) if out else np.zeros((0, N_STATS), np.float32)
         stats = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * N_STATS), pa.array(flat.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), stats], names=["doc_id", "stats"])
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), stats], names=[*kept, "stats"])
 
 
 def _matrix(column) -> np.ndarray:
@@ -165,23 +167,37 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col:
     document are left out; a repeated label counts each time. With no usable label every score is
     0.5, with labels of one kind that label's share. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    stats = written(rows.mapInArrow(features_of, "doc_id long, stats array<float>"), "quality-stats")
+    out = _scored(docs, labels, id_col, text_col, False, **options)
+    return out.select(F.col("doc_id").alias(id_col), held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def text_digest(text):
+    """Equal for equal texts; null counts as empty, as it does for the scores."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, digests: bool, **options) -> DataFrame:
+    """(doc_id, score) of every row of ``docs``, and the ``digest`` of its text if asked for."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([text_digest(F.col(text_col)).alias("digest")] if digests else []))
+    names = ["doc_id", "digest"] if digests else ["doc_id"]
+    schema = "doc_id long, digest string, " if digests else "doc_id long, "
+    stats = written(rows.mapInArrow(features_of, schema + "stats array<float>"), "quality-stats")
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("label"))
     model = fit(stats.join(known, "doc_id").select("stats", "label"), **options)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_matrix(batch.column("stats"))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(model.score(_matrix(batch.column("stats"))))], names=[*names, "score"])
 
-    out = stats.mapInArrow(scored, "doc_id long, score double")
-    return out.select(F.col("doc_id").alias(id_col), held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    return stats.mapInArrow(scored, schema + "score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with all their columns.
 
-    Rows that share an id (null is an id too) go only if every one of them is rejected.
+    Each row is judged by its own text, whether or not others have its id.
     """
-    verdicts = quality_scores(docs, labels, cut, id_col, text_col).groupBy(F.col(id_col).alias("_bad_id")).agg(F.max("predicted").alias("_best"))
-    return docs.join(verdicts.where("_best = 0"), F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")), "left_anti")
+    scores = _scored(docs, labels, id_col, text_col, True)
+    verdicts = scores.groupBy(F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad_digest")).agg(F.max("score").alias("_best"))
+    bad = verdicts.where(F.col("_best") < cut)
+    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")) & (text_digest(F.col(text_col)) == F.col("_bad_digest")), "left_anti")
