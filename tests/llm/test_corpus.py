@@ -309,6 +309,15 @@ def test_neighbours(spark):
     assert [i for _, i, _ in got[100]] == list(range(200, 210))
 
 
+def test_neighbours_with_repeated_ids(spark):
+    near = [(1, [1.0, 2.0, 3.0])] * 30 + [(i, [1.0, 2.0, 3.0]) for i in range(2, 5)]
+    near += [(5, [1.0 + k / 1000, 2.0, 3.0]) for k in range(1, 30)]  # one id with many vectors
+    rows = [(100, [1.0, 2.0, 3.0])] + near + [(i, [1.0, 2.0, 3.0 + i]) for i in range(6, 20)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    found = sorted((r.rank, r.vec_id) for r in got)
+    assert found == [(k, k) for k in range(1, 11)] and all(r.query_id == 100 for r in got)
+
+
 def test_hilbert_neighbours_are_adjacent():
     side = 8
     cells = np.array([(a, b, c) for a in range(side) for b in range(side) for c in range(side)])

@@ -133,10 +133,18 @@ def compare_blocks(dims: int, k: int):
                 d = _distances(q[s : s + 256], v)
                 bound = np.partition(d, take - 1, 1)[:, take - 1] + 1e-9 * (1 + np.abs(d).max(1))
                 for i, row in enumerate(d):
-                    near = np.flatnonzero(row <= bound[i])
-                    exact = np.sqrt(((v[near] - q[s + i]) ** 2).sum(1))
-                    found = sorted((x, vec) for x, j in zip(exact.tolist(), near.tolist()) for vec in ids[j] if vec != own[s + i])
-                    out += [(own[s + i], vec, x) for x, vec in found[:k]]
+                    some, limit = take, bound[i]
+                    while True:
+                        near = np.flatnonzero(row <= limit)
+                        exact = np.sqrt(((v[near] - q[s + i]) ** 2).sum(1))
+                        found: dict[int, float] = {}  # each other id at its smallest distance
+                        for x, vec in sorted((x, vec) for x, j in zip(exact.tolist(), near.tolist()) for vec in ids[j] if vec != own[s + i]):
+                            found.setdefault(vec, x)
+                        if len(found) >= k or len(near) == len(v):
+                            break
+                        some = min(2 * some, len(v))  # vectors of the same ids are in the way
+                        limit = np.partition(row, some - 1)[some - 1] + 1e-9 * (1 + np.abs(row).max())
+                    out += [(own[s + i], vec, x) for vec, x in list(found.items())[:k]]
         query, vec, score = zip(*out) if out else ((), (), ())
         return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.float64())})
 
@@ -150,7 +158,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 6, r
     smaller id; fewer than k only where there are no more rows.
 
     Vectors that are null, zero, of another length than most, or that hold a null or a number that is not finite take no part; nor do null ids. Equal
-    vectors are one entry of the index with their k + 1 smallest ids, more than which no result can need, so a vector that
+    vectors are one entry of the index with their k + 1 smallest different ids, more than which no result can need, so a vector that
     a third of all rows share is no larger than others. A repeated id is returned once per query, at its smallest distance. Other columns
     are not looked at. A table without vectors that take part gives an empty result.
 
@@ -168,8 +176,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 6, r
         return spark.createDataFrame([], schema)
     dims = usual[0].dims
     rows = rows.where(F.size("vec") == dims)
-    first = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
-    entries = rows.withColumn("_n", first).where(F.col("_n") <= k + 1).groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    first = F.dense_rank().over(Window.partitionBy("vec").orderBy("id"))  # ids, not rows: one may be there many times
+    entries = rows.withColumn("_n", first).where(F.col("_n") <= k + 1).groupBy("vec").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     entries = written(entries.select(F.col("ids")[0].alias("entry"), "vec", "ids"), "ann-entries")
     top = entries.select(F.max(F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double"))))), F.count(F.lit(1))).first()
     spread, count = float(top[0]) * min(dims, 64) ** 0.5, top[1]
