@@ -285,6 +285,17 @@ def test_mined_rules_match_brute_force(spark):
             assert got[x.page_id].verdict == ("block" if best and best.block else "allow")
 
 
+def test_mined_rules_of_many_tokens(spark):
+    keys = "abcde"
+    urls = [f"http://x.com/zz/?{'&'.join(k for k in keys if k != out)}" for out in keys for _ in range(20)]  # allowed: four of the keys
+    urls += [f"http://x.net/fr/?{'&'.join(keys)}"] * 60  # blocked: all five
+    urls += [f"http://y.org/yy/?{'&'.join(keys)}", "http://y.org/yy/?a&b&c&d"]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = collected(url_rules.judge_urls(d), "page_id")
+    assert got[160].verdict == "block" and {f"q={k}" for k in keys} <= set(got[160].mined) and got[160].confidence == 1
+    assert got[161].verdict == "allow" and got[161].mined is None
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(900, 12)) + rng.integers(0, 4, (900, 1)) * 3

@@ -47,16 +47,16 @@ def fixed_rule(host, path, rules: Sequence[tuple[str, str, str]] = RULES):
     return name, verdict
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, max_tokens: int = 4) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """Rules (antecedent, block, confidence, support, key) from rows of (tokens, verdict).
 
-    A token combination is in at least ``min_support`` of the rows, so their number is bounded by the rows' tokens
+    Every combination of enough support and confidence is a rule, however many tokens it has. A combination is in at least ``min_support`` of the rows, so their number is bounded by the rows' tokens
     and not by the number of rows. ``key``, the antecedent's rarest token, is its posting in the index.
     """
     items = labelled.select(F.concat(F.array(F.concat(F.lit("label="), "verdict")), "tokens").alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     common = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rules = model.associationRules.where(F.col("consequent")[0].isin(ALLOW, BLOCK) & (F.size("antecedent") <= max_tokens))
+    rules = model.associationRules.where(F.col("consequent")[0].isin(ALLOW, BLOCK))
     rules = rules.select(F.array_sort("antecedent").alias("antecedent"), (F.col("consequent")[0] == BLOCK).alias("block"), "confidence", "support")
     rarest = Window.partitionBy("antecedent", "block").orderBy("freq", "token")
     posted = rules.select("*", F.explode("antecedent").alias("token")).join(common, "token").withColumn("_place", F.row_number().over(rarest))
