@@ -1,5 +1,6 @@
 """Hand-computed shapes and NumPy brute force for the voxel and cell operators."""
 
+import collections
 import itertools
 import math
 
@@ -180,3 +181,24 @@ def test_stitching_joins_one_cell_cut_in_two(spark):
     local = patches.voxels_in_patches(whole, grid).select("vol_id", "patch_id", "z", "y", "x", (voxel.F.col("label") + voxel.F.col("patch_id") * 0 + 1).alias("label"), "confidence")
     out = segment.stitch_patches(local, grid, vol, (8, 8, 8))
     assert out.count() == len(cellbox) and out.select("label").distinct().count() == 1
+
+
+def test_flips_stay_in_each_patch(spark):
+    from voxframe.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = [tuple(r) for r in queries.QUERIES["flip_rot90"](spark, sf).select("patch_name", "z", "y", "x", "label").collect()]
+    before = [tuple(r) for r in queries.QUERIES["training_patches"](spark, sf).select("patch_name", "z", "y", "x", "label").collect()]
+    assert len(got) == len(set(got)) == len(before) and set(got) != set(before)
+    assert all(0 <= v < n for r in got for v, n in zip(r[1:4], queries.PATCH))
+    count = lambda rows: collections.Counter(r[0] for r in rows)
+    assert count(got) == count(before)
+
+
+def test_flips_follow_the_size_of_each_patch(spark):
+    from voxframe.operators import augment
+
+    sizes = {f"p{i}": (3 + i % 3, 4, 4 + i % 2) for i in range(24)}
+    d = spark.createDataFrame([(p, z, y, x, *n) for p, n in sizes.items() for z in range(n[0]) for y in range(n[1]) for x in range(n[2])], "patch_name string, z long, y long, x long, nz long, ny long, nx long")
+    got = augment.flip_rot90(d, ("nz", "ny", "nx")).collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in d.collect())

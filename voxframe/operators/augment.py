@@ -19,14 +19,16 @@ def normal(seed: int, what: str, *keys: str):
     return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * draw(seed, what + "/v", *keys))
 
 
-def flip_rot90(rows: DataFrame, size: tuple[int, int, int], seed: int = 0) -> DataFrame:
-    """Flips along each axis and quarter turns of y and x, the same for an image and its labels; y and x must be of one size to turn."""
-    nz, ny, nx = size
-    z, y, x = (F.when(draw(seed, f"flip {a}", "patch_name") < 0.5, n - 1 - F.col(a)).otherwise(F.col(a)) for a, n in zip("zyx", size))
+def flip_rot90(rows: DataFrame, size: tuple[int | str, int | str, int | str], seed: int = 0) -> DataFrame:
+    """Flips along each axis and quarter turns of y and x, the same for an image and its labels.
+
+    Coordinates are local to the patch. ``size``: numbers, or names of columns that hold each patch's own size.
+    Only patches whose y and x are of one size turn.
+    """
+    nz, ny, nx = sizes = [F.col(n) if isinstance(n, str) else F.lit(n) for n in size]
+    z, y, x = (F.when(draw(seed, f"flip {a}", "patch_name") < 0.5, n - 1 - F.col(a)).otherwise(F.col(a)) for a, n in zip("zyx", sizes))
     out = rows.withColumns({"z": z, "y": y, "x": x})
-    if ny != nx:
-        return out
-    turns = F.floor(draw(seed, "turn", "patch_name") * 4)
+    turns = F.when(ny == nx, F.floor(draw(seed, "turn", "patch_name") * 4)).otherwise(0)
     ty = F.when(turns == 1, nx - 1 - F.col("x")).when(turns == 2, ny - 1 - F.col("y")).when(turns == 3, F.col("x")).otherwise(F.col("y"))
     tx = F.when(turns == 1, F.col("y")).when(turns == 2, nx - 1 - F.col("x")).when(turns == 3, ny - 1 - F.col("y")).otherwise(F.col("x"))
     return out.withColumns({"y": ty, "x": tx})

@@ -340,8 +340,12 @@ def patch_export_summary(vox, raw, vol):
 
 
 @query
-def flip_rot90(vox):
-    return augment.flip_rot90(vox.withColumnRenamed("vol_id", "patch_name"), (16, 88, 88))
+def flip_rot90(vox, vol):
+    corner = patches.patch_grid(vol, PATCH, STRIDE).withColumn("patch_name", F.format_string("%s_z%04d_y%04d_x%04d", "vol_id", "z0", "y0", "x0"))
+    corner = corner.select("vol_id", "patch_id", "patch_name", *(f"{a}0" for a in "zyx"), *(f"p{a}" for a in "zyx"))
+    local = [(F.col(a) - F.col(f"{a}0")).alias(a) for a in "zyx"]
+    labels = patches.voxels_in_patches(vox, corner).select("patch_name", *local, "label", "pz", "py", "px")
+    return augment.flip_rot90(labels, ("pz", "py", "px")).drop("pz", "py", "px")
 
 
 # --- segmentation ------------------------------------------------------------------------------
