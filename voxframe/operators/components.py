@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scratch import stored
+from ..functions.scratch import Tables, stored
 
 #: Cells of the x axis that one bucket of runs spans.
 _SPAN = 64
@@ -22,17 +22,21 @@ def graph_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star and small-star steps in turn: a node's neighbours are never gathered, only their least is taken.
     """
-    links = stored(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct(), "links")
+    work, turn = Tables(edges.sparkSession, "links"), 0
+    links = work.keep(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct(), "0")
     while True:
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(links.select("lo", "hi"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct(), "links")
+        large = work.keep(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct(), "large")
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(down.select("hi", "m")).where("hi <> lo").distinct()
-        small = stored(small, "links")
-        if not small.exceptAll(links).limit(1).count() and not links.exceptAll(small).limit(1).count():
+        small = work.keep(small, str(turn + 1))
+        # links are distinct: equal numbers, and none of one table that the other lacks
+        same = small.count() == links.count() and not small.join(links, ["hi", "lo"], "left_anti").limit(1).count()
+        work.drop("large", str(turn))
+        links, turn = small, turn + 1
+        if same:
             break
-        links = small
     nodes = links.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
     return nodes.union(nodes.select(F.col("component").alias("id"), "component").distinct())
 
