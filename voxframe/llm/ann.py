@@ -18,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, written
+from ..functions.scratch import stored
+from .common import parts
 
 #: Dimensions and bits of each on a curve; their product is under 64.
 CURVE_DIMS, CURVE_BITS = 8, 7
@@ -95,11 +96,11 @@ def ranks(places: DataFrame) -> DataFrame:
     """(curve, entry, rank): ranks from 0 in the order of each curve, from counts per task of the range-partitioned rows."""
     n = parts(places.sparkSession, 1)
     numbered = places.repartitionByRange(n, "curve", "place", "entry").sortWithinPartitions("curve", "place", "entry").mapInArrow(_number, "curve int, entry long, part int, at long")
-    numbered = written(numbered, "ann-order")
+    numbered = stored(numbered, "ann-order")
     counts = numbered.groupBy("curve", "part").count()
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("curve", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    return written(numbered.join(base, ["curve", "part"]).select("curve", "entry", (F.col("base") + F.col("at")).alias("rank")), "ann-ranks")
+    return stored(numbered.join(base, ["curve", "part"]).select("curve", "entry", (F.col("base") + F.col("at")).alias("rank")), "ann-ranks")
 
 
 def nearest(sample: np.ndarray, own: np.ndarray, dims: int, k: int):
@@ -178,14 +179,14 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 6, r
     rows = rows.where(F.size("vec") == dims)
     first = F.dense_rank().over(Window.partitionBy("vec").orderBy("id"))  # ids, not rows: one may be there many times
     entries = rows.withColumn("_n", first).where(F.col("_n") <= k + 1).groupBy("vec").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    entries = written(entries.select(F.col("ids")[0].alias("entry"), "vec", "ids"), "ann-entries")
+    entries = stored(entries.select(F.col("ids")[0].alias("entry"), "vec", "ids"), "ann-entries")
     top = entries.select(F.max(F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double"))))), F.count(F.lit(1))).first()
     spread, count = float(top[0]) * min(dims, 64) ** 0.5, top[1]
     spread = min(spread, entries.select(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))).first()[0])
     order = ranks(entries.select("entry", "vec").mapInArrow(curve_places(dims, curves, -spread, spread, seed), "curve int, place long, entry long"))
 
     asked = rows.where(F.col("id") % every == 0).join(entries.select("vec", "entry"), "vec").select(F.col("id").alias("query_id"), "vec", "entry")
-    asked = written(asked, "ann-queries")
+    asked = stored(asked, "ann-queries")
     some = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(sample).select("entry", "vec").dropDuplicates(["entry"]).collect()
     if not some:
         return spark.createDataFrame([], schema)

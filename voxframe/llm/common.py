@@ -1,15 +1,12 @@
-"""Helpers shared by the corpus operators: the shared scratch folder, Arrow text buffers, hashing."""
+"""Helpers shared by the corpus operators: Arrow text buffers, words, hashing."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -17,29 +14,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SLICE_BYTES = 1 << 18
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names; that folder is made only where the setting is absent."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="voxframe-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder, which cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished jobs now: Spark's cleaner drops them once the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def parts(spark: SparkSession, times: int = 1) -> int:
     """So many groups of work as the session's shuffle partitions ask for, times a factor."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * times)
@@ -159,29 +133,3 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return Spans(BYTE_VALUES[data]).hash(starts, ends)
-
-
-# --- graphs ----------------------------------------------------------------------------------
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): the smallest id reachable from each id along ``edges``; ids without an edge are absent.
-
-    Alternates large-star and small-star steps, each a join and a minimum per node, so that even one
-    huge star or a long chain needs few rounds and no node's neighbours meet in one task.
-    Each round is written to the shared folder.
-    """
-    links = written(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct(), "links")
-    while True:
-        both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(links.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
-        large = written(large, "links")
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(down, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(down.select("hi", "m")).where("hi <> lo").distinct()
-        small = written(small, "links")
-        if not small.exceptAll(links).limit(1).count() and not links.exceptAll(small).limit(1).count():
-            break
-        links = small
-    nodes = links.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
-    return nodes.union(nodes.select(F.col("component").alias("id"), "component").distinct())

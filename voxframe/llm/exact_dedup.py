@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, scratch
+from ..functions.scratch import new_path
+from .common import ascii_lower
 
 #: Settings of the keyed state while the stream runs.
 STATE = {
@@ -28,7 +29,7 @@ def keyed_state(spark, path: str, schema, files_per_batch: int = 1000) -> DataFr
     is on the executors' disks, with its snapshots in the shared folder, and has no time to live.
     """
     before = {k: spark.conf.get(k, None) for k in STATE}
-    at = scratch(spark, "exact-state")
+    at = new_path(spark, "exact-state")
     try:
         for k, v in STATE.items():
             spark.conf.set(k, v)
@@ -64,17 +65,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("body"), F.input_file_name().alias("locator"))
     rows = rows.withColumn("digest", digest(F.col("body")).cast("string"))
-    path = scratch(spark, "exact-digests")
+    path = new_path(spark, "exact-digests")
     rows.select("digest", "id", "locator").write.parquet(path)
     slim = spark.read.schema("digest string, id long, locator string").parquet(path)
     index = keyed_state(spark, path, slim.schema)
-    index_path = scratch(spark, "exact-index")
+    index_path = new_path(spark, "exact-index")
     index.write.parquet(index_path)
     index = spark.read.schema("digest string, keep_id long, group_size long, locator string").parquet(index_path)
 
     # Hits: every row of a digest that came more than once, by its full bytes.
     hits = rows.select("id", "digest", "body").join(index.where("group_size > 1").select("digest"), "digest", "left_semi")
-    bodies_path = scratch(spark, "exact-bodies")
+    bodies_path = new_path(spark, "exact-bodies")
     hits.groupBy("digest", "body").agg(F.max("id").alias("own_keep"), F.count(F.lit(1)).alias("own_size")).write.parquet(bodies_path)
     bodies = spark.read.schema("digest string, body string, own_keep long, own_size long").parquet(bodies_path)
     clashes = bodies.groupBy("digest").count().where("count > 1").select("digest")

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts, scratch
+from ..functions.scratch import new_path
+from .common import parts
 
 COLUMNS = ("block", "release", "deadline", "slot", "block_offset")
 #: Blocks of a source in one row of the plan, and of all sources that the driver holds before it writes them.
@@ -87,7 +88,7 @@ def written_plan(spark: SparkSession, shares: Mapping[str, int], blocks: Mapping
     far = [s for s in shares if -(-blocks[s] * total // shares[s]) >= 1 << 63]
     if far:
         raise ValueError(f"weights so small that slots pass 64 bits: {far[:5]}")
-    path = scratch(spark, "mixing-plan")
+    path = new_path(spark, "mixing-plan")
     open_: dict[str, tuple[array, array, array]] = {s: (array("q"), array("q"), array("q")) for s in shares}
     done: list[tuple] = []
 

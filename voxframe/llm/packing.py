@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from ..functions.scratch import stored
 
 #: Words that one Python worker remembers with their ids, in each of two generations; so many pieces of words too.
 CACHE_WORDS = 250_000
@@ -155,12 +155,12 @@ def token_stream(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col:
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.input_file_name().alias("file"), F.input_file_block_start().alias("block"))
     schema = "doc_id long, file string, block long, part int, before long, doc_tokens long, width int, ids binary"
-    tokens = written(rows.mapInArrow(tokenise(tokenizer_path, end_id), schema), "tokens")
+    tokens = stored(rows.mapInArrow(tokenise(tokenizer_path, end_id), schema), "tokens")
     segment = ["file", "block", "part"]
     totals = tokens.groupBy(*segment).agg(F.sum("doc_tokens").alias("total"))
     # one row per file block that a task read: as many as tasks, whatever the number of documents
     order = Window.orderBy(*segment).rowsBetween(Window.unboundedPreceding, -1)
-    bases = written(totals.select(*segment, F.coalesce(F.sum("total").over(order), F.lit(0)).alias("base")), "bases")
+    bases = stored(totals.select(*segment, F.coalesce(F.sum("total").over(order), F.lit(0)).alias("base")), "bases")
     return tokens.join(bases, segment).select("doc_id", "doc_tokens", (F.col("base") + F.col("before")).alias("begin"), "width", "ids")
 
 

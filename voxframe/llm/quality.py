@@ -15,7 +15,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, held_out, slices, text_buffers, word_spans, word_hashes, written
+from ..functions.scratch import stored
+from .common import SLICE_BYTES, held_out, slices, text_buffers, word_spans, word_hashes
 
 #: Byte groups whose shares are statistics.
 GROUPS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t", ".", ",", "!", "?", "|", "#", "$", "%", "&", "*", "\"'", "-_", "()[]{}<>", ":;/\\@=+~^`"]
@@ -181,7 +182,7 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, dige
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([text_digest(F.col(text_col)).alias("digest")] if digests else []))
     names = ["doc_id", "digest"] if digests else ["doc_id"]
     schema = "doc_id long, digest string, " if digests else "doc_id long, "
-    stats = written(rows.mapInArrow(features_of, schema + "stats array<float>"), "quality-stats")
+    stats = stored(rows.mapInArrow(features_of, schema + "stats array<float>"), "quality-stats")
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("label"))
     model = fit(stats.join(known, "doc_id").select("stats", "label"), **options)
 

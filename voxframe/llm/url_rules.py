@@ -13,7 +13,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import UPPER, written
+from ..functions.scratch import stored
+from .common import UPPER
 
 #: (verdict, host, path) of the fixed rules.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -82,12 +83,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     host, path = host_and_path(F.col("url"))
     urls = urls.withColumn("host", host).withColumn("path", path)
     name, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
-    urls = written(urls.select("id", "host", "path", name.alias("rule"), verdict.alias("verdict"), url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens")), "urls")
+    urls = stored(urls.select("id", "host", "path", name.alias("rule"), verdict.alias("verdict"), url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens")), "urls")
     labelled = urls.where("verdict is not null and size(tokens) > 0")
     sets = urls.where("verdict is null and size(tokens) > 0").select(F.array_sort("tokens").alias("tokens")).distinct()
     nothing = F.lit(None).cast("struct<confidence: double, support: double, n: int, allows: boolean, mined: array<string>>")
     if labelled.limit(1).count():
-        mined = written(mine(labelled.select("tokens", "verdict"), min_support, min_confidence), "url-rules")
+        mined = stored(mine(labelled.select("tokens", "verdict"), min_support, min_confidence), "url-rules")
         hits = sets.select("tokens", F.explode("tokens").alias("key")).join(mined, "key").where(F.size(F.array_except("antecedent", "tokens")) == 0)
         rank = F.struct("confidence", "support", F.size("antecedent").alias("n"), (~F.col("block")).alias("allows"), F.col("antecedent").alias("mined"))
         best = hits.groupBy("tokens").agg(F.max(rank).alias("best"))
