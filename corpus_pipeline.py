@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxframe.llm import exact_dedup, jaccard, mixing, packing, quality
-from voxframe.llm.common import scratch
+from voxframe.functions.scratch import new_path
 from voxframe.llm.queries import table, tokenizer_path
 
 
@@ -54,7 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = scratch(spark, f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
