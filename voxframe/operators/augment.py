@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import stored
+
 
 def draw(seed: int, what: str, *keys: str):
     """A number in 0..1 that depends on the keys alone."""
@@ -43,18 +45,18 @@ def intensity_jitter(rows: DataFrame, seed: int = 0, brightness: float = 0.08, c
 
 
 def blur(rows: DataFrame, sigmas: dict[str, float]) -> DataFrame:
-    """Gaussian blur along each axis in turn, weights renewed at the patch's ends."""
-    out = rows
+    """Gaussian blur along each axis in turn, weights renewed at the ends of the patch, which is a full box."""
+    ends = rows.groupBy("patch_name").agg(*(g(a).alias(f"_{m}_{a}") for a in sigmas for m, g in (("lo", F.min), ("hi", F.max))))
+    out = rows.join(ends, "patch_name")
     for a, s in sigmas.items():
         if s <= 0:
             continue
         reach = max(1, int(3 * s + 0.5))
         taps = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(float(np.exp(-d * d / (2 * s * s)))).alias("w")) for d in range(-reach, reach + 1)))
-        spread = out.withColumn("_t", F.explode(taps)).withColumn("_to", F.col(a) + F.col("_t.d"))
-        rest = [c for c in ("patch_name", "z", "y", "x") if c != a]
-        sums = spread.groupBy(*rest, F.col("_to").alias(a)).agg((F.sum(F.col("norm") * F.col("_t.w")) / F.sum("_t.w")).alias("norm"))
-        out = sums.join(out.select("patch_name", "z", "y", "x"), ["patch_name", "z", "y", "x"], "left_semi").select(*rows.columns)
-    return out
+        spread = out.withColumn("_t", F.explode(taps)).withColumn("_to", F.col(a) + F.col("_t.d")).where(F.col("_to").between(F.col(f"_lo_{a}"), F.col(f"_hi_{a}")))
+        rest = [c for c in out.columns if c not in (a, "norm")]
+        out = spread.groupBy(*rest, F.col("_to").alias(a)).agg((F.sum(F.col("norm") * F.col("_t.w")) / F.sum("_t.w")).alias("norm"))
+    return out.select(*rows.columns)
 
 
 def poisson_noise(rows: DataFrame, photons: float = 100.0, seed: int = 0) -> DataFrame:
@@ -82,7 +84,7 @@ def degrade(rows: DataFrame, seed: int = 0, share: float = 0.5) -> DataFrame:
     """Half of the patches get one of Poisson noise, blur, coarse y and x, or blur along z."""
     kind = F.when(draw(seed, "degrade", "patch_name") < share, F.floor(draw(seed, "kind", "patch_name") * 4)).otherwise(-1)
     kinds = rows.select("patch_name").distinct().withColumn("_kind", kind)
-    marked = rows.join(kinds, "patch_name")
+    marked = stored(rows.join(kinds, "patch_name"), "degrade")
     pick = lambda k: marked.where(F.col("_kind") == k).select(*rows.columns)
     out = pick(-1).unionByName(poisson_noise(pick(0), seed=seed)).unionByName(blur(pick(1), {"z": 1.0, "y": 1.0, "x": 1.0}))
     return out.unionByName(coarse_xy(pick(2))).unionByName(blur(pick(3), {"z": 2.0, "y": 0.5, "x": 0.5}))

@@ -13,7 +13,21 @@ from .voxel import CELL
 #: Names that stand for several columns.
 EXPANDED = {"centroid": ["centroid_z_um", "centroid_y_um", "centroid_x_um"]}
 #: Columns whose values are classes.
-CATEGORICAL = ("cluster_id", "is_anomaly", "region_z", "region_y", "region_x")
+CATEGORICAL = ("cluster_id", "is_anomaly", "region_z_bin", "region_y_bin", "region_x_bin")
+#: Columns of each group that maps may be made of.
+GROUPS = {
+    "morphology": ("volume_um3", "equivalent_diameter_um", "surface_area_um2", "sphericity", "compactness", "axis_major_um", "axis_intermediate_um", "axis_minor_um", "elongation", "flatness", "major_minor_ratio"),
+    "intensity": ("mean_intensity", "std_intensity", "cv_intensity", "sum_intensity", "skewness_intensity", "kurtosis_intensity"),
+    "neighborhood": ("nearest_neighbor_distance_um", "neighbor_mean_volume_um3", "self_vs_neighbor_volume_um3_zscore", "self_vs_neighbor_sphericity_zscore", "self_vs_neighbor_elongation_zscore"),
+    "contact": ("contact_neighbor_count", "contact_area_total_um2", "contact_area_mean_um2", "contact_fraction"),
+    "region": ("region_z_bin", "region_y_bin", "region_x_bin"),
+    "anomaly": ("anomaly_score", "robust_z_log_volume", "robust_z_sphericity", "robust_z_elongation", "isolation_forest_score", "lof_score"),
+    "cluster": ("cluster_id",),
+}
+#: Columns that maps are made of if nothing else is said.
+CORE = ("volume_um3", "equivalent_diameter_um", "sphericity", "elongation", "nearest_neighbor_distance_um", "anomaly_score", "cluster_id")
+#: Columns that a summary describes, as far as a table has them.
+SUMMARY = ("volume_um3", "equivalent_diameter_um", "surface_area_um2", "sphericity", "elongation", "flatness", "nearest_neighbor_distance_um", "anomaly_score")
 
 
 def merge_features(cells: DataFrame, *tables: DataFrame) -> DataFrame:
@@ -60,25 +74,34 @@ def select_features(cells: DataFrame, names: Sequence[str] | None = None) -> lis
     return [c for c in dict.fromkeys(wanted) if c in cells.columns] or ["volume_um3"]
 
 
-def map_features(cells: DataFrame, mode: str = "core", custom: Sequence[str] = ()) -> list[str]:
-    """The numeric columns to paint: a few (core), all, or custom names."""
+def map_features(cells: DataFrame, mode: str = "core", groups: Sequence[str] = (), custom: Sequence[str] = ()) -> list[str]:
+    """The numeric columns to paint: a few (``core``), those of ``groups``, those named (``custom``), or ``all``."""
     numeric = [c for c, t in cells.dtypes if t in ("double", "float", "int", "bigint", "boolean") and c not in ("label", "label_id") and not c.startswith("bbox_")]
-    core = [c for c in numeric if c in ("volume_um3", "sphericity", "elongation", "surface_area_um2", "cluster_id", "anomaly_score")]
-    chosen = {"core": core, "all": numeric, "custom": [c for c in custom if c in numeric]}
-    if mode not in chosen:
-        raise ValueError(f"unknown mode {mode}")
-    return list(dict.fromkeys(chosen[mode]))
-
-
-def summary_stats(cells: DataFrame, features: Sequence[str]) -> DataFrame:
-    """A10: (metric, value) with the number of cells and each feature's mean, median, deviation and 5 % and 95 % points over its finite values."""
-    aggs = [F.count(F.lit(1)).cast("double").alias("cell_count")]
-    for f in features:
+    unknown = [g for g in groups if g not in GROUPS]
+    if mode not in ("core", "groups", "custom", "all") or unknown:
+        raise ValueError(f"unknown mode {mode}" if not unknown else f"unknown groups {unknown}")
+    if mode == "groups":
+        local = [c for c in numeric if c.startswith(("local_density_k", "radius_"))] if "neighborhood" in groups else []
+        wanted = [*(c for g in groups for c in GROUPS[g]), *local]
+    else:
+        wanted = {"core": CORE, "custom": custom, "all": numeric}[mode]
+    return [c for c in dict.fromkeys(wanted) if c in numeric]
+
+
+def summary_stats(cells: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
+    """A10: (metric, value) with the number of cells, each feature's mean, median, deviation and 5 % and 95 % points over its finite
+    values (none if there are no such), and the share of anomalies where they are marked."""
+    aggs = [F.count(F.lit(1)).cast("double").alias("cell_count_total")]
+    for f in SUMMARY if features is None else features:
+        if f not in cells.columns:
+            continue
         v = missing_if_nan(F.col(f))
         p = F.percentile(v, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-        aggs += [F.avg(v).alias(f"mean_{f}"), p[1].alias(f"median_{f}"), F.stddev_pop(v).alias(f"std_{f}"), p[0].alias(f"q05_{f}"), p[2].alias(f"q95_{f}")]
+        aggs += [F.avg(v).alias(f"{f}_mean"), p[1].alias(f"{f}_median"), F.stddev_pop(v).alias(f"{f}_std"), p[0].alias(f"{f}_q05"), p[2].alias(f"{f}_q95")]
+    if "is_anomaly" in cells.columns:
+        aggs.append(F.avg(F.col("is_anomaly").cast("double")).alias("anomaly_fraction"))
     wide = cells.groupBy("vol_id").agg(*aggs)
-    return wide.unpivot(["vol_id"], wide.columns[1:], "metric", "value")
+    return wide.unpivot(["vol_id"], wide.columns[1:], "metric", "value").where("value IS NOT NULL")
 
 
 def size_histogram(sizes: DataFrame, bins: int = 50, column: str = "voxel_count") -> DataFrame:
@@ -111,9 +134,21 @@ def feature_maps(voxels: DataFrame, cells: DataFrame, features: Sequence[str]) -
 
 
 def feature_map_manifest(cells: DataFrame, features: Sequence[str], folder: str) -> DataFrame:
-    """(feature, kind, path) of the maps that would be written."""
-    rows = [(f, "classes" if f in CATEGORICAL else "quantized", f"{folder}/{f}") for f in features]
-    return cells.sparkSession.createDataFrame(rows, "feature string, kind string, path string")
+    """(group, feature, path, note) of the maps of features."""
+    group = {f: g for g, names in GROUPS.items() for f in names}
+    note = {True: "class number + 1, 0 where there is none", False: "0..65535 between the 1 % and 99 % points, 0 where there is no value"}
+    rows = [(group.get(f, "other"), f, f"{folder}/{f}", note[f in CATEGORICAL]) for f in features if f in cells.columns]
+    return cells.sparkSession.createDataFrame(rows, "group string, feature string, path string, note string")
+
+
+def write_feature_maps(voxels: DataFrame, cells: DataFrame, features: Sequence[str], folder: str) -> DataFrame:
+    """One map per feature, painted in one join, as tables of (vol_id, z, y, x, value); returns their manifest, which is written beside them."""
+    features = [f for f in features if f in cells.columns]
+    maps = feature_maps(voxels, cells, features).unpivot(["vol_id", "z", "y", "x"], list(features), "feature", "value")
+    maps.write.partitionBy("feature").parquet(f"{folder}/maps")
+    manifest = feature_map_manifest(cells, features, f"{folder}/maps").withColumn("path", F.concat(F.lit(f"{folder}/maps/feature="), "feature"))
+    manifest.coalesce(1).write.parquet(f"{folder}/manifest")
+    return manifest
 
 
 def preview(cells: DataFrame, n: int = 20) -> DataFrame:

@@ -89,6 +89,21 @@ def apply_edit_log(voxels: DataFrame, edits: DataFrame) -> DataFrame:
     return voxels.select(*VOXEL, "label").join(last.select(*VOXEL), VOXEL, "left_anti").unionByName(last.where("label > 0"))
 
 
+def active_edits(log: DataFrame, undo: str = "undo", keys: Sequence[str] = ("layer_name",)) -> DataFrame:
+    """The log without undone edits: an entry ``undo`` takes back the newest edit of its layer that is still there, if any.
+
+    The number of edits in force rises with each edit and falls with each undo, not below 0. An edit is undone if the
+    number falls below what it was with the edit at any later entry.
+    """
+    line = Window.partitionBy(*keys).orderBy("seq")
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    out = log.withColumn("_sum", F.sum(F.when(F.col("operation") == undo, -1).otherwise(1)).over(so_far))
+    out = out.withColumn("_depth", F.col("_sum") - F.least(F.min("_sum").over(so_far), F.lit(0)))
+    later = F.min("_depth").over(line.rowsBetween(1, Window.unboundedFollowing))
+    kept = out.withColumn("_later", later).where((F.col("operation") != undo) & (F.col("_later").isNull() | (F.col("_later") >= F.col("_depth"))))
+    return kept.select(*log.columns)
+
+
 def latest_edits(log: DataFrame, keys: Sequence[str] = ("layer_name",), depth: int = 20) -> DataFrame:
     """The newest edits that undo can take back, the newest with place 1."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("seq")))
@@ -100,9 +115,13 @@ def edit_audit(log: DataFrame) -> DataFrame:
     return log.groupBy("operation").agg(F.count(F.lit(1)).alias("edits"), F.countDistinct("label_id").alias("labels"), F.countDistinct("z_index").alias("slices"), F.max("ts").alias("last_ts"))
 
 
-def z_run_bbox(voxels: DataFrame, starts: DataFrame, max_empty_gap: int = 1) -> DataFrame:
-    """The box of each label (vol_id, label, start_z) over the slices around its start, up to a gap of more than ``max_empty_gap`` empty slices."""
-    per = voxels.join(starts, ["vol_id", "label"]).groupBy("vol_id", "label", "start_z", "z").agg(*(g(a).alias(f"{m}_{a}") for a in "yx" for m, g in (("lo", F.min), ("hi", F.max))))
+def z_run_bbox(voxels: DataFrame, starts: DataFrame, max_empty_gap: int = 1, reach: int | None = None) -> DataFrame:
+    """The box of each label (vol_id, label, start_z) over the slices around its start, up to a gap of more than ``max_empty_gap`` empty slices.
+
+    With ``reach``, slices farther from the start than that are not looked at, as for a click.
+    """
+    near = voxels.join(starts, ["vol_id", "label"])
+    per = (near if reach is None else near.where(F.abs(F.col("z") - F.col("start_z")) <= reach)).groupBy("vol_id", "label", "start_z", "z").agg(*(g(a).alias(f"{m}_{a}") for a in "yx" for m, g in (("lo", F.min), ("hi", F.max))))
     line = Window.partitionBy("vol_id", "label", "start_z").orderBy("z")
     gap = (F.col("z") - F.lag("z").over(line) - 1 > max_empty_gap).cast("int")
     per = per.withColumn("_g", F.coalesce(gap, F.lit(0))).withColumn("_i", F.sum("_g").over(line.rowsBetween(Window.unboundedPreceding, 0)))

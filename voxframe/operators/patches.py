@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import axis_starts, clipped, padded_length, reflected
+from ..functions.scratch import stored
 from .voxel import VOXEL, label_numbers
 
 
@@ -75,7 +76,12 @@ def inference_grid(volumes: DataFrame, patch: Sequence[int], stride: Sequence[in
 
 def pad_volume(rows: DataFrame, volumes: DataFrame, patch: Sequence[int], stride: Sequence[int]) -> DataFrame:
     """The volume lengthened at its ends, mirrored without repeating the edge. Labels padded with 0 need no rows."""
-    v = volumes.select("vol_id", *(f"n{a}" for a in "zyx"), *(padded_length(F.col(f"n{a}"), p, s).alias(f"m{a}") for a, p, s in zip("zyx", patch, stride)))
+    return mirrored(rows, volumes, {a: padded_length(F.col(f"n{a}"), p, s) for a, p, s in zip("zyx", patch, stride)})
+
+
+def mirrored(rows: DataFrame, volumes: DataFrame, lengths: dict) -> DataFrame:
+    """The volume lengthened to the given length on each axis."""
+    v = volumes.select("vol_id", *(f"n{a}" for a in "zyx"), *(n.alias(f"m{a}") for a, n in lengths.items()))
     out = rows
     for a in "zyx":  # each axis maps source index to all padded indexes
         axis = v.select("vol_id", F.col(f"n{a}").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"m{a}") - 1)).alias("to"))
@@ -164,25 +170,40 @@ def sample_patches(patches: DataFrame, n: int, seed: int = 2026) -> DataFrame:
 
 
 def strided_sample(rows: DataFrame, n: int, order: Sequence[str] = ("z", "y", "x")) -> DataFrame:
-    """O3: at most n evenly spaced rows of each volume."""
-    line, every = Window.partitionBy("vol_id").orderBy(*order), Window.partitionBy("vol_id")
-    step = F.greatest(F.ceil(F.count(F.lit(1)).over(every) / n), F.lit(1))
-    return rows.withColumn("_step", step).withColumn("_at", F.row_number().over(line) - 1).where("_at % _step = 0").drop("_step", "_at")
-
-
-def training_patches(voxels: DataFrame, raw: DataFrame, volumes: DataFrame, patch: Sequence[int], stride: Sequence[int], min_instances: int = 1, threshold: float = 0.0, limit: int | None = None, seed: int = 2026) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(patches kept, image rows, label rows) for training; labels run 1..N in each patch, which is named by its corner."""
-    norm = percentile_normalize(raw)
+    """O3: at most n evenly spaced rows of each volume. Rows are numbered in groups of the first of ``order``, which are counted before; no window runs over a volume."""
+    first, *rest = order
+    counts = rows.groupBy("vol_id", first).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("vol_id").orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"_base": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy("vol_id"))})
+    line = Window.partitionBy("vol_id", first).orderBy(*rest)
+    step = F.greatest(F.ceil(F.col("_all") / n), F.lit(1))
+    out = rows.withColumn("_at", F.row_number().over(line) - 1).join(counts.select("vol_id", first, "_base", "_all"), ["vol_id", first])
+    return out.where((F.col("_base") + F.col("_at")) % step == 0).select(*rows.columns)
+
+
+def training_patches(voxels: DataFrame, raw: DataFrame, volumes: DataFrame, patch: Sequence[int], stride: Sequence[int], min_instances: int = 1, threshold: float | None = None, limit: int | None = None, seed: int = 2026) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(patches kept, image rows, label rows) for training; labels run 1..N in each patch, which is named by its corner.
+
+    Patches are chosen by their labels first. The 99.9 percentile is computed only with a ``threshold``, and only for those. A volume
+    shorter than a patch is mirrored for images; labels are 0 there.
+    """
     grid = patch_grid(volumes, patch, stride)
-    enough = instances_per_patch(voxels, grid).where(F.col("instances") >= min_instances)
-    kept = grid.join(enough, ["vol_id", "patch_id"]).join(patch_p999(norm, grid).where(F.col("p999") >= threshold), ["vol_id", "patch_id"])
+    inside = stored(voxels_in_patches(voxels.select(*VOXEL, "label"), grid), "patch-labels")
+    enough = inside.groupBy("vol_id", "patch_id").agg(F.countDistinct("label").alias("instances")).where(F.col("instances") >= min_instances)
+    if min_instances < 1:
+        enough = grid.select("vol_id", "patch_id").join(enough, ["vol_id", "patch_id"], "left").fillna(0, ["instances"])
+    kept = grid.join(enough, ["vol_id", "patch_id"])
+    norm = percentile_normalize(raw)
+    if threshold is not None:
+        kept = kept.join(patch_p999(norm, kept.drop("instances")).where(F.col("p999") >= threshold), ["vol_id", "patch_id"])
     if limit is not None:
         kept = sample_patches(kept, limit, seed)
     kept = kept.withColumn("patch_name", F.format_string("%s_z%04d_y%04d_x%04d", "vol_id", "z0", "y0", "x0"))
     corner = kept.select("vol_id", "patch_id", "patch_name", *(f"{a}0" for a in "zyx"), *(f"p{a}" for a in "zyx"))
     local = [(F.col(a) - F.col(f"{a}0")).alias(a) for a in "zyx"]
-    images = voxels_in_patches(norm, corner).select("vol_id", "patch_name", *local, "norm")
-    labels = voxels_in_patches(voxels, corner)
+    whole = mirrored(norm, volumes, {a: F.greatest(F.col(f"n{a}"), F.lit(p).cast("long")) for a, p in zip("zyx", patch)})
+    images = voxels_in_patches(whole, corner).select("vol_id", "patch_name", *local, "norm")
+    labels = inside.select("vol_id", "patch_id", *VOXEL[1:], "label").join(corner, ["vol_id", "patch_id"])
     numbers = label_numbers(labels, ("vol_id", "patch_name"))
     labels = labels.join(numbers, ["vol_id", "patch_name", "label"]).select("vol_id", "patch_name", *local, F.col("new_label").alias("label"))
     return kept, images, labels

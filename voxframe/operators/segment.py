@@ -7,15 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import stored
 from .components import contact_continuity, drop_small_slices, graph_components, split_disconnected, voxel_components
+from .patches import voxels_in_patches
 from .voxel import CELL, VOXEL, relabel_sequential
 
 QUERY = ["patch_id", "query_id"]
 PIXEL = ["patch_id", "z", "y", "x"]
+GROUP = ["patch_id", "z", "component", "group"]
 
 
 def logits_to_prob(queries: DataFrame, column: str = "logit") -> DataFrame:
@@ -41,6 +44,15 @@ def topk_queries(queries: DataFrame, k: int = 300, min_score: float = 0.5, thres
     return q.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def class_topk(logits: DataFrame, k: int = 100) -> DataFrame:
+    """(patch_id, query_id, class, score): softmax over each query's classes, of which the last means no object, and the k best pairs of each patch."""
+    peak = Window.partitionBy(*QUERY)
+    e = logits.withColumns({"_e": F.exp(F.col("logit") - F.max("logit").over(peak)), "_last": F.max("class").over(peak)})
+    e = e.withColumn("score", F.col("_e") / F.sum("_e").over(peak)).where(F.col("class") < F.col("_last"))
+    place = F.row_number().over(Window.partitionBy("patch_id").orderBy(F.desc("score"), "query_id", "class"))
+    return e.withColumn("rank", place).where(F.col("rank") <= k).select(*QUERY, "class", "score", "rank")
+
+
 def masks(queries: DataFrame, threshold: float = 0.5) -> DataFrame:
     return queries.where(F.col("prob") > threshold)
 
@@ -58,12 +70,12 @@ def mask_pair_overlap(queries: DataFrame, threshold: float = 0.5, min_overlap: i
     return both.select("patch_id", "z", "query_a", "query_b", "overlap", (i / (F.least(a, b) + 1e-6)).alias("iom"), (i / (a + b - i + 1e-6)).alias("iou"))
 
 
-def merge_groups(overlaps: DataFrame, iom: float = 0.8, iou: float = 0.5) -> DataFrame:
-    """(patch_id, z, query_id, group): queries that overlap enough in a slice, directly or by way of others."""
+def merge_groups(overlaps: DataFrame, iom: float = 0.8, iou: float = 0.5, keys: Sequence[str] = ("patch_id", "z")) -> DataFrame:
+    """(keys, query_id, group): queries that overlap enough, directly or by way of others, in a slice or what else the keys tell apart."""
     e = overlaps.where((F.col("iom") > iom) | (F.col("iou") > iou))
-    node = lambda q: F.struct("patch_id", "z", F.col(q).alias("query_id"))
+    node = lambda q: F.struct(*keys, F.col(q).alias("query_id"))
     found = graph_components(e.select(node("query_a").alias("a"), node("query_b").alias("b")))
-    return found.select("id.patch_id", "id.z", "id.query_id", F.col("component.query_id").alias("group"))
+    return found.select(*(f"id.{k}" for k in keys), "id.query_id", F.col("component.query_id").alias("group"))
 
 
 def conflict_components(queries: DataFrame, threshold: float = 0.5, min_pixels: int = 20) -> DataFrame:
@@ -75,42 +87,60 @@ def conflict_components(queries: DataFrame, threshold: float = 0.5, min_pixels:
 
 
 def adjacent_slice_iou(merged: DataFrame, queries: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(patch_id, z, group, query_id, iou): a merged slice against each of its queries' masks one slice above and below, the better of the two."""
+    """(patch_id, z, component, group, query_id, iou): a merged slice against each of its queries' masks one slice above and below, the better of the two."""
     m = masks(queries, threshold).select(*PIXEL, "query_id")
-    area = merged.groupBy("patch_id", "z", "group").agg(F.countDistinct("y", "x").alias("_a"))
-    members = merged.select("patch_id", "z", "group", "query_id").distinct()
-    pixels = merged.select("patch_id", "z", "group", "y", "x").distinct()
+    area = merged.groupBy(*GROUP).agg(F.countDistinct("y", "x").alias("_a"))
+    members = merged.select(*GROUP, "query_id").distinct()
+    pixels = merged.select(*GROUP, "y", "x").distinct()
     out = None
     for d in (-1, 1):
         there = m.withColumn("z", F.col("z") - d)
         size = there.groupBy("patch_id", "z", "query_id").agg(F.count(F.lit(1)).alias("_b"))
-        hit = pixels.join(there, PIXEL).groupBy("patch_id", "z", "group", "query_id").agg(F.count(F.lit(1)).alias("_i"))
-        one = members.join(size, ["patch_id", "z", "query_id"], "left").join(hit, ["patch_id", "z", "group", "query_id"], "left").join(area, ["patch_id", "z", "group"])
+        hit = pixels.join(there, PIXEL).groupBy(*GROUP, "query_id").agg(F.count(F.lit(1)).alias("_i"))
+        one = members.join(size, ["patch_id", "z", "query_id"], "left").join(hit, [*GROUP, "query_id"], "left").join(area, GROUP)
         i = F.coalesce("_i", F.lit(0))
-        one = one.select("patch_id", "z", "group", "query_id", (i / (F.col("_a") + F.coalesce("_b", F.lit(0)) - i + 1e-6)).alias("iou"))
+        one = one.select(*GROUP, "query_id", (i / (F.col("_a") + F.coalesce("_b", F.lit(0)) - i + 1e-6)).alias("iou"))
         out = one if out is None else out.union(one)
-    return out.groupBy("patch_id", "z", "group", "query_id").agg(F.max("iou").alias("iou"))
+    return out.groupBy(*GROUP, "query_id").agg(F.max("iou").alias("iou"))
+
 
+def resolve_conflicts(queries: DataFrame, threshold: float = 0.5, min_pixels: int = 20, min_voxels: int = 20, scores: DataFrame | None = None, iom: float = 0.8, iou: float = 0.5) -> DataFrame:
+    """Of the masks that meet in one conflict (G4) and belong together (G5), the one most like its neighbouring slices gets their union
+    at the greatest probability; the others lose it there. Ties go to the better ``final_score`` of ``scores`` (patch_id, query_id, final_score), or else the query's score.
 
-def resolve_conflicts(queries: DataFrame, threshold: float = 0.5, min_pixels: int = 20) -> DataFrame:
-    """Where overlapping masks of a slice belong together, the one most like its neighbouring slices gets their union
-    at the greatest probability, ties by score; the others lose it there. All slices are judged on the state before."""
+    Unions of under ``min_voxels`` pixels are left as they are. All conflicts are judged on the state before.
+    """
     m = masks(queries, threshold)
-    groups = merge_groups(mask_pair_overlap(queries, threshold, min_pixels))
-    merged = stored(m.join(groups, ["patch_id", "z", "query_id"]).select(*PIXEL, "group", "query_id", "score", "prob"), "merged")
+    conflicts = conflict_components(queries, threshold, min_pixels)
+    part = m.join(conflicts, PIXEL).select("patch_id", "z", "component", "query_id").distinct()
+    pairs = mask_pair_overlap(queries, threshold, min_pixels)
+    for side in ("query_a", "query_b"):
+        pairs = pairs.join(part.withColumnRenamed("query_id", side), ["patch_id", "z", *(["component"] if "component" in pairs.columns else []), side])
+    groups = merge_groups(pairs, iom, iou, ("patch_id", "z", "component"))
+    merged = m.join(groups, ["patch_id", "z", "query_id"]).select(*PIXEL, "component", "group", "query_id", "score", "prob")
+    merged = stored(merged, "merged")
+    large = merged.groupBy(*GROUP).agg(F.countDistinct("y", "x").alias("_n")).where(F.col("_n") >= min_voxels)
+    merged = merged.join(large, GROUP, "left_semi")
     like = adjacent_slice_iou(merged, queries, threshold)
-    score = merged.select("patch_id", "z", "group", "query_id", "score").distinct()
-    owner = like.join(score, ["patch_id", "z", "group", "query_id"]).groupBy("patch_id", "z", "group").agg(F.max_by(F.struct("query_id", "score"), F.struct("iou", "score", (-F.col("query_id")).alias("q"))).alias("o"))
-    union = merged.groupBy(*PIXEL, "group").agg(F.max("prob").alias("prob")).join(owner, ["patch_id", "z", "group"])
-    won = union.select("patch_id", F.col("o.query_id").alias("query_id"), F.col("o.score").alias("score"), "z", "y", "x", "prob")
-    rest = queries.join(merged.select(*PIXEL, "query_id"), [*PIXEL, "query_id"], "left_anti").join(won.select(*PIXEL, "query_id"), [*PIXEL, "query_id"], "left_anti")
+    score = merged.select("patch_id", "query_id", "score").distinct()
+    score = score.withColumn("final_score", F.col("score")) if scores is None else score.join(scores.select(*QUERY, "final_score"), QUERY)
+    rank = F.struct(F.round("iou", 6), "final_score", (-F.col("query_id")).alias("q"))
+    owner = like.join(score, QUERY).groupBy(*GROUP).agg(F.max_by(F.struct("query_id", "score"), rank).alias("o"))
+    members = merged.select(*GROUP, "query_id").distinct()
+    # a query's own probability counts wherever it has one, also below the threshold
+    union = merged.select(*PIXEL, "component", "group").distinct().join(members, GROUP).join(queries.select(*PIXEL, "query_id", "prob"), [*PIXEL, "query_id"])
+    union = stored(union.select(*PIXEL, "component", "group", "query_id", "prob"), "unions")
+    won = union.groupBy(*PIXEL, "component", "group").agg(F.max("prob").alias("prob")).join(owner, GROUP)
+    won = won.groupBy("patch_id", F.col("o.query_id").alias("query_id"), F.col("o.score").alias("score"), "z", "y", "x").agg(F.max("prob").alias("prob"))
+    rest = queries.join(union.select(*PIXEL, "query_id").distinct(), [*PIXEL, "query_id"], "left_anti").join(won.select(*PIXEL, "query_id"), [*PIXEL, "query_id"], "left_anti")
     return rest.select("patch_id", "query_id", "score", "z", "y", "x", "prob").unionByName(won)
 
 
-def voxel_argmax(queries: DataFrame, threshold: float = 0.5, min_voxels: int = 20, min_score: float = 0.5, k: int = 300) -> DataFrame:
+def voxel_argmax(queries: DataFrame, threshold: float = 0.5, min_voxels: int = 20, min_score: float = 0.5, k: int = 300, scores: DataFrame | None = None) -> DataFrame:
     """The query with the greatest probability times score owns a voxel, if its probability there is above the threshold;
-    instances of too few voxels go, the others are numbered from the best score down."""
-    best = topk_queries(queries, k, min_score, threshold).select(*QUERY, "final_score", F.col("rank").cast("long").alias("rank"))
+    instances of too few voxels go, the others are numbered from the best score down. ``scores`` are those of W6, if they are known."""
+    best = topk_queries(queries, k, min_score, threshold) if scores is None else scores
+    best = best.select(*QUERY, "final_score", F.col("rank").cast("long").alias("rank"))
     q = queries.join(best, QUERY)
     won = q.groupBy(*PIXEL).agg(F.max_by(F.struct("query_id", "prob", "final_score", "rank"), F.struct((F.col("prob") * F.col("final_score")).alias("w"), (-F.col("rank")).alias("r"))).alias("w"))
     own = won.select(*PIXEL, "w.*").where(F.col("prob") > threshold)
@@ -127,9 +157,9 @@ def drop_full_foreground(instances: DataFrame, patch_voxels: int, share: float =
 
 def postprocess_patch(queries: DataFrame, patch_voxels: int, threshold: float = 0.5, min_score: float = 0.5, k: int = 300, min_voxels: int = 20) -> DataFrame:
     """Best queries, conflicts resolved, one owner per voxel, full patches cleared."""
-    best = topk_queries(queries, k, min_score, threshold).select(*QUERY)
+    best = stored(topk_queries(queries, k, min_score, threshold).select(*QUERY, "final_score", "rank"), "best")
     chosen = stored(queries.join(best, QUERY, "left_semi"), "queries")
-    return drop_full_foreground(voxel_argmax(resolve_conflicts(chosen, threshold), threshold, min_voxels, min_score, k), patch_voxels)
+    return drop_full_foreground(voxel_argmax(resolve_conflicts(chosen, threshold, min_voxels=min_voxels, scores=best), threshold, min_voxels, min_score, k, best), patch_voxels)
 
 
 def overlap_matrix(pred: DataFrame, truth: DataFrame) -> DataFrame:
@@ -146,6 +176,24 @@ def dice_matrix(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return overlap_matrix(pred, truth).select("vol_id", "pred", "truth", "overlap", (1 - (2 * i + 1) / (p + g + 1)).alias("dice_cost"), (i / (p + g - i)).alias("iou"))
 
 
+def mask_cost_matrix(queries: DataFrame, truth: DataFrame, voxels: int, eps: float = 1e-7) -> DataFrame:
+    """Soft Dice and binary cross-entropy cost of every query against every true label of its volume, pairs without a common voxel included.
+
+    ``queries``: (vol_id, query_id, z, y, x, prob); a voxel without a row has probability 0. ``voxels``: how many the cost is averaged over.
+    One join on the voxel gives the sums over common voxels; all else follows from sums per query and per label, so the pairs are of names only.
+    """
+    p = F.least(F.greatest(F.col("prob"), F.lit(eps)), F.lit(1 - eps))
+    q = queries.withColumns({"_pos": -F.log(p), "_neg": -F.log(1 - p)})
+    mine = q.groupBy("vol_id", "query_id").agg(F.sum("prob").alias("_p"), F.sum("_neg").alias("_neg"), F.count(F.lit(1)).alias("_rows"))
+    theirs = truth.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_t"))
+    common = q.join(truth.select(*VOXEL, "label"), VOXEL).groupBy("vol_id", "query_id", "label").agg(F.sum("prob").alias("_i"), F.sum(F.col("_pos") - F.col("_neg")).alias("_gain"), F.count(F.lit(1)).alias("_n"))
+    out = mine.join(theirs, "vol_id").join(common, ["vol_id", "query_id", "label"], "left")
+    i, gain, n = (F.coalesce(c, F.lit(0)) for c in ("_i", "_gain", "_n"))
+    off_pos, off_neg = -float(np.log(eps)), -float(np.log(1 - eps))
+    bce = (F.col("_neg") + (voxels - F.col("_rows")) * off_neg + gain + (F.col("_t") - n) * (off_pos - off_neg)) / voxels
+    return out.select("vol_id", "query_id", "label", (1 - (2 * i + 1) / (F.col("_p") + F.col("_t") + 1)).alias("dice_cost"), bce.alias("bce_cost"))
+
+
 def match_instances(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """Pairs that are each other's cheapest, one to one."""
     m = dice_matrix(pred, truth)
@@ -204,59 +252,84 @@ def select_clicked_query(queries: DataFrame, clicks: DataFrame, min_score: float
 
 
 def core_bounds(patches: DataFrame, volumes: DataFrame, stride: Sequence[int]) -> DataFrame:
-    """The half-open core of each patch: inside its margins, but to the end where it touches the volume's."""
+    """The half-open core of each patch: a stride's length behind its margin, but to the end where it touches the volume's."""
     out = patches.join(volumes.select("vol_id", "nz", "ny", "nx"), "vol_id")
     for a, s in zip("zyx", stride):
         margin = F.expr(f"(p{a} - {s}) div 2")
         out = out.withColumn(f"lo_{a}", F.when(F.col(f"{a}0") == 0, F.lit(0)).otherwise(F.col(f"{a}0") + margin))
-        out = out.withColumn(f"hi_{a}", F.when(F.col(f"{a}0") + F.col(f"p{a}") >= F.col(f"n{a}"), F.col(f"n{a}")).otherwise(F.col(f"{a}0") + F.col(f"p{a}") - margin))
+        out = out.withColumn(f"hi_{a}", F.when(F.col(f"{a}0") + F.col(f"p{a}") >= F.col(f"n{a}"), F.col(f"{a}0") + F.col(f"p{a}")).otherwise(F.col(f"{a}0") + margin + s))
     return out
 
 
+def split_local(local: DataFrame) -> DataFrame:
+    """G2, in each patch: separate pieces of an instance get labels of their own."""
+    patch = F.concat_ws("/", "vol_id", F.col("patch_id").cast("string"))
+    pieces = split_disconnected(local.select(patch.alias("vol_id"), "z", "y", "x", "label")).withColumnsRenamed({"vol_id": "_patch", "label": "_piece"})
+    return local.withColumn("_patch", patch).join(pieces, ["_patch", "z", "y", "x"]).withColumn("label", F.col("_piece")).drop("_patch", "_piece")
+
+
 def stitch_patches(local: DataFrame, patches: DataFrame, volumes: DataFrame, stride: Sequence[int], min_core: int = 64, min_iom: float = 0.2, min_largest: int = 10, min_ratio: float = 0.5) -> DataFrame:
-    """One label volume from instances (vol_id, patch_id, z, y, x, label, confidence) of overlapping patches, in patch order.
+    """One label volume from instances (vol_id, patch_id, z, y, x, label, confidence) of overlapping patches, in patch order.
 
-    An instance with enough voxels in its patch's core takes the label of the best earlier instance that touches it across a lower
-    face of the core, else a new one; later patches overwrite earlier ones. Contact is counted per earlier instance.
-    Parents lie in earlier patches, so the labels follow by jumping along parents.
+    Instances are split into their connected pieces. One with enough voxels in its patch's core takes the label of the best stitched instance
+    that touches it across a lower face of the core, else a new one; later patches overwrite earlier ones. Contact, and both areas on
+    the face, count what is stitched into one label by then: labels are recomputed until none changes, and as each
+    depends on earlier patches alone, the result is that of stitching one patch after the other.
     """
     core = core_bounds(patches, volumes, stride)
-    inside = " AND ".join(f"{a} >= lo_{a} AND {a} < hi_{a}" for a in "zyx")
     bounds = core.select("vol_id", "patch_id", *(f"{m}_{a}" for a in "zyx" for m in ("lo", "hi")))
-    rows = stored(local.join(bounds, ["vol_id", "patch_id"]).withColumn("core", F.expr(inside)), "stitch-rows")
+    inside = " AND ".join(f"{a} >= lo_{a} AND {a} < hi_{a}" for a in "zyx")
+    rows = stored(split_local(local).join(bounds, ["vol_id", "patch_id"]).withColumn("core", F.expr(inside)), "stitch-rows")
     item = ["vol_id", "patch_id", "label"]
-    sizes = rows.groupBy(*item).agg(F.sum(F.col("core").cast("long")).alias("core_size"), F.count(F.lit(1)).alias("size")).where(F.col("core_size") >= min_core)
-    rows = rows.join(sizes, item)
-    pixels = None
+    sizes = rows.groupBy(*item).agg(F.sum(F.col("core").cast("long")).alias("core_size")).where(F.col("core_size") >= min_core)
+    rows = rows.join(sizes.select(*item), item, "left_semi")
+    # the boxes of the cores, as patches whose first layer along an axis is a face
+    boxes = bounds.select("vol_id", "patch_id", *(F.col(f"lo_{a}").alias(f"{a}0") for a in "zyx"), *((F.col(f"hi_{a}") - F.col(f"lo_{a}")).alias(f"p{a}") for a in "zyx"))
+    mine = theirs = None
     for a in "zyx":
-        face = rows.where(f"core AND {a} = lo_{a} AND {a} > 0").select(*item, "core_size", "z", "y", "x")
-        before = rows.select("vol_id", F.col("patch_id").alias("from_patch"), F.col("label").alias("from_label"), F.col("core_size").alias("from_size"), *((F.col(c) + (1 if c == a else 0)).alias(c) for c in "zyx"))
-        hit = face.join(before, VOXEL).where("from_patch < patch_id")
-        # who owns the earlier voxel: the last patch before this one that wrote it
-        last = Window.partitionBy("vol_id", "patch_id", "label", "z", "y", "x").orderBy(F.desc("from_patch"))
-        hit = hit.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
-        flat = {"z": ("y", "x"), "y": ("z", "x"), "x": ("z", "y")}[a]
-        hit = hit.select(*item, "core_size", "from_patch", "from_label", "from_size", F.lit(a).alias("face"), F.lit(0).cast("long").alias("z"), F.col(flat[0]).alias("y"), F.col(flat[1]).alias("x"))
-        pixels = hit if pixels is None else pixels.union(hit)
-    pair = [*item, "from_patch", "from_label", "core_size", "from_size", "face"]
-    pixels = stored(pixels, "stitch-faces")
-    area = pixels.groupBy(*item, "face").agg(F.countDistinct("y", "x").alias("area_a"))
-    theirs = pixels.groupBy("vol_id", "patch_id", "from_patch", "from_label", "face").agg(F.countDistinct("y", "x").alias("area_b"))
-    found = contact_continuity(pixels, pair).join(area, [*item, "face"]).join(theirs, ["vol_id", "patch_id", "from_patch", "from_label", "face"])
-    found = found.withColumn("iom", F.col("contact_total") / (F.least("area_a", "area_b") + 1e-6))
-    found = found.where((F.col("iom") >= min_iom) & (F.col("contact_largest") >= min_largest) & (F.col("contact_ratio") >= min_ratio))
-    best = Window.partitionBy(*item).orderBy(F.desc("contact_largest"), F.desc("contact_ratio"), F.desc("iom"), F.desc("contact_total"), "from_patch", "from_label")
-    parents = found.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(*item, F.col("from_patch").alias("up_patch"), F.col("from_label").alias("up_label"))
-    tree = sizes.select(*item).join(parents, item, "left").select(*item, F.coalesce("up_patch", "patch_id").alias("up_patch"), F.coalesce("up_label", "label").alias("up_label"))
-    tree = stored(tree, "stitch-tree")
+        flat = [c for c in "zyx" if c != a]
+        plane = [F.lit(a).alias("face"), F.col(flat[0]).alias("y"), F.col(flat[1]).alias("x")]
+        own = rows.where(f"core AND {a} = lo_{a} AND {a} > 0").select(*item, *plane)
+        # voxels one layer below a face, moved up into the core; the last earlier patch that wrote one owns it
+        below = rows.select("vol_id", F.col("patch_id").alias("from_patch"), F.col("label").alias("from_label"), *((F.col(c) + (1 if c == a else 0)).alias(c) for c in "zyx"))
+        edge = boxes.where(f"{a}0 > 0").withColumn(f"p{a}", F.lit(1).cast("long"))
+        hit = voxels_in_patches(below, edge).where("from_patch < patch_id")
+        hit = hit.groupBy("vol_id", "patch_id", *plane).agg(F.max_by("from_label", "from_patch").alias("from_label"), F.max("from_patch").alias("from_patch"))
+        mine, theirs = (own, hit) if mine is None else (mine.unionByName(own), theirs.unionByName(hit))
+    theirs = stored(theirs, "stitch-below")
+    place = ["vol_id", "patch_id", "face", "y", "x"]
+    areas = stored(mine.groupBy(*item, "face").agg(F.count(F.lit(1)).alias("area_a")), "stitch-areas")
+    touching = stored(mine.join(theirs, place), "stitch-faces")
+
+    root = ["up_patch", "up_label"]
+    tree = stored(sizes.select(*item, F.col("patch_id").alias("up_patch"), F.col("label").alias("up_label")), "stitch-tree")
     while True:
-        up = tree.select("vol_id", F.col("patch_id").alias("up_patch"), F.col("label").alias("up_label"), F.col("up_patch").alias("_p"), F.col("up_label").alias("_l"))
-        jump = stored(tree.join(up, ["vol_id", "up_patch", "up_label"]).select(*item, F.col("_p").alias("up_patch"), F.col("_l").alias("up_label")), "stitch-tree")
-        done = not jump.exceptAll(tree).limit(1).count()
-        tree = jump
-        if done:
+        up = tree.select("vol_id", F.col("patch_id").alias("from_patch"), F.col("label").alias("from_label"), *root)
+        below = theirs.join(up, ["vol_id", "from_patch", "from_label"]).groupBy("vol_id", "patch_id", "face", *root).agg(F.count(F.lit(1)).alias("area_b"))
+        contact = touching.join(up, ["vol_id", "from_patch", "from_label"]).select(*item, "face", *root, F.lit(0).cast("long").alias("z"), "y", "x")
+        found = contact_continuity(contact, [*item, "face", *root]).join(areas, [*item, "face"]).join(below, ["vol_id", "patch_id", "face", *root])
+        found = found.withColumn("iom", F.col("contact_total") / (F.least("area_a", "area_b") + 1e-6))
+        found = found.where((F.col("iom") >= min_iom) & (F.col("contact_largest") >= min_largest) & (F.col("contact_ratio") >= min_ratio))
+        # of equal candidates the first by face and label
+        best = Window.partitionBy(*item).orderBy(F.desc("contact_largest"), F.desc("contact_ratio"), F.desc("iom"), F.desc("contact_total"), F.desc("face"), *root)
+        parents = found.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(*item, F.col("up_patch").alias("_p"), F.col("up_label").alias("_l"))
+        new = sizes.select(*item).join(parents, item, "left").select(*item, F.coalesce("_p", "patch_id").alias("up_patch"), F.coalesce("_l", "label").alias("up_label"))
+        new = _roots(stored(new, "stitch-tree"), item)
+        same = not new.join(tree, [*item, *root], "left_anti").limit(1).count()
+        tree = new
+        if same:
             break
-    roots = tree.select("vol_id", "up_patch", "up_label").distinct().withColumn("global_label", F.row_number().over(Window.partitionBy("vol_id").orderBy("up_patch", "up_label")).cast("long"))
-    named = tree.join(roots, ["vol_id", "up_patch", "up_label"]).select(*item, "global_label")
+    roots = tree.select("vol_id", *root).distinct().withColumn("global_label", F.row_number().over(Window.partitionBy("vol_id").orderBy(*root)).cast("long"))
+    named = tree.join(roots, ["vol_id", *root]).select(*item, "global_label")
     out = rows.join(named, item)
     return out.groupBy(*VOXEL).agg(F.max_by("global_label", "patch_id").alias("label"), F.avg("confidence").alias("confidence"))
+
+
+def _roots(tree: DataFrame, item: list[str]) -> DataFrame:
+    """Each item's last ancestor, by jumping along (up_patch, up_label); parents lie in earlier patches."""
+    while True:
+        up = tree.select("vol_id", F.col("patch_id").alias("up_patch"), F.col("label").alias("up_label"), F.col("up_patch").alias("_p"), F.col("up_label").alias("_l"))
+        jump = stored(tree.join(up, ["vol_id", "up_patch", "up_label"]).select(*item, F.col("_p").alias("up_patch"), F.col("_l").alias("up_label")), "stitch-tree")
+        if not jump.join(tree, [*item, "up_patch", "up_label"], "left_anti").limit(1).count():
+            return jump
+        tree = jump

@@ -100,10 +100,11 @@ def _against_neighbours(cells: DataFrame, near: DataFrame, features: Sequence[st
     return out.select(*CELL, *features, *(c for f in features for c in named(f)))
 
 
-def local_neighbour_stats(cells: DataFrame, features: Sequence[str], k: int = 10, coords: Sequence[str] = UM) -> DataFrame:
-    """Mean and deviation of features over the k nearest cells, and each cell's deviation from them."""
-    named = lambda f: [F.col(f"_mean_{f}").alias(f"local_mean_{f}"), F.col(f"_std_{f}").alias(f"local_std_{f}"), ((F.col(f) - F.col(f"_mean_{f}")) / (F.col(f"_std_{f}") + EPS)).alias(f"local_z_{f}")]
-    return _against_neighbours(cells, knn_join(cells, k, coords), features, named)
+def local_neighbour_stats(cells: DataFrame, features: Sequence[str], k: int = 10, coords: Sequence[str] = UM, neighbours: DataFrame | None = None) -> DataFrame:
+    """Mean and deviation of features over the k nearest cells, and each cell's deviation from them. ``neighbours``, if given, has the k nearest at least."""
+    named = lambda f: [F.col(f"_mean_{f}").alias(f"neighbor_mean_{f}"), F.col(f"_std_{f}").alias(f"neighbor_std_{f}"), ((F.col(f) - F.col(f"_mean_{f}")) / (F.col(f"_std_{f}") + EPS)).alias(f"self_vs_neighbor_{f}_zscore")]
+    near = knn_join(cells, k, coords) if neighbours is None else neighbours.where(F.col("rank") <= k)
+    return _against_neighbours(cells, near, features, named)
 
 
 def local_comparison(cells: DataFrame, feature: str, mode: str = "knn", k: int = 10, radius_vox: float = 20.0) -> DataFrame:
@@ -118,20 +119,26 @@ def local_comparison(cells: DataFrame, feature: str, mode: str = "knn", k: int =
 def region_bins(cells: DataFrame, volumes: DataFrame, grid: Sequence[int] = (6, 6, 6)) -> DataFrame:
     """The grid bin of each cell's centroid, and its name."""
     at = cells.join(volumes.select("vol_id", *(f"n{a}" for a in "zyx"), *(f"v{a}" for a in "zyx")), "vol_id")
-    at = at.withColumns({f"region_{a}": region_bin(F.col(c), F.col(f"n{a}") * F.col(f"v{a}"), g) for a, c, g in zip("zyx", UM, grid)})
-    at = at.withColumn("region_id", F.format_string("z%02d_y%02d_x%02d", "region_z", "region_y", "region_x"))
-    return at.select(*cells.columns, "region_z", "region_y", "region_x", "region_id")
+    at = at.withColumns({f"region_{a}_bin": region_bin(F.col(c), F.col(f"n{a}") * F.col(f"v{a}"), g) for a, c, g in zip("zyx", UM, grid)})
+    at = at.withColumn("region_id", F.format_string("z%02d_y%02d_x%02d", "region_z_bin", "region_y_bin", "region_x_bin"))
+    return at.select(*cells.columns, "region_z_bin", "region_y_bin", "region_x_bin", "region_id")
 
 
-def region_features(cells: DataFrame, volumes: DataFrame, features: Sequence[str], grid: Sequence[int] = (6, 6, 6), outlier: str | None = None) -> DataFrame:
+#: Features that regions are described by, as far as a table has them; local densities come beside.
+REGION_FEATURES = ("volume_um3", "equivalent_diameter_um", "sphericity", "elongation", "flatness", "nearest_neighbor_distance_um", "anomaly_score")
+
+
+def region_features(cells: DataFrame, volumes: DataFrame, features: Sequence[str] | None = None, grid: Sequence[int] = (6, 6, 6)) -> DataFrame:
     """Cells, volume, density and feature statistics of each region, and the share of outliers if their flag is there."""
+    if features is None:
+        features = [*(f for f in REGION_FEATURES if f in cells.columns), *(c for c in cells.columns if c.startswith("local_density_k") and c.endswith("_per_um3"))]
     binned = region_bins(cells, volumes, grid)
     aggs = [F.count(F.lit(1)).alias("region_cell_count")]
     for f in features:
         v = missing_if_nan(F.col(f))
         aggs += [F.avg(v).alias(f"region_mean_{f}"), F.percentile(v, F.lit(0.5)).alias(f"region_median_{f}"), F.stddev_pop(v).alias(f"region_std_{f}")]
-    if outlier:
-        aggs.append(F.avg(F.col(outlier).cast("double")).alias("region_outlier_fraction"))
+    if "is_anomaly" in cells.columns:
+        aggs.append(F.avg(F.col("is_anomaly").cast("double")).alias("region_outlier_fraction"))
     out = binned.groupBy("vol_id", "region_id").agg(*aggs).join(volumes, "vol_id")
     size = F.col("nz") * F.col("vz") * F.col("ny") * F.col("vy") * F.col("nx") * F.col("vx") / (grid[0] * grid[1] * grid[2])
     keep = [c for c in out.columns if c.startswith("region_") and c not in ("region_id", "region_cell_count")]

@@ -125,7 +125,7 @@ def intensity_features(voxels: DataFrame, raw: DataFrame) -> DataFrame:
     return out.select(
         *CELL, "mean_intensity", "std_intensity", (F.col("std_intensity") / (F.abs("mean_intensity") + EPS)).alias("cv_intensity"), "min_intensity", "max_intensity",
         F.col("_1").alias("sum_intensity"),
-        ((m3 - 3 * m * m2 + 2 * m * m * m) / (F.pow("std_intensity", F.lit(3.0)) + EPS)).alias("skew_intensity"),
+        ((m3 - 3 * m * m2 + 2 * m * m * m) / (F.pow("std_intensity", F.lit(3.0)) + EPS)).alias("skewness_intensity"),
         ((m4 - 4 * m * m3 + 6 * m * m * m2 - 3 * m * m * m * m) / (F.col("_var") * F.col("_var") + EPS) - 3).alias("kurtosis_intensity"),
     )
 

@@ -97,10 +97,10 @@ SPHERICITY, COMPACTNESS = "pow(pi(), 1.0/3)*pow(6*volume, 2.0/3)/(area+1e-12)",
 
 def summary(source: str, features: dict[str, str]) -> str:
     """Tall (vol_id, metric, value) of features given as SQL over a source."""
-    rows = [f"SELECT vol_id, 'cell_count' AS metric, count(*)::DOUBLE AS value FROM {source} GROUP BY vol_id"]
+    rows = [f"SELECT vol_id, 'cell_count_total' AS metric, count(*)::DOUBLE AS value FROM {source} GROUP BY vol_id"]
     for name, sql in features.items():
         for metric, agg in (("mean", "avg(v)"), ("median", "quantile_cont(v,0.5)"), ("std", "stddev_pop(v)"), ("q05", "quantile_cont(v,0.05)"), ("q95", "quantile_cont(v,0.95)")):
-            rows.append(f"SELECT vol_id, '{metric}_{name}', round({agg}, 6)+0.0 FROM (SELECT vol_id, ({sql})::DOUBLE AS v FROM {source}) GROUP BY vol_id")
+            rows.append(f"SELECT vol_id, '{name}_{metric}', round({agg}, 6)+0.0 FROM (SELECT vol_id, ({sql})::DOUBLE AS v FROM {source}) GROUP BY vol_id")
     return " UNION ALL ".join(rows)
 
 
@@ -111,6 +111,7 @@ BASIC_FEATURES = {
 WITH_SURFACE = "(SELECT b.*, s.area FROM basic b JOIN surface s ON b.label=s.label)"
 CONTACT_FEATURES = {"contact_neighbor_count": "n", "contact_area_total_um2": "total", "contact_area_mean_um2": "total/(n+1e-12)", "contact_area_max_um2": "largest", "contact_fraction": "total/(surface+1e-12)"}
 BALL = "(4.0/3.0*3.141592653589793)"
+DIAMETER = "pow(6*{}volume/pi(), 1.0/3)"
 LOCAL = "SELECT p.vol_id, p.label, p.volume, m, s FROM basic p LEFT JOIN (SELECT label, avg(volume) AS m, stddev_pop(volume) AS s FROM (SELECT e.label, q.volume FROM {} e JOIN basic q ON q.label=e.other) GROUP BY label) USING (label)"
 RADIUS_PAIRS = "(SELECT p.label, q.label AS other FROM basic p JOIN basic q ON p.label<>q.label AND sqrt((p.mz-q.mz)*(p.mz-q.mz)+(p.my-q.my)*(p.my-q.my)+(p.mx-q.mx)*(p.mx-q.mx))<={})"
 REGION = "SELECT vol_id, label, volume, nz, ny, nx, vz, vy, vx, " + ", ".join(f"least(greatest(floor(u{a}/(n{a}*v{a}/6)),0),5)::INT AS r{a}" for a in "zyx") + " FROM basic"
@@ -168,6 +169,37 @@ def _local(pairs: str, names: tuple[str, str, str]) -> str:
     return f"SELECT vol_id, label, {r('volume', 'volume_um3')}, {r('m', m)}, {r('s', s)}, {r('(volume-m)/(s+1e-12)', z)} FROM ({LOCAL.format(pairs)})"
 
 
+def _regions(features: dict[str, str], source: str) -> str:
+    stats = ", ".join(f"{r(f'avg({c})', f'region_mean_{n}')}, {r(f'quantile_cont({c},0.5)', f'region_median_{n}')}, {r(f'stddev_pop({c})', f'region_std_{n}')}" for n, c in features.items())
+    size = "any_value(nz*vz*ny*vy*nx*vx/216)"
+    return f"SELECT vol_id, {REGION_NAME} AS region_id, count(*) AS region_cell_count, {r(size, 'region_volume_um3')}, {r(f'count(*)/({size}+1e-12)', 'region_cell_density_per_um3')}, {stats} FROM {source} GROUP BY vol_id, rz, ry, rx"
+
+
+def _robust(x: str) -> str:
+    """Median and median absolute deviation of an expression over ``scored``."""
+    return f"(SELECT md, quantile_cont(abs({x}-md),0.5) AS mad FROM scored, (SELECT quantile_cont({x},0.5) AS md FROM scored) GROUP BY md)"
+
+
+def _recursive(rows: str, same: str, near: str) -> str:
+    """Of each row the least name along neighbouring rows."""
+    return f"WITH RECURSIVE start AS ({rows}), reach AS (SELECT *, name AS root FROM start UNION SELECT s.*, r.root FROM reach r JOIN start s ON {same} AND {near})"
+
+
+NEAR_SLICE, NEAR_SOLID = "s.z=r.z AND abs(s.y-r.y)+abs(s.x-r.x)=1", "abs(s.z-r.z)+abs(s.y-r.y)+abs(s.x-r.x)=1"
+NAME = "(z<<42)+(y<<21)+x AS name"
+CLICKS = "(SELECT roi_id AS click_id, z AS cz, y AS cy, x-5 AS cx FROM roi_vertices WHERE ord=1)"
+CORNERS = (
+    "(VALUES ('z',-1,0,0,0),('z',-1,0,0,1),('z',-1,0,1,1),('z',-1,0,1,0),('z',1,1,0,0),('z',1,1,1,0),('z',1,1,1,1),('z',1,1,0,1),"
+    "('y',-1,0,0,0),('y',-1,1,0,0),('y',-1,1,0,1),('y',-1,0,0,1),('y',1,0,1,0),('y',1,0,1,1),('y',1,1,1,1),('y',1,1,1,0),"
+    "('x',-1,0,0,0),('x',-1,0,1,0),('x',-1,1,1,0),('x',-1,1,0,0),('x',1,0,0,1),('x',1,1,0,1),('x',1,1,1,1),('x',1,0,1,1)) c(axis,side,cz,cy,cx)"
+)
+OPEN_FACES = (
+    "(SELECT p.*, axis, side FROM label_vox p, (VALUES ('z',1,1,0,0),('z',-1,-1,0,0),('y',1,0,1,0),('y',-1,0,-1,0),('x',1,0,0,1),('x',-1,0,0,-1)) d(axis,side,dz,dy,dx)"
+    " LEFT JOIN label_vox q ON q.z=p.z+dz AND q.y=p.y+dy AND q.x=p.x+dx AND q.label=p.label WHERE q.label IS NULL)"
+)
+MESH = f"(SELECT vol_id, label, count(DISTINCT (z+cz, y+cy, x+cx)) AS n_vertices, count(*)//2 AS n_triangles FROM {OPEN_FACES} JOIN {CORNERS} USING (axis, side) GROUP BY vol_id, label)"
+
+
 SQL: dict[str, str] = {
     "label_sizes": "SELECT vol_id, label, n AS voxel_count FROM basic",
     "size_summary": "SELECT vol_id, count(*) AS n_labels, min(n) AS min_size, max(n) AS max_size FROM basic GROUP BY vol_id",
@@ -179,13 +211,13 @@ SQL: dict[str, str] = {
     "cell_shape": f"SELECT vol_id, label, {r(SPHERICITY, 'sphericity')}, {r(COMPACTNESS, 'compactness')} FROM {WITH_SURFACE}",
     "cell_intensity": (
         f"SELECT vol_id, label, {r('m', 'mean_intensity')}, {r('sqrt(v)', 'std_intensity')}, {r('sqrt(v)/(abs(m)+1e-12)', 'cv_intensity')}, {r('mn', 'min_intensity')}, {r('mx', 'max_intensity')}, {r('s1', 'sum_intensity')},"
-        f" {r('(m3-3*m*m2+2*m*m*m)/(pow(sqrt(v),3)+1e-12)', 'skew_intensity')}, {r('(m4-4*m*m3+6*m*m*m2-3*m*m*m*m)/(v*v+1e-12)-3', 'kurtosis_intensity')} FROM ("
+        f" {r('(m3-3*m*m2+2*m*m*m)/(pow(sqrt(v),3)+1e-12)', 'skewness_intensity')}, {r('(m4-4*m*m3+6*m*m*m2-3*m*m*m*m)/(v*v+1e-12)-3', 'kurtosis_intensity')} FROM ("
         "SELECT *, greatest(m2-m*m, 0) AS v FROM (SELECT vol_id, label, sum(value)::DOUBLE AS s1, sum(value)/count(*)::DOUBLE AS m, sum(value*value)/count(*)::DOUBLE AS m2, sum(value*value*value)/count(*)::DOUBLE AS m3,"
         " sum(value*value*value*value)/count(*)::DOUBLE AS m4, min(value) AS mn, max(value) AS mx FROM label_vox JOIN raw_vox USING (vol_id,z,y,x) GROUP BY ALL))"
     ),
     "cell_pca_axes": (
         f"SELECT vol_id, label, {r('j', 'axis_major_um', 4)}, {r('i', 'axis_intermediate_um', 4)}, {r('k', 'axis_minor_um', 4)}, {r('j/(k+1e-12)', 'elongation', 4)}, {r('j/(k+1e-12)', 'major_minor_ratio', 4)}, {r('i/(k+1e-12)', 'flatness', 4)}"
-        f" FROM (SELECT vol_id, label, 2*sqrt(5*greatest(l1,0)) AS j, 2*sqrt(5*greatest(l2,0)) AS i, 2*sqrt(5*greatest(l3,0)) AS k FROM ({EIGEN})) WHERE k>0.5"
+        f" FROM (SELECT vol_id, label, 2*sqrt(5*greatest(l1,0)) AS j, 2*sqrt(5*greatest(l2,0)) AS i, 2*sqrt(5*greatest(l3,0)) AS k FROM ({EIGEN}))"
     ),
     "basic_info": "SELECT vol_id, label AS label_id, " + ", ".join(r(v, k) for k, v in BASIC_FEATURES.items()) + f" FROM {WITH_SURFACE}",
     "summary_stats": summary(WITH_SURFACE, BASIC_FEATURES),
@@ -200,18 +232,26 @@ SQL: dict[str, str] = {
     "contact_summary": summary("contact", CONTACT_FEATURES),
     "knn_features": (
         f"SELECT p.vol_id, p.label, {r('min(d)', 'nearest_neighbor_distance_um')}, " + ", ".join(
-            f"{r(f'avg(d) FILTER (rk<={k})', f'knn_mean_distance_k{k}_um')}, {r(f'quantile_cont(d, 0.5) FILTER (rk<={k})', f'knn_median_distance_k{k}_um')}, {r(f'count(d) FILTER (rk<={k})/({BALL}*pow(max(d) FILTER (rk<={k}), 3)+1e-12)', f'local_density_k{k}_per_um3')}" for k in (5, 10)
-        ) + " FROM basic p LEFT JOIN near e ON e.label=p.label AND rk<=10 GROUP BY p.vol_id, p.label"
+            f"{r(f'avg(d) FILTER (rk<={k})', f'knn_mean_distance_k{k}_um')}, {r(f'quantile_cont(d, 0.5) FILTER (rk<={k})', f'knn_median_distance_k{k}_um')}, {r(f'count(d) FILTER (rk<={k})/({BALL}*pow(max(d) FILTER (rk<={k}), 3)+1e-12)', f'local_density_k{k}_per_um3')}" for k in (5, 10, 20)
+        ) + " FROM basic p LEFT JOIN near e ON e.label=p.label AND rk<=20 GROUP BY p.vol_id, p.label"
     ),
     "knn_join_points": f"SELECT vol_id, label, other, {r('d', 'distance')}, rk AS rank FROM near_points WHERE rk<=10",
     "radius_features": f"SELECT p.vol_id, p.label, count(e.other) AS radius_neighbor_count_r20_px, {r(f'count(e.other)/({BALL}*8000+1e-12)', 'radius_density_r20_per_px3')} FROM basic p LEFT JOIN {RADIUS_PAIRS.format(20)} e ON e.label=p.label GROUP BY p.vol_id, p.label",
-    "local_neighbour_stats": _local("(SELECT label, other FROM near WHERE rk<=10)", ("local_mean_volume_um3", "local_std_volume_um3", "local_z_volume_um3")),
+    "local_neighbour_stats": (
+        f"SELECT p.vol_id, p.label, " + ", ".join(f"{r(c, n)}, {r(f'm{k}', f'neighbor_mean_{n}')}, {r(f's{k}', f'neighbor_std_{n}')}, {r(f'({c}-m{k})/(s{k}+1e-12)', f'self_vs_neighbor_{n}_zscore')}" for k, (n, c) in enumerate((("volume_um3", "p.volume"), ("equivalent_diameter_um", DIAMETER.format("p.")))))
+        + f" FROM basic p LEFT JOIN (SELECT e.label, avg(q.volume) AS m0, stddev_pop(q.volume) AS s0, avg({DIAMETER.format('q.')}) AS m1, stddev_pop({DIAMETER.format('q.')}) AS s1 FROM near e JOIN basic q ON q.label=e.other WHERE rk<=10 GROUP BY e.label) USING (label)"
+    ),
     "local_comparison_knn": _local("(SELECT label, other FROM near WHERE rk<=10)", ("local_neighbor_mean_volume_um3", "local_neighbor_std_volume_um3", "local_zscore_volume_um3")).replace("label,", "label AS label_id,", 1),
     "local_comparison_radius": _local(RADIUS_PAIRS.format(12), ("local_neighbor_mean_volume_um3", "local_neighbor_std_volume_um3", "local_zscore_volume_um3")).replace("label,", "label AS label_id,", 1),
-    "region_bins": f"SELECT vol_id, label, rz AS region_z, ry AS region_y, rx AS region_x, {REGION_NAME} AS region_id FROM ({REGION})",
-    "region_features": (
-        f"SELECT vol_id, {REGION_NAME} AS region_id, count(*) AS region_cell_count, {r('any_value(nz*vz*ny*vy*nx*vx/216)', 'region_volume_um3')}, {r('count(*)/(any_value(nz*vz*ny*vy*nx*vx/216)+1e-12)', 'region_cell_density_per_um3')},"
-        f" {r('avg(volume)', 'region_mean_volume_um3')}, {r('quantile_cont(volume,0.5)', 'region_median_volume_um3')}, {r('stddev_pop(volume)', 'region_std_volume_um3')} FROM ({REGION}) GROUP BY vol_id, rz, ry, rx"
+    "neighborhood_task": (
+        f"SELECT p.vol_id, p.label AS label_id, {r('min(d)', 'nearest_neighbor_distance_um')}, {r('avg(d)', 'knn_mean_distance_k10_um')}, {r('quantile_cont(d, 0.5)', 'knn_median_distance_k10_um')}, {r(f'count(d)/({BALL}*pow(max(d), 3)+1e-12)', 'local_density_k10_per_um3')}"
+        " FROM basic p LEFT JOIN near e ON e.label=p.label AND rk<=10 GROUP BY p.vol_id, p.label"
+    ),
+    "region_bins": f"SELECT vol_id, label, rz AS region_z_bin, ry AS region_y_bin, rx AS region_x_bin, {REGION_NAME} AS region_id FROM ({REGION})",
+    "region_features": _regions({"volume_um3": "volume", "equivalent_diameter_um": DIAMETER.format("")}, f"({REGION})"),
+    "region_task": _regions(
+        {"volume_um3": "volume", "equivalent_diameter_um": DIAMETER.format(""), "sphericity": SPHERICITY, "elongation": "j/(k+1e-12)", "flatness": "i/(k+1e-12)", "nearest_neighbor_distance_um": "nearest", **{f"local_density_k{k}_per_um3": f"density{k}" for k in (5, 10, 20)}},
+        f"(SELECT * FROM ({REGION}) JOIN shapes USING (vol_id, label) JOIN densities USING (label))",
     ),
     "robust_zscores": f"SELECT vol_id, label, {r('0.6745*(volume-md)/(mad+1e-12)', 'robust_z_volume_um3')} FROM basic, (SELECT md, quantile_cont(abs(volume-md),0.5) AS mad FROM basic, (SELECT quantile_cont(volume,0.5) AS md FROM basic) GROUP BY md)",
     "normalize_scores": f"SELECT vol_id, label, {r('least(greatest((volume-lo)/(hi-lo+1e-12),0),1)', 'volume_um3_score')} FROM basic, (SELECT quantile_cont(volume,0.01) AS lo, quantile_cont(volume,0.99) AS hi FROM basic)",
@@ -226,7 +266,7 @@ SQL: dict[str, str] = {
         "SELECT vol_id, z, y, x, floor(least(greatest((volume-v[1])/(v[2]-v[1]+1e-12),0),1)*65535)::BIGINT AS volume_um3, floor(least(greatest((uz-u[1])/(u[2]-u[1]+1e-12),0),1)*65535)::BIGINT AS centroid_z_um"
         " FROM (SELECT l.vol_id, l.z, l.y, l.x, b.volume, b.uz FROM label_vox l JOIN basic b USING (label)), (SELECT quantile_cont(volume,[0.01,0.99]) AS v, quantile_cont(uz,[0.01,0.99]) AS u FROM basic)"
     ),
-    "categorical_map": f"SELECT l.vol_id, l.z, l.y, l.x, (rx+1)::BIGINT AS region_code FROM label_vox l JOIN ({REGION}) b USING (label)",
+    "categorical_map": f"SELECT l.vol_id, l.z, l.y, l.x, (rz+1)::BIGINT AS region_z_bin, (rx+1)::BIGINT AS region_x_bin FROM label_vox l JOIN ({REGION}) b USING (label)",
     "percentile_normalize": f"SELECT vol_id, z, y, x, value, {r('norm', 'norm')} FROM norm_vox",
     "minmax_normalize": f"SELECT vol_id, z, y, x, value, {r('(value-mn)/(mx-mn+1e-8)', 'norm')} FROM raw_vox, norms",
     "normalized_threshold": f"SELECT 'v0' AS vol_id, {r('CASE WHEN hi<=lo THEN 0 ELSE least(greatest((20-lo)/(hi-lo),0),1) END', 'threshold')} FROM norms",
@@ -311,8 +351,128 @@ SQL: dict[str, str] = {
     "online_label_sizes": "SELECT label_id AS label, sum(CASE operation WHEN 'add to label' THEN n WHEN 'subtract from label' THEN -n ELSE 0 END)::BIGINT AS voxel_count FROM curation_log JOIN basic ON label=label_id GROUP BY label_id",
 }
 
+SQL |= {
+    "npy_slices": "SELECT vol_id||'/'||z AS path, y, x, value::DOUBLE AS value FROM raw_vox",
+    "volume_store": "SELECT * FROM label_vox WHERE z>=2 AND z<7",
+    "chunked_store": "SELECT * FROM label_vox",
+    "validated_voxels": "SELECT * FROM label_vox",
+    "empty_label": f"SELECT vol_id, nz, ny, nx, {r('vz', 'vz')}, {r('vy', 'vy')}, {r('vx', 'vx')}, 1::BIGINT AS next_label_id, 0::BIGINT AS voxels FROM volumes",
+    "task_csv": f"SELECT vol_id, label AS label_id, {r('volume', 'volume_um3')} FROM basic",
+    "run_parameters": f"SELECT 10::BIGINT AS knn_k, 'shape' AS feature_set, nz, {r('vz*vy*vx', 'voxel_volume_um3')} FROM volumes",
+    "feature_map_store": (
+        "SELECT 'volume_um3' AS feature, count(*) AS voxels, sum(floor(least(greatest((volume-v[1])/(v[2]-v[1]+1e-12),0),1)*65535))::BIGINT AS total, 'morphology' AS \"group\" FROM label_vox JOIN basic USING (label), (SELECT quantile_cont(volume,[0.01,0.99]) AS v FROM basic)"
+        f" UNION ALL SELECT 'region_z_bin', count(*), sum(rz+1)::BIGINT, 'region' FROM label_vox JOIN ({REGION}) USING (label)"
+    ),
+    "appended_log": "SELECT seq, operation, label_id, z_index, layer_name FROM curation_log",
+    "mesh_store": "SELECT vol_id, label, n_vertices, n_triangles AS n_faces, 4.0::DOUBLE AS z_ratio FROM " + MESH,
+    "surface_faces": "SELECT vol_id, label, n_vertices, n_triangles FROM " + MESH,
+    "patch_store": (
+        f"SELECT format('v0_z{{:04d}}_y{{:04d}}_x{{:04d}}', z0, y0, x0) AS patch_name, voxels, {r('mean_norm', 'mean_norm')}, labels, labelled FROM"
+        f" (SELECT t.patch_id, z0, y0, x0, count(*) AS voxels, avg(norm) AS mean_norm FROM {COVERED} GROUP BY ALL HAVING quantile_cont(norm, 0.999)>=0.5) JOIN (SELECT t.patch_id, count(DISTINCT label) AS labels, count(*) AS labelled FROM {LABELLED} GROUP BY ALL) USING (patch_id)"
+    ),
+    "all_files": "SELECT path FROM image_files UNION SELECT path FROM label_files",
+    "original_labels": "SELECT vol_id, label, n AS voxel_count FROM basic",
+    "cell_preview": f"SELECT vol_id, label, {r('volume', 'volume_um3')} FROM basic ORDER BY vol_id, label LIMIT 20",
+    "strided_voxels": "SELECT vol_id, z, y, x, label FROM (SELECT *, row_number() OVER (ORDER BY z, y, x)-1 AS place, greatest(ceil(count(*) OVER ()/500.0), 1) AS step FROM label_vox) WHERE place % step = 0",
+    "logits_to_prob": (
+        f"SELECT patch_id, query_id, z, y, x, {r('CASE WHEN raw THEN 1/(1+exp(-logit)) ELSE logit END', 'prob')} FROM (SELECT *, min(logit) OVER w < 0 OR max(logit) OVER w > 1 AS raw FROM"
+        " (SELECT *, CASE WHEN patch_id%2=0 THEN prob*4-1 ELSE prob END AS logit FROM query_vox) WINDOW w AS (PARTITION BY patch_id))"
+    ),
+    "class_topk": (
+        f"SELECT patch_id, query_id, class, {r('score', 'score')}, rank FROM (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY score DESC, query_id, class) AS rank FROM (SELECT *, exp(logit)/sum(exp(logit)) OVER (PARTITION BY patch_id, query_id) AS score"
+        " FROM (SELECT patch_id, query_id, class, ((query_id*7+class*13)%11)/4.0::DOUBLE+class*query_id/10000.0::DOUBLE AS logit FROM (SELECT DISTINCT patch_id, query_id FROM query_vox), (SELECT unnest([0,1,2]) AS class))) WHERE class<2) WHERE rank<=60"
+    ),
+    "mask_costs": (
+        f"SELECT vol_id, query_id, label, {r('1-(2*coalesce(i,0)+1)/(p+t+1)', 'dice_cost')}, {r('(neg+(100000-rows)*-ln(1-1e-7)+coalesce(gain,0)+(t-coalesce(c,0))*(-ln(1e-7)+ln(1-1e-7)))/100000', 'bce_cost')} FROM"
+        " (SELECT query_id, sum(prob) AS p, sum(-ln(1-q)) AS neg, count(*) AS rows FROM clipped GROUP BY 1) CROSS JOIN (SELECT vol_id, label, count(*) AS t FROM label_vox GROUP BY ALL)"
+        " LEFT JOIN (SELECT query_id, label, sum(prob) AS i, sum(-ln(q)+ln(1-q)) AS gain, count(*) AS c FROM clipped JOIN label_vox USING (z,y,x) GROUP BY ALL) USING (query_id, label)"
+    ),
+    "conflict_components": (
+        _recursive(f"SELECT patch_id, z, y, x, {NAME} FROM query_vox WHERE prob>0.3 GROUP BY ALL HAVING count(*)>1", "s.patch_id=r.patch_id", NEAR_SLICE)
+        + ", found AS (SELECT patch_id, z, y, x, min(root) AS component FROM reach GROUP BY ALL) SELECT * FROM found SEMI JOIN (SELECT patch_id, z, component FROM found GROUP BY ALL HAVING count(*)>=3) USING (patch_id, z, component)"
+    ),
+    "contact_continuity": (
+        _recursive(f"SELECT a.vol_id, a.label, b.label AS below, a.z, a.y, a.x, (a.y<<21)+a.x AS name FROM label_vox a JOIN label_vox b ON b.z=a.z-1 AND b.y=a.y AND b.x=a.x AND b.label<>a.label", "s.label=r.label AND s.below=r.below AND s.z=r.z", "abs(s.y-r.y)<=1 AND abs(s.x-r.x)<=1")
+        + f" SELECT vol_id, label, below, z AS slice, sum(n)::BIGINT AS contact_total, max(n) AS contact_largest, {r('max(n)/(sum(n)+1e-6)', 'contact_ratio')} FROM (SELECT vol_id, label, below, z, root, count(*) AS n FROM (SELECT vol_id, label, below, z, y, x, min(root) AS root FROM reach GROUP BY ALL) GROUP BY ALL) GROUP BY ALL"
+    ),
+    "merge_groups": (
+        "WITH RECURSIVE " + "e AS (SELECT o.patch_id, o.z, query_a AS a, query_b AS b FROM (" + OVERLAP + f") o JOIN {AREAS} a ON a.patch_id=o.patch_id AND a.z=o.z AND a.query_id=query_a JOIN {AREAS} b ON b.patch_id=o.patch_id AND b.z=o.z AND b.query_id=query_b"
+        " WHERE overlap/(least(a.area,b.area)+1e-6)>0.05 OR overlap/(a.area+b.area-overlap+1e-6)>0.02), both_ways AS (SELECT * FROM e UNION SELECT patch_id, z, b, a FROM e),"
+        " reach AS (SELECT patch_id, z, a AS query_id, a AS root FROM both_ways UNION SELECT w.patch_id, w.z, w.b, r.root FROM reach r JOIN both_ways w ON w.patch_id=r.patch_id AND w.z=r.z AND w.a=r.query_id)"
+        " SELECT patch_id, z, query_id, min(root) AS \"group\" FROM reach GROUP BY ALL"
+    ),
+    "split_disconnected": (
+        _recursive(f"SELECT label, z, y, x, {NAME} FROM label_vox WHERE y%9<>4", "s.label=r.label", NEAR_SOLID)
+        + ", found AS (SELECT label, z, y, x, min(root) AS component FROM reach GROUP BY ALL), pieces AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY component) AS n FROM (SELECT DISTINCT label, component FROM found)),"
+        " more AS (SELECT label, component, row_number() OVER (ORDER BY label, component)+(SELECT max(label) FROM found) AS fresh FROM pieces WHERE n>1) SELECT 'v0' AS vol_id, z, y, x, coalesce(fresh, label) AS label FROM found LEFT JOIN more USING (label, component)"
+    ),
+    "clicked_component": (
+        _recursive(f"SELECT label, z, y, x, {NAME} FROM label_vox WHERE y%9<>4", "s.label=r.label", NEAR_SOLID)
+        + ", found AS (SELECT label, z, y, x, min(root) AS component FROM reach GROUP BY ALL), hit AS (SELECT click_id, label, component FROM found JOIN " + CLICKS + " c ON c.cz=z AND c.cy=y AND c.cx=x),"
+        " large AS (SELECT label, component FROM found GROUP BY ALL HAVING count(*)>=20) SELECT 'v0' AS vol_id, click_id, z, y, x, label FROM found JOIN hit USING (label, component) JOIN large USING (label, component)"
+    ),
+    "clean_instances": (
+        f"{SLICES}, found AS (SELECT label, z, y, x, min(name) AS component FROM reach GROUP BY ALL), kept AS (SELECT * FROM found SEMI JOIN (SELECT label, z, component FROM found GROUP BY ALL HAVING count(*)>=10) USING (label, z, component))"
+        " SELECT 'v0' AS vol_id, z, y, x, dense_rank() OVER (ORDER BY label) AS label FROM kept SEMI JOIN (SELECT label FROM kept GROUP BY label HAVING count(*)>=30) USING (label)"
+    ),
+    "crop_centered": (
+        "SELECT vol_id, click_id, lz AS local_z, ly AS local_y, lx AS local_x, value FROM (SELECT click_id, lz, ly, lx, " + ", ".join(f"CASE WHEN (m{a})%(2*(n{a}-1))<n{a} THEN (m{a})%(2*(n{a}-1)) ELSE 2*(n{a}-1)-(m{a})%(2*(n{a}-1)) END AS {a}" for a in "zyx")
+        + " FROM (SELECT *, " + ", ".join(f"((c{a}-{p // 2}+l{a})%(2*(n{a}-1))+2*(n{a}-1)) AS m{a}" for a, p in (("z", 8), ("y", 16), ("x", 16))) + f" FROM {CLICKS}, volumes, (SELECT unnest(range(0,8)) AS lz), (SELECT unnest(range(0,16)) AS ly), (SELECT unnest(range(0,16)) AS lx))) JOIN raw_vox USING (z,y,x)"
+    ),
+    "select_clicked_query": (
+        f"SELECT click_id, patch_id, query_id, {r('click_prob', 'click_prob')}, valid, {r('rank_score', 'rank_score')}, {r('CASE WHEN click_prob<=0.5 THEN greatest(0.05, 0.85*click_prob) ELSE 0.5 END', 'mask_threshold')} FROM ("
+        "SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY valid DESC, rank_score DESC, patch_id, query_id) AS n FROM (SELECT *, CASE WHEN valid THEN click_prob*score*quality ELSE click_prob END AS rank_score FROM ("
+        "SELECT *, score>=0.05 AND click_prob>=0.10 AND area>=20 AS valid FROM (SELECT click_id, patch_id, query_id, max(prob) AS click_prob FROM query_vox JOIN "
+        + CLICKS + " c ON abs(z-cz)<=1 AND abs(y-cy)<=3 AND abs(x-cx)<=3 GROUP BY ALL) JOIN quality USING (patch_id, query_id)))) WHERE n=1"
+    ),
+    "grown_boxes": "SELECT vol_id, label, " + ", ".join(f"least(greatest(floor(({a}0+{a}1+1-g{a})/2.0), 0), n{a}-g{a})::BIGINT AS lo_{a}, least(greatest(floor(({a}0+{a}1+1-g{a})/2.0), 0), n{a}-g{a})::BIGINT+g{a} AS hi_{a}" for a in "zyx") + " FROM (SELECT *, " + ", ".join(f"least(greatest(({a}1+1-{a}0)*2, 5), n{a})::BIGINT AS g{a}" for a in "zyx") + " FROM basic)",
+    "united_boxes": "SELECT vol_id, label%7 AS \"group\", " + ", ".join(f"greatest(min({a}0)-2, 0) AS lo_{a}, least(max({a}1)+1+2, any_value(n{a})) AS hi_{a}" for a in "zyx") + " FROM basic GROUP BY ALL",
+    "bright_display": (
+        f"SELECT vol_id, z, y, x, {r('pow(least(greatest((value-lo)/(CASE WHEN hi>lo THEN hi ELSE lo+1 END-lo),0),1), 0.75)', 'display')} FROM raw_vox, (SELECT CASE WHEN q[2]>q[1] THEN q[1] ELSE mn END AS lo, CASE WHEN q[2]>q[1] THEN q[2] ELSE mx END AS hi FROM ("
+        "SELECT quantile_cont(value,[0.002,0.998]) AS q, min(value) AS mn, max(value) AS mx FROM raw_vox JOIN volumes USING (vol_id) WHERE z IN (0, nz//2, nz-1)))"
+    ),
+    "coarse_patches": f"SELECT vol_id AS patch_name, z, y, x, {r('avg((value-mn)/(mx-mn+1e-8)) OVER (PARTITION BY z, y//3, x//3)', 'norm')} FROM raw_vox, norms",
+    "log_notes": "SELECT seq, format('{} label={}; z={}; voxels {} -> {}', operation, label_id, z_index, seq%100, seq%70) AS line FROM curation_log",
+    "active_edits": (
+        "SELECT seq, layer_name, operation FROM (SELECT *, min(depth) OVER (PARTITION BY layer_name ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM (SELECT *, total-least(min(total) OVER (PARTITION BY layer_name ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS depth FROM ("
+        "SELECT *, sum(CASE WHEN operation='delete all Z' THEN -1 ELSE 1 END) OVER (PARTITION BY layer_name ORDER BY seq ROWS UNBOUNDED PRECEDING) AS total FROM curation_log))) WHERE operation<>'delete all Z' AND (later IS NULL OR later>=depth)"
+    ),
+    "anomaly_from_scores": (
+        f"SELECT vol_id, label, {r('s', 'anomaly_score')}, s>=cut AS is_anomaly, CASE WHEN why='' THEN 'none' ELSE why END AS anomaly_reason FROM (SELECT *, quantile_cont(s, 0.98) OVER () AS cut FROM (SELECT vol_id, label, (" + "+".join(f"least(greatest((c{k}-p{k}[1])/(p{k}[2]-p{k}[1]+1e-12),0),1)" for k in range(6))
+        + "+(label%101)/100.0::DOUBLE+(label%89)/88.0::DOUBLE)/8 AS s, concat_ws(';', CASE WHEN zv>3 THEN 'large_volume' END, CASE WHEN zv<-3 THEN 'small_volume' END, CASE WHEN zs<-3 THEN 'low_sphericity' END, CASE WHEN ze>3 THEN 'high_elongation' END,"
+        " CASE WHEN c3>3 THEN 'local_volume_outlier' END, CASE WHEN c4>3 THEN 'local_sphericity_outlier' END, CASE WHEN c5>3 THEN 'local_elongation_outlier' END) AS why FROM parts, (SELECT " + ", ".join(f"quantile_cont(c{k},[0.01,0.99]) AS p{k}" for k in range(6)) + " FROM parts)))"
+    ),
+    "lof_on_features": (
+        f"SELECT label, vol_id, {r('avg(o.lrd)/any_value(l.lrd)', 'lof')} FROM (SELECT * FROM close WHERE rk<=20) e JOIN lrd l USING (label) JOIN (SELECT label AS other, lrd FROM lrd) o USING (other), (SELECT vol_id FROM volumes) GROUP BY label, vol_id"
+    ),
+    "finalized_labels": (
+        _recursive(f"SELECT label, z, y, x, {NAME} FROM painted", "s.label=r.label", NEAR_SLICE)
+        + ", found AS (SELECT label, z, y, x, min(root) AS component FROM reach GROUP BY ALL), kept AS (SELECT * FROM found SEMI JOIN (SELECT label, z, component FROM found GROUP BY ALL HAVING count(*)>=4) USING (label, z, component)),"
+        " good AS (SELECT label FROM kept JOIN raw_vox USING (z,y,x) GROUP BY label HAVING count(*)>=30 AND avg(value)>=120), final AS (SELECT z, y, x, dense_rank() OVER (ORDER BY label) AS label FROM kept SEMI JOIN good USING (label)),"
+        f" small AS (SELECT tz AS z, ty AS y, tx AS x, label FROM final JOIN {_resized('z', 'nz', 'nz')} USING (z) JOIN {_resized('y', 'ny', '(ny//2)')} USING (y) JOIN {_resized('x', 'nx', '(nx//2)')} USING (x))"
+        f" SELECT 'v0' AS vol_id, z, y, x, {r('confidence', 'confidence')}, coalesce(label, 0) AS label FROM (SELECT tz AS z, ty AS y, tx AS x, sum(confidence*wz*wy*wx) AS confidence FROM painted SEMI JOIN final USING (z,y,x) JOIN {_linear('z', 'nz', 'nz')} USING (z) JOIN {_linear('y', 'ny', '(ny//2)')} USING (y) JOIN {_linear('x', 'nx', '(nx//2)')} USING (x) WHERE wz>0 AND wy>0 AND wx>0 GROUP BY ALL) LEFT JOIN small USING (z,y,x)"
+    ),
+}
+SQL["intensity_task"] = f"SELECT * FROM ({SQL['cell_basic']}) JOIN ({SQL['cell_intensity']}) USING (vol_id, label)"
+
 #: More expressions that single queries need.
+SHAPES = f"shapes AS (SELECT e.vol_id, e.label, s.area, 2*sqrt(5*greatest(l1,0)) AS j, 2*sqrt(5*greatest(l2,0)) AS i, 2*sqrt(5*greatest(l3,0)) AS k FROM ({EIGEN}) e JOIN surface s USING (vol_id, label))"
 MORE = {
+    "region_task": SHAPES + ", densities AS (SELECT label, min(d) AS nearest, " + ", ".join(f"count(d) FILTER (rk<={k})/({BALL}*pow(max(d) FILTER (rk<={k}), 3)+1e-12) AS density{k}" for k in (5, 10, 20)) + " FROM near WHERE rk<=20 GROUP BY label)",
+    "mask_costs": "clipped AS (SELECT *, least(greatest(prob, 1e-7), 1-1e-7) AS q FROM query_vox)",
+    "anomaly_from_scores": (
+        SHAPES + f", scored AS (SELECT vol_id, label, volume AS f0, ln(1+volume) AS lv, {SPHERICITY} AS f1, j/(k+1e-12) AS f2 FROM basic JOIN shapes USING (vol_id, label)),"
+        " around AS (SELECT e.label, " + ", ".join(f"avg(f{k}) AS m{k}, stddev_pop(f{k}) AS s{k}" for k in range(3)) + " FROM near e JOIN scored q ON q.label=e.other WHERE rk<=10 GROUP BY e.label),"
+        " parts AS (SELECT vol_id, label, zv, zs, ze, abs(zv) AS c0, greatest(-zs,0) AS c1, greatest(ze,0) AS c2, " + ", ".join(f"abs((f{k}-m{k})/(s{k}+1e-12)) AS c{k + 3}" for k in range(3))
+        + " FROM (SELECT *, 0.6745*(lv-a.md)/(a.mad+1e-12) AS zv, 0.6745*(f1-b.md)/(b.mad+1e-12) AS zs, 0.6745*(f2-c.md)/(c.mad+1e-12) AS ze FROM scored, " + f"{_robust('lv')} a, {_robust('f1')} b, {_robust('f2')} c) JOIN around USING (label))"
+    ),
+    "lof_on_features": (
+        SHAPES + f", raw_f AS (SELECT label, ln(1+volume) AS a, ln(1+area) AS b, {SPHERICITY} AS c, j/(k+1e-12) AS d FROM basic JOIN shapes USING (vol_id, label)),"
+        " q AS (SELECT " + ", ".join(f"quantile_cont({x},[0.25,0.5,0.75]) AS q{x}" for x in "abcd") + " FROM raw_f), f AS (SELECT label, " + ", ".join(f"({x}-q{x}[2])/(CASE WHEN q{x}[3]=q{x}[1] THEN 1 ELSE q{x}[3]-q{x}[1] END) AS {x}" for x in "abcd") + " FROM raw_f, q),"
+        " close AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY dist, other) AS rk FROM (SELECT p.label, o.label AS other, sqrt(" + "+".join(f"(p.{x}-o.{x})*(p.{x}-o.{x})" for x in "abcd") + ") AS dist FROM f p JOIN f o ON p.label<>o.label)),"
+        " far AS (SELECT label, max(dist) AS kd FROM close WHERE rk<=20 GROUP BY label), lrd AS (SELECT e.label, 1/(avg(greatest(e.dist, w.kd))+1e-10) AS lrd FROM close e JOIN far w ON w.label=e.other WHERE e.rk<=20 GROUP BY e.label)"
+    ),
+    "finalized_labels": "painted AS (SELECT z, y, x, min(query_id) AS label, max(prob) AS confidence FROM query_vox JOIN volumes ON z<nz AND y<ny AND x<nx WHERE prob>0.5 GROUP BY z, y, x)",
     "lof_scores": (
         "far AS (SELECT vol_id, label, max(d) AS kd FROM near_points WHERE rk<=20 GROUP BY ALL), lrd AS (SELECT e.vol_id, e.label, 1/(avg(greatest(e.d, f.kd))+1e-10) AS lrd FROM near_points e JOIN far f ON f.vol_id=e.vol_id AND f.label=e.other WHERE e.rk<=20 GROUP BY e.vol_id, e.label)"
     ),

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import categorical_code
+from ..functions.columns import log_note
+from ..functions.scratch import new_path
 from ..operators import augment, cell, components, edits, geometry, learn, patches, segment, spatial, voxel
 from ..sources import fixtures as fx
 from ..sources import volumes as io
@@ -55,7 +56,7 @@ def size_summary(vox):
 
 @query
 def distinct_labels(vox):
-    return vox.select("vol_id", "label").distinct()
+    return voxel.distinct_labels(vox)
 
 
 @query
@@ -90,8 +91,7 @@ def cell_intensity(vox, raw):
 
 @query
 def cell_pca_axes(vox, vol):
-    axes = voxel.pca_axes(vox, vol).where("axis_minor_um > 0.5")
-    return rounded(axes, 4)
+    return rounded(voxel.pca_axes(vox, vol), 4)
 
 
 @query
@@ -162,7 +162,7 @@ def contact_summary(vox, vol):
 
 @query
 def knn_features(vox, vol):
-    return spatial.knn_features(voxel.basic_features(vox, vol), (5, 10))
+    return spatial.knn_features(voxel.basic_features(vox, vol), (5, 10, 20))
 
 
 @query
@@ -177,7 +177,7 @@ def radius_features(vox, vol):
 
 @query
 def local_neighbour_stats(vox, vol):
-    return spatial.local_neighbour_stats(voxel.basic_features(vox, vol), ["volume_um3"], 10)
+    return spatial.local_neighbour_stats(voxel.basic_features(vox, vol), ["volume_um3", "equivalent_diameter_um"], 10)
 
 
 @query
@@ -192,12 +192,12 @@ def local_comparison_radius(vox, vol):
 
 @query
 def region_bins(vox, vol):
-    return spatial.region_bins(voxel.basic_features(vox, vol), vol).select("vol_id", "label", "region_z", "region_y", "region_x", "region_id")
+    return spatial.region_bins(voxel.basic_features(vox, vol), vol).select("vol_id", "label", "region_z_bin", "region_y_bin", "region_x_bin", "region_id")
 
 
 @query
 def region_features(vox, vol):
-    return spatial.region_features(voxel.basic_features(vox, vol), vol, ("volume_um3",))
+    return spatial.region_features(voxel.basic_features(vox, vol), vol)
 
 
 # --- scores ------------------------------------------------------------------------------------
@@ -226,12 +226,12 @@ def lof_scores(points):
 @query
 def isolation_forest_scores(vox, vol):
     cells = tasks.morphology(vox, vol)
-    return learn.isolation_forest_score(cells, learn.choose_feature_columns(cells), trees=50)
+    return learn.isolation_forest_score(cells, learn.choose_feature_columns(cells))
 
 
 @query
 def anomaly_scores(vox, vol):
-    return tasks.anomaly(vox, vol, forest=False).select("vol_id", "label", "anomaly_score", "is_anomaly", "anomaly_reason")
+    return tasks.anomaly(vox, vol).select("vol_id", "label", "anomaly_score", "is_anomaly", "anomaly_reason")
 
 
 @query
@@ -255,8 +255,7 @@ def feature_map_uint16(vox, vol):
 
 @query
 def categorical_map(vox, vol):
-    binned = spatial.region_bins(voxel.basic_features(vox, vol), vol).select("vol_id", "label", categorical_code(F.col("region_x")).alias("region_code"))
-    return vox.join(binned, ["vol_id", "label"]).select("vol_id", "z", "y", "x", "region_code")
+    return cell.feature_maps(vox, spatial.region_bins(voxel.basic_features(vox, vol), vol), ["region_z_bin", "region_x_bin"])
 
 
 # --- patches -----------------------------------------------------------------------------------
@@ -567,12 +566,12 @@ def batch_summary(spark, sf_dir):
 
 @query
 def edit_rate(spark, log):
-    return local_times(streams.replayed(spark, log, streams.edit_rate, "complete"))
+    return local_times(streams.replayed(spark, streams.closing(log), streams.edit_rate))
 
 
 @query
 def edit_sessions(spark, log):
-    return local_times(streams.replayed(spark, log, streams.edit_sessions, "complete"))
+    return local_times(streams.replayed(spark, streams.closing(log), streams.edit_sessions))
 
 
 @query
@@ -584,7 +583,7 @@ def dedup_log(spark, log):
 @query
 def online_confidence(spark, masks):
     rows = masks.select(F.lit(fx.VOL).alias("vol_id"), "z", "y", "x", F.col("prob").alias("confidence"))
-    return streams.replayed(spark, rows, streams.online_confidence, "complete")
+    return streams.replayed(spark, rows, streams.online_confidence, "update", ("vol_id", "z", "y", "x"))
 
 
 @query
@@ -592,7 +591,229 @@ def online_label_sizes(spark, log, vox):
     sizes = voxel.label_sizes(vox).select(F.col("label").alias("label_id"), "voxel_count")
     sign = F.when(F.col("operation") == "add to label", 1).when(F.col("operation") == "subtract from label", -1).otherwise(0)
     deltas = log.join(sizes, "label_id").select(F.col("label_id").alias("label"), (sign * F.col("voxel_count")).alias("delta"))
-    return streams.replayed(spark, deltas, streams.online_label_sizes, "complete")
+    return streams.replayed(spark, deltas, streams.online_label_sizes, "update", ("label",))
+
+
+# --- readers and writers: each writes to the shared folder and returns what it reads back --------
+
+
+@query
+def npy_slices(raw):
+    return io.decode_npy(io.encode_npy(raw)).select("path", "y", "x", "value")
+
+
+@query
+def volume_store(spark, vox):
+    path = new_path(spark, "volume")
+    io.write_volume(vox, path, 4)
+    return io.read_volume(spark, path, z=(2, 7)).select("vol_id", "z", "y", "x", "label")
+
+
+@query
+def chunked_store(spark, vox):
+    path = new_path(spark, "chunks")
+    io.write_chunked_store(vox, path, 32)
+    return spark.read.parquet(path).select("vol_id", "z", "y", "x", "label")
+
+
+@query
+def empty_label(spark, vol):
+    rows, volumes = io.empty_label(spark, vol)
+    return volumes.join(rows.groupBy("vol_id").agg(F.count(F.lit(1)).alias("voxels")), "vol_id", "left").fillna(0, ["voxels"])
+
+
+@query
+def validated_voxels(vox, vol):
+    return voxel.validated(vox, vol).select("vol_id", "z", "y", "x", "label")
+
+
+@query
+def task_csv(spark, vox, vol):
+    paths = io.write_task_csv(tasks.basic_info(vox, vol), new_path(spark, "csv"), "basic_info")
+    return spark.read.option("header", True).schema("vol_id string, label_id long, volume_um3 double").option("enforceSchema", True).csv(paths[0]).select("vol_id", "label_id", "volume_um3")
+
+
+@query
+def run_parameters(spark, vol):
+    path = new_path(spark, "parameters")
+    io.write_parameters(spark, {"knn_k": (5, 10), "seed": 0, "feature_set": "shape"}, vol, path)
+    at = lambda p: F.get_json_object("value", p)
+    return spark.read.text(path).select(at("$.config.knn_k[1]").cast("long").alias("knn_k"), at("$.config.feature_set").alias("feature_set"), at("$.derived.label_shape[0]").cast("long").alias("nz"), at("$.derived.voxel_volume_um3").cast("double").alias("voxel_volume_um3"))
+
+
+@query
+def feature_map_store(spark, vox, vol):
+    cells, folder = spatial.region_bins(voxel.basic_features(vox, vol), vol), new_path(spark, "maps")
+    cell.write_feature_maps(vox, cells, ["volume_um3", "region_z_bin"], folder)
+    listed = spark.read.parquet(f"{folder}/manifest").select("group", "feature")
+    return spark.read.parquet(f"{folder}/maps").groupBy("feature").agg(F.count(F.lit(1)).alias("voxels"), F.sum("value").alias("total")).join(listed, "feature")
+
+
+@query
+def appended_log(spark, log):
+    path = new_path(spark, "log")
+    for part in (0, 1):
+        io.append_log(log.where(f"seq % 2 = {part}"), path)
+    return spark.read.parquet(path).select("seq", "operation", "label_id", "z_index", "layer_name")
+
+
+@query
+def mesh_store(spark, vox):
+    path = new_path(spark, "mesh")
+    io.save_mesh(*geometry.surface_faces(vox), path, 4.0)
+    return io.load_mesh(spark, path)[2]
+
+
+@query
+def patch_store(spark, vox, raw, vol):
+    path = new_path(spark, "patches")
+    io.write_training_patches(*patches.training_patches(vox, raw, vol, PATCH, STRIDE, threshold=0.5)[1:], path)
+    images = spark.read.parquet(f"{path}/images").groupBy("patch_name").agg(F.count(F.lit(1)).alias("voxels"), F.avg("norm").alias("mean_norm"))
+    labels = spark.read.parquet(f"{path}/labels").groupBy("patch_name").agg(F.max("label").alias("labels"), F.count(F.lit(1)).alias("labelled"))
+    return images.join(labels, "patch_name")
+
+
+@query
+def all_files(spark, sf_dir):
+    return io.distinct_files(fx.image_files(spark, sf_dir), fx.label_files(spark, sf_dir), fx.image_files(spark, sf_dir))
+
+
+# --- more operators ------------------------------------------------------------------------------
+
+
+@query
+def original_labels(vox):
+    numbered = voxel.relabel_sequential(vox)
+    return cell.map_ids(voxel.label_sizes(numbered), voxel.label_numbers(vox)).select("vol_id", "label", "voxel_count")
+
+
+@query
+def cell_preview(vox, vol):
+    return cell.preview(voxel.basic_features(vox, vol).select("vol_id", "label", "volume_um3"), 20)
+
+
+@query
+def strided_voxels(vox):
+    return patches.strided_sample(vox, 500)
+
+
+@query
+def logits_to_prob(masks):
+    raw = masks.withColumn("logit", F.when(F.col("patch_id") % 2 == 0, F.col("prob") * 4 - 1).otherwise(F.col("prob")))
+    return segment.logits_to_prob(raw).select("patch_id", "query_id", "z", "y", "x", "prob")
+
+
+@query
+def class_topk(masks):
+    q = masks.select("patch_id", "query_id").distinct().withColumn("class", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
+    logits = q.withColumn("logit", ((F.col("query_id") * 7 + F.col("class") * 13) % 11) / 4.0 + F.col("class") * F.col("query_id") / 10000.0)
+    return segment.class_topk(logits, 60).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def mask_costs(masks, vox):
+    return segment.mask_cost_matrix(masks.select(F.lit(fx.VOL).alias("vol_id"), "query_id", "z", "y", "x", "prob"), vox, 100_000)
+
+
+@query
+def conflict_components(masks):
+    return segment.conflict_components(masks, 0.3, 3).select("patch_id", "z", "y", "x", "component")
+
+
+@query
+def contact_continuity(vox):
+    """The area in which two cells touch along z, and how much of it hangs together."""
+    up = vox.select("vol_id", (F.col("z") + 1).alias("z"), "y", "x", F.col("label").alias("below"))
+    touching = vox.join(up, ["vol_id", "z", "y", "x"]).where("label <> below").withColumn("slice", F.col("z"))
+    return components.contact_continuity(touching, ["vol_id", "label", "below", "slice"])
+
+
+@query
+def grown_boxes(vox, vol):
+    box = voxel.basic_features(vox, vol).join(vol.select("vol_id", "nz", "ny", "nx"), "vol_id")
+    box = box.select("vol_id", "label", *(F.col(f"bbox_{a}_min").alias(f"lo_{a}") for a in "zyx"), *((F.col(f"bbox_{a}_max") + 1).alias(f"hi_{a}") for a in "zyx"), "nz", "ny", "nx")
+    return patches.expand_bbox(box, 2.0, 5).drop("nz", "ny", "nx")
+
+
+@query
+def united_boxes(vox, vol):
+    box = voxel.basic_features(vox, vol).join(vol.select("vol_id", "nz", "ny", "nx"), "vol_id").withColumn("group", F.col("label") % 7)
+    box = box.select("vol_id", "group", *(F.col(f"bbox_{a}_min").alias(f"lo_{a}") for a in "zyx"), *((F.col(f"bbox_{a}_max") + 1).alias(f"hi_{a}") for a in "zyx"), "nz", "ny", "nx")
+    return patches.union_bboxes(box, ("vol_id", "group"))
+
+
+@query
+def bright_display(raw, vol):
+    return patches.bright_display(raw, patches.auto_contrast(raw, vol)).select("vol_id", "z", "y", "x", "display")
+
+
+@query
+def coarse_patches(raw, vol):
+    norm = patches.minmax_normalize(raw).withColumn("patch_name", F.col("vol_id"))
+    return augment.coarse_xy(norm.select("patch_name", "z", "y", "x", "norm"), 3)
+
+
+@query
+def augmented_patches(vox, raw, vol):
+    """Every kept patch, jittered in intensity, degraded, turned and scaled by its own draws."""
+    images = patches.training_patches(vox, raw, vol, PATCH, STRIDE)[1].select("patch_name", "z", "y", "x", "norm")
+    return augment.random_scale(augment.flip_rot90(augment.degrade(augment.intensity_jitter(images)), PATCH), PATCH)
+
+
+@query
+def log_notes(log):
+    return log.select("seq", log_note(F.col("operation"), F.col("label_id"), F.col("z_index"), F.col("seq") % 100, F.col("seq") % 70).alias("line"))
+
+
+@query
+def active_edits(log):
+    with_undo = log.withColumn("operation", F.when(F.col("operation") == "delete all Z", "undo").otherwise(F.col("operation")))
+    return edits.active_edits(with_undo).select("seq", "layer_name", "operation")
+
+
+# --- whole tasks ---------------------------------------------------------------------------------
+
+
+@query
+def neighborhood_task(vox, vol):
+    return tasks.neighborhood(vox, vol)[0]
+
+
+@query
+def intensity_task(vox, vol, raw):
+    return tasks.intensity(vox, vol, raw)
+
+
+@query
+def region_task(vox, vol):
+    return tasks.region(vox, vol)[1]
+
+
+@query
+def anomaly_from_scores(vox, vol):
+    """The anomaly score where the two outlier scores are given."""
+    near = tasks.with_neighbourhood(tasks.morphology(vox, vol))
+    given = near.withColumns({"isolation_forest_score": (F.col("label") % 101) / 100.0, "lof_score": (F.col("label") % 89) / 88.0})
+    return learn.anomaly_score(given).select("vol_id", "label", "anomaly_score", "is_anomaly", "anomaly_reason")
+
+
+@query
+def lof_on_features(vox, vol):
+    cells = tasks.morphology(vox, vol)
+    columns = ["volume_um3", "surface_area_um2", "sphericity", "elongation"]
+    return learn.local_outlier_factor(learn.prepare_feature_matrix(cells, columns), columns)
+
+
+@query
+def morphometry_summary(vox, vol, raw):
+    return tasks.morphometry(vox, vol, raw)[2]
+
+
+@query
+def finalized_labels(masks, vol, raw):
+    rows = masks.where("prob > 0.5").groupBy("z", "y", "x").agg(F.min("query_id").alias("label"), F.max("prob").alias("confidence"))
+    labels, confidence = tasks.finalize_segmentation(rows.withColumn("vol_id", F.lit(fx.VOL)), vol.selectExpr("*", "nz AS tz", "ny div 2 AS ty", "nx div 2 AS tx"), raw, 4, 30, None, 120, shape=True)
+    return confidence.withColumnRenamed("value", "confidence").join(labels, ["vol_id", "z", "y", "x"], "left").select("vol_id", "z", "y", "x", "confidence", F.coalesce("label", F.lit(0)).cast("long").alias("label"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

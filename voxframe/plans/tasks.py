@@ -31,7 +31,7 @@ class Config:
 
 NEEDS_SURFACE = {"surface_area_um2", "sphericity", "compactness"}
 NEEDS_AXES = {"axis_major_um", "axis_intermediate_um", "axis_minor_um", "elongation", "flatness", "major_minor_ratio"}
-NEEDS_RAW = {"min_intensity", "max_intensity", "mean_intensity", "std_intensity", "cv_intensity", "sum_intensity", "skew_intensity", "kurtosis_intensity"}
+NEEDS_RAW = {"min_intensity", "max_intensity", "mean_intensity", "std_intensity", "cv_intensity", "sum_intensity", "skewness_intensity", "kurtosis_intensity"}
 
 
 def base_table(voxels: DataFrame, volumes: DataFrame, raw: DataFrame | None, features: Sequence[str]) -> DataFrame:
@@ -108,39 +108,33 @@ def with_neighbourhood(cells: DataFrame, config: Config = Config()) -> DataFrame
     tables = [spatial.knn_features(cells, config.knn_k, neighbours=near)] + [spatial.radius_features(cells, r) for r in config.radius_um]
     local = [f for f in ("volume_um3", "sphericity", "elongation") if f in cells.columns]
     if local:
-        stats = spatial.local_neighbour_stats(cells, local, config.local_k)
-        tables.append(stats.drop(*local))
+        tables.append(spatial.local_neighbour_stats(cells, local, config.local_k, neighbours=near).drop(*local))
     return stored(cell.merge_features(cells, *tables), "neighbourhood")
 
 
 def region(voxels: DataFrame, volumes: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """K8: the cells with their regions, and the regions."""
     cells = with_neighbourhood(morphology(voxels, volumes), config)
-    return spatial.region_bins(cells, volumes, config.grid), spatial.region_features(cells, volumes, ("volume_um3", "sphericity"), config.grid)
+    return spatial.region_bins(cells, volumes, config.grid), spatial.region_features(cells, volumes, grid=config.grid)
 
 
-def anomaly(voxels: DataFrame, volumes: DataFrame, config: Config = Config(), forest: bool = True) -> DataFrame:
-    """K9."""
+def anomaly(voxels: DataFrame, volumes: DataFrame, raw: DataFrame | None = None, config: Config = Config()) -> DataFrame:
+    """K9. With ``raw``, intensity takes part."""
     cells = with_neighbourhood(morphology(voxels, volumes), config)
-    columns = learn.choose_feature_columns(cells, "shape_neighborhood")
-    extra = []
-    if forest:
-        cells = cells.join(learn.isolation_forest_score(cells, columns, seed=config.seed), CELL, "left")
-        lof = learn.local_outlier_factor(cells, spatial.UM)
-        cells = cells.join(learn.normalize_score(lof, "lof", "lof_score").select(*CELL, "lof_score"), CELL, "left")
-        cells, extra = stored(cells, "scores"), ["isolation_forest_score", "lof_score"]
-    return learn.anomaly_score(cells, config.contamination, extra)
+    if raw is not None:
+        cells = cells.join(voxel.intensity_features(voxels, raw), CELL, "left")
+    columns = learn.choose_feature_columns(cells, "shape_neighborhood" if raw is None else "all", raw is not None)
+    cells = stored(learn.outlier_scores(cells, columns, seed=config.seed), "scores")
+    return learn.anomaly_score(cells, config.contamination)
 
 
 def morphometry(voxels: DataFrame, volumes: DataFrame, raw: DataFrame | None = None, config: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All feature groups, the regions and the summary."""
-    cells = anomaly(voxels, volumes, config)
-    if raw is not None:
-        cells = cells.join(voxel.intensity_features(voxels, raw), CELL, "left")
-    cells = learn.cluster_cells(cells, learn.choose_feature_columns(cells, config.feature_set), config.clusters, config.seed)
+    cells = anomaly(voxels, volumes, raw, config)
+    cells = learn.cluster_cells(cells, learn.choose_feature_columns(cells, config.feature_set, raw is not None), config.clusters, config.seed)
     cells = stored(spatial.region_bins(cells, volumes, config.grid), "morphometry")
-    regions = spatial.region_features(cells.drop("region_z", "region_y", "region_x", "region_id"), volumes, ("volume_um3", "sphericity"), config.grid, "is_anomaly")
-    return cell.public_cell_table(cells), regions, cell.summary_stats(cells, ("volume_um3", "sphericity", "anomaly_score"))
+    regions = spatial.region_features(cells.drop("region_z_bin", "region_y_bin", "region_x_bin", "region_id"), volumes, grid=config.grid)
+    return cell.public_cell_table(cells), regions, cell.summary_stats(cells)
 
 
 def size_statistics(voxels: DataFrame, bins: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -148,14 +142,19 @@ def size_statistics(voxels: DataFrame, bins: int = 50) -> tuple[DataFrame, DataF
     return voxel.size_summary(voxels), cell.size_histogram(voxel.label_sizes(voxels), bins)
 
 
-def finalize_segmentation(instances: DataFrame, volumes: DataFrame, raw: DataFrame | None = None, min_area: int = 20, min_size: int = 0, max_size: int | None = None, min_intensity: float | None = None, shape: bool = False) -> DataFrame:
-    """Labels and mean confidence after cleaning, cut to the volume, and resized where ``volumes`` has a target shape."""
+def finalize_segmentation(instances: DataFrame, volumes: DataFrame, raw: DataFrame | None = None, min_area: int = 20, min_size: int = 0, max_size: int | None = None, min_intensity: float | None = None, shape: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Labels, and confidence (vol_id, z, y, x, value), after cleaning and cut to the volume. Voxels without a label have no confidence.
+
+    With ``shape`` both are resized to the volumes' tz, ty, tx: labels to the nearest source, confidence linearly.
+    """
     inside = instances.join(volumes.select("vol_id", "nz", "ny", "nx"), "vol_id").where("z < nz AND y < ny AND x < nx").drop("nz", "ny", "nx")
     inside = stored(inside, "instances")
     labels = segment.clean_instances(inside.select("vol_id", "z", "y", "x", "label"), raw, min_area, min_size, max_size, min_intensity)
+    labels = stored(labels.select("vol_id", "z", "y", "x", "label"), "labels")
+    confidence = inside.select("vol_id", "z", "y", "x", F.col("confidence").alias("value")).join(labels.drop("label"), ["vol_id", "z", "y", "x"], "left_semi")
     if shape:
-        return geometry.resize_nearest(labels, volumes)
-    return labels.join(inside.select("vol_id", "z", "y", "x", "confidence"), ["vol_id", "z", "y", "x"])
+        return geometry.resize_nearest(labels, volumes), geometry.resize_linear(confidence, volumes)
+    return labels, confidence
 
 
 def anisotropy(volumes: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -29,9 +30,27 @@ def _decode(batches):
 def read_npy_stack(spark: SparkSession, path: str | Sequence[str], recursive: bool = False) -> DataFrame:
     """Voxel rows of .npy files, one task per file; (path, z, y, x, value)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return decode_npy(files.select("path", "content"))
+
+
+def decode_npy(files: DataFrame) -> DataFrame:
+    """Voxel rows of (path, content) with the bytes of .npy files."""
     return files.select("path", "content").mapInPandas(_decode, VOXEL_ROWS)
 
 
+def encode_npy(rows: DataFrame, value: str = "value") -> DataFrame:
+    """(path, content), the bytes of an .npy file for each slice, voxels without a row 0; a slice is the most that a task holds."""
+
+    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1))
+        a[pdf.y, pdf.x] = pdf[value]
+        out = io.BytesIO()
+        np.save(out, a)
+        return pd.DataFrame({"path": [f"{key[0]}/{key[1]}"], "content": [out.getvalue()]})
+
+    return rows.select("vol_id", "z", "y", "x", value).groupBy("vol_id", "z").applyInPandas(pack, "path string, content binary")
+
+
 def read_time_series(spark: SparkSession, folder: str) -> DataFrame:
     """All .npy files of a folder, in the order of their names, as frames t; (t, z, y, x, value)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder).select("path")
@@ -104,21 +123,31 @@ def batch_summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
 
 
-#: File name of each task's table.
-TASK_TABLES = {"basic_info": "basic_info", "neighborhood": "neighborhood", "contact": "contact", "clustering": "clustering", "local_comparison": "local_comparison", "morphology": "morphology", "intensity": "intensity", "region": "region", "anomaly": "anomaly"}
+#: Names of each task's tables.
+TASK_TABLES = {
+    "basic_info": ("features", "summary"), "neighborhood": ("features", "summary"), "contact": ("features", "summary", "edges"), "clustering": ("features", "summary"),
+    "local_comparison": ("features", "summary"), "morphology": ("features",), "intensity": ("features",), "region": ("features", "regions"), "anomaly": ("features",),
+}
 
 
-def write_task_csv(df: DataFrame, folder: str, task: str, what: str = "features") -> str:
-    """A task's table as CSV with a header, under the task's name."""
-    path = f"{folder}/{TASK_TABLES[task]}_{what}"
-    df.write.option("header", True).csv(path)
-    return path
+def write_task_csv(tables: DataFrame | Sequence[DataFrame], folder: str, task: str) -> list[str]:
+    """A task's tables as CSV with a header, each under the task's name and its own."""
+    tables = [tables] if isinstance(tables, DataFrame) else list(tables)
+    paths = [f"{folder}/{task}_{what}" for what in TASK_TABLES[task]]
+    for df, path in zip(tables, paths):
+        df.write.option("header", True).csv(path)
+    return paths[: len(tables)]
 
 
 def parameters(spark: SparkSession, config: dict, volumes: DataFrame) -> DataFrame:
-    """One row per volume with the run's configuration and derived facts as JSON."""
-    facts = volumes.withColumn("config", F.to_json(F.create_map(*(x for k, v in config.items() for x in (F.lit(k), F.lit(str(v)))))))
-    return facts.select("vol_id", F.to_json(F.struct("nz", "ny", "nx", "vz", "vy", "vx", "config")).alias("parameters"))
+    """(vol_id, parameters): the run's configuration, values as they are, and derived facts of each volume, as JSON."""
+    facts = F.to_json(F.struct(F.array("nz", "ny", "nx").alias("label_shape"), F.array("vz", "vy", "vx").alias("voxel_size_um"), (F.col("vz") * F.col("vy") * F.col("vx")).alias("voxel_volume_um3")))
+    return volumes.select("vol_id", F.concat(F.lit('{"config":' + json.dumps(config, sort_keys=True, default=list) + ',"derived":'), facts, F.lit("}")).alias("parameters"))
+
+
+def write_parameters(spark: SparkSession, config: dict, volumes: DataFrame, path: str) -> None:
+    """The parameters of each volume as a line of JSON text."""
+    parameters(spark, config, volumes).select("parameters").write.text(path)
 
 
 def append_log(entries: DataFrame, path: str) -> None:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.scratch import new_path
 
@@ -42,18 +45,27 @@ def online_label_sizes(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("label").agg(F.sum("delta").alias("voxel_count"))
 
 
-def replayed(spark: SparkSession, rows: DataFrame, job, mode: str = "append") -> DataFrame:
+def closing(log: DataFrame, after: str = "30 days", time: str = "ts") -> DataFrame:
+    """One more row, so long after the log's last that the watermark passes all of the log; its own window stays open and is never returned."""
+    end = log.agg((F.max(time) + F.expr(f"INTERVAL {after}")).cast(log.schema[time].dataType).alias(time)).where(F.col(time).isNotNull())
+    return log.unionByName(end, allowMissingColumns=True)
+
+
+def replayed(spark: SparkSession, rows: DataFrame, job, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
     """The result of a streaming job over rows that are written as files and read as a stream until no more are there.
 
-    In append mode the result goes to a table of files; in complete or update mode each batch's rows replace those before, so a
-    job in update mode must end with one row per key and batch, of which the last is kept by the caller.
+    In append mode a batch adds its rows. In update mode it has the keys that changed, and the newest row of each of ``keys`` counts; a
+    batch that runs again replaces its own rows.
     """
     source, sink = new_path(spark, "stream-in"), new_path(spark, "stream-out")
     rows.write.parquet(source)
     stream = job(spark.readStream.schema(rows.schema).parquet(source))
-    writer = stream.writeStream.option("checkpointLocation", new_path(spark, "stream-state")).trigger(availableNow=True)
+    writer = stream.writeStream.option("checkpointLocation", new_path(spark, "stream-state")).trigger(availableNow=True).outputMode(mode)
     if mode == "append":
-        writer.format("parquet").option("path", sink).outputMode("append").start().awaitTermination()
-    else:
-        writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(sink)).outputMode(mode).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(sink)
+        writer.format("parquet").option("path", sink).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(sink)
+    writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{sink}/batch={batch}")).start().awaitTermination()
+    found = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(sink)
+    rest = [c for c in stream.columns if c not in keys]
+    newest = found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return newest.select(*(F.col(c) if c in keys else F.col(f"_last.{c}") for c in stream.columns))
