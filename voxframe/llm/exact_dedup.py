@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scratch import new_path
+from ..functions.scratch import new_path, stored, write_table
 from .common import ascii_lower
 
+#: Digests that came more than once (about 400 bytes each in a hash table) up to which they are broadcast; beyond, texts meet in a shuffle.
+BROADCAST_DIGESTS = 1 << 17
 #: Settings of the keyed state while the stream runs.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -46,46 +48,49 @@ def keyed_state(spark, path: str, schema, files_per_batch: int = 1000) -> DataFr
     return held.select(F.col("key.digest").alias("digest"), keep_id.alias("keep_id"), group_size.alias("group_size"), locator.alias("locator"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=lambda text: F.sha2(text, 256)) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=lambda text: F.sha2(text, 256), broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
     """Which rows of ``docs`` have the same text, and which of them stays.
 
     Texts are equal when identical after lower-casing A-Z only; null counts as empty. Of equal texts
     the row with the largest id stays. Returns one row per row of ``docs``: id, ``digest`` of the
-    normalised text, ``keep_id``, ``group_size`` (rows with this text), ``kept``.
+    normalised text, ``keep_id``, ``group_size`` (rows with this text), ``kept`` and ``locator``.
 
     Null ids are smaller than any other; where all are null, ``keep_id`` is null and the rows stay.
     Rows that repeat both id and text each count, and each has ``kept`` true if its id stays.
     Other columns of ``docs`` are not looked at. An empty table gives an empty result.
 
+    ``locator`` is the file and block that the kept text was read from (empty if it was in no file; null where texts share a digest).
+
     Digests meet in one group of the state each; the map side aggregates first, so that a text which
-    a third of all rows share sends one row per task. ``digest`` may be any function of the text:
-    equal digests of different texts are found by their bytes and parted.
+    a third of all rows share sends one row per task, and so do the full bytes of hits. Only texts of digests that came
+    more than once are compared: where those digests are few enough to be broadcast, no other text is shuffled.
+    ``digest`` may be any function of the text: equal digests of different texts are found by their bytes and parted.
     """
     spark = docs.sparkSession
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("body"), F.input_file_name().alias("locator"))
+    locator = F.concat_ws("#", F.input_file_name(), F.when(F.input_file_name() != "", F.input_file_block_start()).cast("string"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("body"), locator.alias("locator"))
     rows = rows.withColumn("digest", digest(F.col("body")).cast("string"))
     path = new_path(spark, "exact-digests")
-    rows.select("digest", "id", "locator").write.parquet(path)
-    slim = spark.read.schema("digest string, id long, locator string").parquet(path)
-    index = keyed_state(spark, path, slim.schema)
-    index_path = new_path(spark, "exact-index")
-    index.write.parquet(index_path)
-    index = spark.read.schema("digest string, keep_id long, group_size long, locator string").parquet(index_path)
+    slim = write_table(rows.select("digest", "id", "locator"), path)
+    index = stored(keyed_state(spark, path, slim.schema), "exact-index")
 
     # Hits: every row of a digest that came more than once, by its full bytes.
-    hits = rows.select("id", "digest", "body").join(index.where("group_size > 1").select("digest"), "digest", "left_semi")
-    bodies_path = new_path(spark, "exact-bodies")
-    hits.groupBy("digest", "body").agg(F.max("id").alias("own_keep"), F.count(F.lit(1)).alias("own_size")).write.parquet(bodies_path)
-    bodies = spark.read.schema("digest string, body string, own_keep long, own_size long").parquet(bodies_path)
+    known = index.where("group_size > 1").select("digest")
+    whole = lambda df: df.groupBy("digest", "body").agg(F.max("id").alias("own_keep"), F.count(F.lit(1)).alias("own_size"))
+    texts = rows.select("id", "digest", "body")
+    few = known.count() <= broadcast_digests
+    bodies = whole(texts.join(F.broadcast(known), "digest", "left_semi")) if few else whole(texts).join(known, "digest", "left_semi")
+    bodies = stored(bodies, "exact-bodies")
     clashes = bodies.groupBy("digest").count().where("count > 1").select("digest")
 
-    found = slim.select("id", "digest").join(index.select("digest", "keep_id", "group_size"), "digest")
+    found = slim.select("id", "digest").join(index, "digest")
     if clashes.limit(1).count():
-        apart = hits.join(clashes, "digest", "left_semi").join(bodies, ["digest", "body"]).select(F.col("id").alias("own_id"), F.col("digest").alias("own_digest"), "own_keep", "own_size").distinct()
+        apart = texts.join(clashes, "digest", "left_semi").join(bodies, ["digest", "body"]).select(F.col("id").alias("own_id"), F.col("digest").alias("own_digest"), "own_keep", "own_size").distinct()
         found = found.join(apart, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")), "left")
         found = found.withColumn("keep_id", F.when(F.col("own_digest").isNull(), F.col("keep_id")).otherwise(F.col("own_keep"))).withColumn("group_size", F.coalesce("own_size", "group_size"))
-    return found.select(F.col("id").alias(id_col), "digest", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"))
+        found = found.withColumn("locator", F.when(F.col("own_digest").isNull(), F.col("locator")))
+    return found.select(F.col("id").alias(id_col), "digest", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "locator")
 
 
 def keep_last_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
