@@ -1,6 +1,6 @@
 """Connected components: of graphs, and of voxels after they are joined into runs along x.
 
-Neighbouring runs are linked by equi joins on their rows; the smallest run number spreads along the links. Rounds
+Neighbouring runs are linked by equi joins on their rows, and the graph of runs is contracted. Rounds
 are written to the shared folder, so that lost executors cost one round.
 """
 
@@ -31,11 +31,11 @@ def graph_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(down.select("hi", "m")).where("hi <> lo").distinct()
         small = work.keep(small, str(turn + 1))
-        # links are distinct: equal numbers, and none of one table that the other lacks
-        same = small.count() == links.count() and not small.join(links, ["hi", "lo"], "left_anti").limit(1).count()
         work.drop("large", str(turn))
         links, turn = small, turn + 1
-        if same:
+        # stars: every node but a centre has one link, and that leads to a centre
+        ends = links.select(F.col("hi").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("lo", F.lit(0), F.lit(1)))
+        if not ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").limit(1).count():
             break
     nodes = links.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
     return nodes.union(nodes.select(F.col("component").alias("id"), "component").distinct())
@@ -67,20 +67,10 @@ def run_links(runs: DataFrame, keys: Sequence[str], steps: Sequence[tuple[int, i
 def voxel_components(voxels: DataFrame, keys: Sequence[str], steps: Sequence[tuple[int, int]], reach: int = 0) -> DataFrame:
     """(keys, z, y, x, component): components of the voxels with equal keys; ``component`` is the name of its first run in z, y, x order."""
     runs = stored(runs_along_x(voxels, keys), "runs")
-    links = run_links(runs, keys, steps, reach)
-    label = stored(runs.select(*keys, "run", F.col("run").alias("component")), "labels")
-    links = stored(links.union(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))), "run-links")
-    while True:
-        near = links.join(label.withColumnRenamed("run", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("run")).agg(F.min("component").alias("_near"))
-        step = label.join(near, [*keys, "run"], "left").select(*keys, "run", F.least("component", F.coalesce("_near", "component")).alias("component"))
-        # jump: the component's own component
-        jump = step.select(*keys, F.col("run").alias("component"), F.col("component").alias("_up"))
-        step = stored(step.join(jump, [*keys, "component"]).select(*keys, "run", F.col("_up").alias("component")), "labels")
-        changed = step.select(*keys, "run", "component").exceptAll(label).limit(1).count()
-        label = step
-        if not changed:
-            break
-    back = runs.join(label, [*keys, "run"]).withColumn("x", F.explode(F.sequence("x_lo", "x_hi")))
+    node = lambda c: F.struct(*keys, F.col(c).alias("run"))
+    found = graph_components(run_links(runs, keys, steps, reach).select(node("a").alias("a"), node("b").alias("b")))
+    label = found.select("id.*", F.col("component.run").alias("component"))
+    back = runs.join(label, [*keys, "run"], "left").withColumn("component", F.coalesce("component", "run")).withColumn("x", F.explode(F.sequence("x_lo", "x_hi")))
     return back.select(*keys, *[c for c in ("z", "y", "x") if c not in keys], "component")
 
 

@@ -41,11 +41,16 @@ def radius_join(cells: DataFrame, radius: float, coords: Sequence[str] = UM) ->
     return _near_pairs(p, p, F.lit(float(radius))).where(F.col("distance") <= radius).select(*CELL, "other", "distance")
 
 
+#: Halvings of the side that the mean density asks for, to be tried where cells lie closer.
+_FINER = 8
+
+
 def knn_join(cells: DataFrame, k: int, coords: Sequence[str] = UM) -> DataFrame:
     """(vol_id, label, other, distance, rank) of the k nearest other cells, or all if there are fewer; ties by label.
 
-    A bucket holds about k cells at first. A cell is done when its k-th neighbour is no farther than a bucket's side, since nearer ones
-    cannot lie outside the adjoining buckets; the others are tried again with doubled sides.
+    At the mean density a bucket holds about k cells. Each cell starts with buckets of that side or, where its own would hold more than
+    8 k cells, with halved ones, so a dense cluster is not one bucket. A cell is done when its k-th neighbour is no farther than a bucket's side,
+    since nearer ones cannot lie outside the adjoining buckets; the others are tried again with doubled sides.
     """
     points = stored(_points(cells, coords), "knn-points")
     extent = F.greatest(*(F.max(a) - F.min(a) for a in "zyx"), F.lit(1e-9))
@@ -53,21 +58,29 @@ def knn_join(cells: DataFrame, k: int, coords: Sequence[str] = UM) -> DataFrame:
     facts = points.groupBy("vol_id").agg(F.count(F.lit(1)).alias("n"), extent.alias("extent"), volume.alias("v"))
     facts = facts.select("vol_id", "n", "extent", F.greatest(F.pow(F.col("v") * k / F.col("n"), F.lit(1 / 3)), F.col("extent") / 1e6).alias("side"))
     right = points.join(facts, "vol_id")
-    todo, done = right, None
+    levels = right.withColumn("level", F.explode(F.sequence(F.lit(-_FINER), F.lit(0))))
+    levels = levels.withColumns({f"b{a}": F.floor(F.col(a) / (F.col("side") * F.pow(F.lit(2.0), F.col("level")))) for a in "zyx"})
+    full = levels.groupBy("vol_id", "level", "bz", "by", "bx").agg(F.count(F.lit(1)).alias("held"))
+    held = levels.join(full, ["vol_id", "level", "bz", "by", "bx"]).where(F.col("held") <= 8 * k)
+    start = held.groupBy(*CELL).agg(F.max("level").alias("start"))
+    todo = stored(right.join(start, CELL, "left").fillna(-_FINER, ["start"]), "knn-todo")
+    level, done = todo.agg(F.min("start")).first()[0], None
     nearest = Window.partitionBy(*CELL).orderBy("distance", "other")
-    while True:
-        pairs = _near_pairs(todo, right.drop("n", "extent"), F.col("side"))
+    while level is not None:
+        scale = F.col("side") * 2.0**level
+        pairs = _near_pairs(todo.where(F.col("start") <= level).withColumn("side", scale), points.join(facts.select("vol_id", scale.alias("side")), "vol_id"), F.col("side"))
         pairs = pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select(*CELL, "other", "distance", "rank", "side", "n", "extent")
         pairs = stored(pairs, "knn-pairs")
         sure = pairs.groupBy(*CELL).agg(F.count(F.lit(1)).alias("found"), F.max("distance").alias("far"), F.first("side").alias("s"), F.first("n").alias("m"), F.first("extent").alias("e"))
         sure = sure.where((F.col("found") == F.least(F.lit(k), F.col("m") - 1)) & ((F.col("far") <= F.col("s")) | (F.col("s") > F.col("e")))).select(*CELL)
         ready = pairs.join(sure, CELL, "left_semi").select(*CELL, "other", "distance", "rank")
         done = ready if done is None else done.unionByName(ready)
-        todo = todo.where("n > 1").join(sure, CELL, "left_anti").withColumn("side", F.col("side") * 2)
-        right = right.withColumn("side", F.col("side") * 2)
-        todo = stored(todo, "knn-todo")
+        todo = stored(todo.where("n > 1").join(sure, CELL, "left_anti"), "knn-todo")
+        level += 1
         if not todo.limit(1).count():
-            return done
+            break
+    empty = points.sparkSession.createDataFrame([], "vol_id string, label long, other long, distance double, rank int")
+    return empty if done is None else done
 
 
 _SPHERE = 4.0 / 3.0 * 3.141592653589793

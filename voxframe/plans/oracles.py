@@ -200,6 +200,13 @@ OPEN_FACES = (
 MESH = f"(SELECT vol_id, label, count(DISTINCT (z+cz, y+cy, x+cx)) AS n_vertices, count(*)//2 AS n_triangles FROM {OPEN_FACES} JOIN {CORNERS} USING (axis, side) GROUP BY vol_id, label)"
 
 
+def _at_least(axis: str, patch: int) -> str:
+    return f"(SELECT t AS t{axis}, CASE WHEN n{axis}<=1 THEN 0 WHEN t%(2*(n{axis}-1))<n{axis} THEN t%(2*(n{axis}-1)) ELSE 2*(n{axis}-1)-t%(2*(n{axis}-1)) END AS {axis} FROM volumes, (SELECT unnest(range(0, (SELECT greatest(n{axis}, {patch}) FROM volumes))) AS t))"
+
+
+MIRRORED = COVERED.replace("norm_vox v", f"(SELECT norm, tz AS z, ty AS y, tx AS x FROM norm_vox JOIN {_at_least('z', 8)} USING (z) JOIN {_at_least('y', 16)} USING (y) JOIN {_at_least('x', 16)} USING (x)) v")
+
+
 SQL: dict[str, str] = {
     "label_sizes": "SELECT vol_id, label, n AS voxel_count FROM basic",
     "size_summary": "SELECT vol_id, count(*) AS n_labels, min(n) AS min_size, max(n) AS max_size FROM basic GROUP BY vol_id",
@@ -368,7 +375,7 @@ SQL |= {
     "surface_faces": "SELECT vol_id, label, n_vertices, n_triangles FROM " + MESH,
     "patch_store": (
         f"SELECT format('v0_z{{:04d}}_y{{:04d}}_x{{:04d}}', z0, y0, x0) AS patch_name, voxels, {r('mean_norm', 'mean_norm')}, labels, labelled FROM"
-        f" (SELECT t.patch_id, z0, y0, x0, count(*) AS voxels, avg(norm) AS mean_norm FROM {COVERED} GROUP BY ALL HAVING quantile_cont(norm, 0.999)>=0.5) JOIN (SELECT t.patch_id, count(DISTINCT label) AS labels, count(*) AS labelled FROM {LABELLED} GROUP BY ALL) USING (patch_id)"
+        f" (SELECT t.patch_id, z0, y0, x0, count(*) AS voxels, avg(norm) AS mean_norm FROM {MIRRORED} GROUP BY ALL HAVING quantile_cont(norm, 0.999)>=0.5) JOIN (SELECT t.patch_id, count(DISTINCT label) AS labels, count(*) AS labelled FROM {LABELLED} GROUP BY ALL) USING (patch_id)"
     ),
     "all_files": "SELECT path FROM image_files UNION SELECT path FROM label_files",
     "original_labels": "SELECT vol_id, label, n AS voxel_count FROM basic",

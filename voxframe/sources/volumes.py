@@ -41,7 +41,7 @@ def decode_npy(files: DataFrame) -> DataFrame:
 def encode_npy(rows: DataFrame, value: str = "value") -> DataFrame:
     """(path, content), the bytes of an .npy file for each slice, voxels without a row 0; a slice is the most that a task holds."""
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a = np.zeros((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1))
         a[pdf.y, pdf.x] = pdf[value]
         out = io.BytesIO()
