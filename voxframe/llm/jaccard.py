@@ -297,8 +297,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         some = open_.join(more, ["id", "home"]).select("home", "id", "label").join(sets, "id")
         found = work.keep(some.groupBy("home").applyInArrow(link_block(percent), "a long, b long"), f"links-{turn}")
         if found.limit(1).count():
-            links = links.union(found)
-            labels = graph_components(links)
+            labels = graph_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found))
     # pairs of open tiles that have met in none of these blocks
     been = homes.groupBy("id").agg(F.collect_list("home").alias("homes"))
     left = _open(large, labels).join(been, "id").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
@@ -306,7 +305,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     left = work.keep(left.groupBy("tile", "low", "high").applyInArrow(open_members, left.schema), "left")
     if left.limit(1).count():
         found = work.keep(left.join(sets, "id").groupBy("tile", "low", "high").applyInArrow(link_block(percent), "a long, b long"), "links-left")
-        labels = graph_components(links.union(found)) if found.limit(1).count() else labels
+        if found.limit(1).count():
+            labels = graph_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found))
     work.drop("met", "large", "homes", "sets", "left", "maybe")
 
     out = signed.select("id", "size", "digest").join(firsts, "digest", "left").join(labels.withColumnRenamed("id", "first"), "first", "left")
