@@ -8,6 +8,7 @@ one record on each side of the boundary.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,15 @@ CACHE_WORDS = 250_000
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
 #: The tokenizer's pieces of such a word, once that is in lower case.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+#: How a tokenizer file must cut text for its words to be cut here: fixed values, held against the file when it is read.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Opens the names of special tokens, which the tokenizer looks for in the text as it stands.
 _SPECIAL = "<|"
 _coders: dict = {}
@@ -60,15 +70,19 @@ class Memory(dict):
 class Coder:
     """Token ids of texts, by way of a bounded memory of the ids of white-space-separated words and their pieces.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words
-    in order. Only space, tab, line feed and carriage return are split at here. A plain word is
-    cut into pieces as the tokenizer does, and the pieces go to its model; it reads all other words itself.
+    A tokenizer that cuts text as ``NORMALIZER`` and ``PRE_TOKENIZER`` say, and whose special tokens open with ``<|``, drops white space and never
+    joins across it, so a text's ids are those of its words in order. Only space, tab, line feed and carriage return are split
+    at here. A plain word is cut into pieces as the tokenizer does, and the pieces go to its model; it reads all other
+    words itself. Any other tokenizer reads the texts whole.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        special = all(t["content"].startswith(_SPECIAL) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in told["added_tokens"])
+        self.by_words = special and told["normalizer"] == NORMALIZER and told["pre_tokenizer"] == PRE_TOKENIZER and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.words, self.pieces = Memory(self.of_word, cache_words), Memory(self.of_piece, cache_words)
 
@@ -78,12 +92,15 @@ class Coder:
 
     def of_word(self, word: str) -> bytes:
         if PLAIN(word) and _SPECIAL not in word:
-            return b"".join([self.pieces[p] for p in PIECES(word.lower())])
+            low = word.lower()
+            return self.pieces[low] if low.isalpha() else b"".join([self.pieces[p] for p in PIECES(low)])
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return pack_ids(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, 4 bytes each."""
+        if not self.by_words:
+            return [pack_ids(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         get = self.words.__getitem__
         return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
 
