@@ -1,9 +1,11 @@
 """The corpus operators against brute force, on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import collections
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -54,8 +56,8 @@ def source_rows(docs):
     return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
 
 
-@pytest.mark.parametrize("weak", [False, True])
-def test_exact_dedup(docs, weak):
+@pytest.mark.parametrize("weak,broadcast", [(False, 1000), (False, 0), (True, 1000)])
+def test_exact_dedup(docs, weak, broadcast):
     from pyspark.sql import functions as F
 
     digest = (lambda t: (F.crc32(t.cast("binary")) % 3).cast("string")) if weak else (lambda t: F.sha2(t, 256))
@@ -63,7 +65,7 @@ def test_exact_dedup(docs, weak):
     groups = collections.defaultdict(list)
     for i, t in source_rows(docs):
         groups[low(t)].append(i)
-    got = exact_dedup.exact_dedup(docs, digest=digest).collect()
+    got = exact_dedup.exact_dedup(docs, digest=digest, broadcast_digests=broadcast).collect()
     assert len(got) == docs.count()
     for r in got:
         own = next(g for g in groups.values() if r.doc_id in g)
@@ -172,8 +174,8 @@ def test_coder_agrees_with_the_tokenizer():
 
 def test_mixing_keeps_its_promise():
     weights = {"a": 0.62, "b": 0.2, "c": 0.13, "d": 0.05}
-    shares = mixing.whole_parts(weights, 100)
-    assert sum(shares.values()) == 100
+    shares = mixing.exact_parts(weights)
+    assert shares == {"a": 62, "b": 20, "c": 13, "d": 5}
     slots = mixing.pfair_period(shares)
     assert sorted(t for s in slots.values() for t in s) == list(range(100))
     for s, own in slots.items():
@@ -181,6 +183,41 @@ def test_mixing_keeps_its_promise():
             assert abs(sum(x < t for x in own) - t * shares[s] / 100) < 1
 
 
+def plain_schedule(weights, blocks, slots):
+    """Slot by slot: of the blocks that may run, the one that is due first."""
+    done, out = dict.fromkeys(weights, 0), []
+    for t in range(slots):
+        may = [(math.ceil(Fraction(done[s] + 1) / w), s) for s, w in weights.items() if w and done[s] < blocks[s] and math.floor(done[s] / w) <= t]
+        if may:
+            out.append((t, min(may)[1]))
+            done[min(may)[1]] += 1
+        else:
+            idle = [s for s in sorted(weights) if not weights[s] and done[s] < blocks[s]]
+            if idle:
+                out.append((t, idle[0]))
+                done[idle[0]] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_mixing_against_a_plain_schedule(seed):
+    rng = random.Random(seed)
+    given = {f"s{i}": rng.choice([0, 0.01, 0.5, rng.random(), round(rng.random(), 3)]) for i in range(rng.randint(1, 7))}
+    shares = mixing.exact_parts(given)
+    total = sum(shares.values())
+    exact = {s: Fraction(x, total) for s, x in shares.items()}
+    blocks = {s: rng.randint(0, 60) for s in given}
+    got = list(mixing.pfair(shares, blocks))
+    assert [(t, s) for t, s, *_ in got] == plain_schedule(exact, blocks, got[-1][0] + 1 if got else 0) and len(got) == sum(blocks.values())
+    over = min((math.floor(blocks[s] / w) for s, w in exact.items() if w), default=0)  # until then no source is used up
+    seen = collections.Counter()
+    for t, s, k, release, due in got:
+        assert release <= t < due and k == seen[s]
+        seen[s] += 1
+        if t < over:
+            assert all(abs(seen[x] - (t + 1) * w) < 1 for x, w in exact.items())
+
+
 def test_mixing(docs):
     got = mixing.mix_sources(docs, block_bytes=300).select("doc_id", "source", *mixing.COLUMNS).collect()
     assert sorted(r.doc_id for r in got) == sorted(i for i, _ in source_rows(docs))
@@ -211,12 +248,21 @@ def test_mixing_keeps_the_weights_over_many_periods(spark, weights):
 
 
 def test_mixing_shares_are_not_shifted_to_small_sources():
-    assert mixing.whole_parts({"a": 0.7, "b": 0.2, "c": 0.1}, 1000) == {"a": 700, "b": 200, "c": 100}
     many = {"a": 1 / 3} | {f"s{i}": 2 / 3 / 400 for i in range(400)}
-    slots = [t for t, s, *_ in mixing.pfair(mixing.exact_parts(many, 1604), dict.fromkeys(many, 3000)) if t < 6000 and s == "a"]
-    assert all(abs(k - t / 3) < 1 for k, t in enumerate(slots)) and abs(len(slots) - 2000) < 1
-    none = mixing.exact_parts({"a": 0.5, "b": 0.25, "c": 0.0}, 1000)
-    assert (none["a"], none["b"], none["c"]) == (666, 333, 1)
+    slots = [t for t, s, *_ in mixing.pfair(mixing.exact_parts(many), dict.fromkeys(many, 3000)) if t < 6000 and s == "a"]
+    total = sum(many.values())
+    assert all(abs(k - t / 3 / total) < 1 for k, t in enumerate(slots)) and abs(len(slots) - 2000) < 1
+    assert mixing.exact_parts({"a": 0.5, "b": 0.25, "c": 0.0}) == {"a": 2, "b": 1, "c": 0}
+    assert mixing.exact_parts({"a": 0, "b": 0}) == {"a": 1, "b": 1}
+
+
+def test_mixing_without_weight_and_clashing_names(spark):
+    rows = [(i, "x" * 9, "en", "ab"[i % 2], 9, 100 + i) for i in range(40)]
+    d = spark.createDataFrame(rows, SCHEMA + ", slot long")
+    got = mixing.mix_sources(d, {"b": 1.0}, block_bytes=10).collect()
+    assert max(r.slot for r in got if r.source == "b") < min(r.slot for r in got if r.source == "a")
+    kept = mixing.mixed_order(d, block_bytes=10).collect()
+    assert {(r.doc_id, r.slot) for r in kept} == {(i, 100 + i) for i in range(40)}
 
 
 def test_quality_learns_held_out(spark):
