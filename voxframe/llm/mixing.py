@@ -11,12 +11,12 @@ part in that, and the plan has three numbers per block.
 from __future__ import annotations
 
 import heapq
+import json
 import math
-from array import array
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
+from itertools import count
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,27 +26,20 @@ from .common import parts
 COLUMNS = ("block", "release", "deadline", "slot", "block_offset")
 #: Blocks of a source in one row of the plan, and of all sources that the driver holds before it writes them.
 RUN = 256
-HELD = 1 << 18
+HELD = 1 << 16
+#: Sources that one plan may have; their sizes reach the driver.
+MOST_SOURCES = 1 << 17
+STRUCT = "_mix_source: string, _mix_run: bigint, _mix_releases: array<bigint>, _mix_deadlines: array<bigint>, _mix_slots: array<bigint>"
 PLAN = "_mix_source string, _mix_run long, _mix_releases array<long>, _mix_deadlines array<long>, _mix_slots array<long>"
 
 
-def whole_parts(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Whole numbers that sum to the period, in proportion to the weights, by largest remainder."""
-    total = sum(Fraction(repr(float(w))) for w in weights.values())
-    exact = {s: period * (Fraction(repr(float(w))) / total if total else Fraction(1, len(weights))) for s, w in weights.items()}
-    out = {s: int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def exact_parts(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Whole numbers in exactly the proportion of the weights as decimals; a source of weight 0 gets one part in ``period``, the others share the rest."""
-    given = {s: Fraction(repr(float(w))) for s, w in weights.items() if w > 0}
-    rest = (period - len(weights) + len(given)) / sum(given.values(), Fraction(0)) if given else 0
-    shares = {s: given[s] * rest if s in given else Fraction(1) for s in weights}
-    scale = math.lcm(*(x.denominator for x in shares.values()))
-    whole = {s: int(x * scale) for s, x in shares.items()}
+def exact_parts(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights as decimals; equal ones if all weights are 0."""
+    given = {s: Fraction(repr(float(w))) for s, w in weights.items()}
+    if not any(given.values()):
+        given = dict.fromkeys(weights, Fraction(1))
+    scale = math.lcm(*(x.denominator for x in given.values()))
+    whole = {s: int(x * scale) for s, x in given.items()}
     common = math.gcd(*whole.values())
     return {s: x // common for s, x in whole.items()}
 
@@ -54,24 +47,27 @@ def exact_parts(weights: Mapping[str, float], period: int) -> dict[str, int]:
 def pfair(shares: Mapping[str, int], blocks: Mapping[str, int]) -> Iterator[tuple[int, str, int, int, int]]:
     """(slot, source, block, release, deadline) of all blocks by slot, earliest deadline first among released blocks.
 
-    A source that is used up leaves its slots to no one but blocks that are released by then.
+    A source that is used up leaves its slots to blocks that are released by then, or else to sources without a share,
+    which run at no other time, in the order of their names. Slots that nobody can use stay empty.
     """
     total = sum(shares.values())
     waiting = [(0, s, 0) for s in shares if shares[s] and blocks[s]]
     heapq.heapify(waiting)
+    rest = ((s, k) for s in sorted(shares) if not shares[s] for k in range(blocks[s]))
     ready: list[tuple[int, str, int, int]] = []
-    t = 0
-    while waiting or ready:
-        if not ready:
-            t = max(t, waiting[0][0])
+    for t in count():
         while waiting and waiting[0][0] <= t:
             release, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(k + 1) * total // shares[s]), s, k, release))
-        due, s, k, release = heapq.heappop(ready)
-        yield t, s, k, release, due
-        if k + 1 < blocks[s]:
-            heapq.heappush(waiting, ((k + 1) * total // shares[s], s, k + 1))
-        t += 1
+        if ready:
+            due, s, k, release = heapq.heappop(ready)
+            yield t, s, k, release, due
+            if k + 1 < blocks[s]:
+                heapq.heappush(waiting, ((k + 1) * total // shares[s], s, k + 1))
+        elif (idle := next(rest, None)) is not None:
+            yield t, *idle, 0, t + 1
+        elif not waiting:
+            return
 
 
 def pfair_period(shares: Mapping[str, int]) -> dict[str, list[int]]:
@@ -85,25 +81,25 @@ def pfair_period(shares: Mapping[str, int]) -> dict[str, list[int]]:
 def written_plan(spark: SparkSession, shares: Mapping[str, int], blocks: Mapping[str, int]) -> DataFrame:
     """The schedule of all blocks in the shared folder, in rows of ``RUN`` blocks of a source."""
     total = sum(shares.values())
-    far = [s for s in shares if -(-blocks[s] * total // shares[s]) >= 1 << 63]
+    far = [s for s in shares if shares[s] and -(-blocks[s] * total // shares[s]) >= 1 << 63]
     if far:
         raise ValueError(f"weights so small that slots pass 64 bits: {far[:5]}")
     path = new_path(spark, "mixing-plan")
-    open_: dict[str, tuple[array, array, array]] = {s: (array("q"), array("q"), array("q")) for s in shares}
-    done: list[tuple] = []
+    open_: dict[str, tuple[list, list, list]] = {s: ([], [], []) for s in shares}
+    done: list[dict] = []
+    names = ("_mix_source", "_mix_run", "_mix_releases", "_mix_deadlines", "_mix_slots")
 
-    def write() -> None:
-        columns = [pa.array(x, t) for x, t in zip(zip(*done), (pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 3))]
-        names = ["_mix_source", "_mix_run", "_mix_releases", "_mix_deadlines", "_mix_slots"]
-        spark.createDataFrame(pa.table(columns, names=names)).coalesce(1).write.mode("append").parquet(path)
+    def write() -> None:  # as JSON in the query itself
+        rows = F.from_json(F.lit(json.dumps(done)), f"array<struct<{STRUCT}>>")
+        spark.range(1).select(F.inline(rows)).coalesce(1).write.mode("append").parquet(path)
         done.clear()
 
     for t, s, k, release, due in pfair(shares, blocks):
         for own, x in zip(open_[s], (release, due, t)):
             own.append(x)
         if (k + 1) % RUN == 0 or k + 1 == blocks[s]:
-            done.append((s, k // RUN, *open_[s]))
-            open_[s] = (array("q"), array("q"), array("q"))
+            done.append(dict(zip(names, (s, k // RUN, *open_[s]))))
+            open_[s] = ([], [], [])
             if len(done) * RUN >= HELD:
                 write()
     if done:
@@ -111,13 +107,12 @@ def written_plan(spark: SparkSession, shares: Mapping[str, int], blocks: Mapping
     return spark.read.schema(PLAN).parquet(path)
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, period: int = 1000, block_bytes: int = 1 << 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, block_bytes: int = 1 << 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Give each document its place in a mixture of the sources; every document gets one.
 
-    ``weights``: target weight by source; a source that it leaves out or gives 0 has one slot in
-    ``period``, and the others share the rest. Without it, a source's weight is its size in bytes to the ``power``.
-    ``period`` counts for sources without weight only, and is raised to four per source where there are more sources.
-    The number of sources is taken to be bounded, that of documents is not. The driver plans a few hundred
+    ``weights``: target weight by source; a source that it leaves out or gives 0 runs only in slots that no other can use.
+    Without it, a source's weight is its size in bytes to the ``power``. Of more than ``MOST_SOURCES`` sources, none is planned: ValueError
+    asks for them to be grouped. The number of documents is not bounded. The driver plans a few hundred
     thousand blocks a second, and raises ValueError for weights so small that slots pass 64 bits.
 
     Returns the columns of ``docs`` (those named like a result column are replaced) and ``block`` (of its
@@ -142,12 +137,15 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, pow
         "_mix_hash": F.xxhash64(F.lit(seed), F.col(id_col)),
     }).withColumn("_mix_bucket", F.shiftrightunsigned("_mix_hash", 64 - bits))
     totals = rows.groupBy("_mix_source", "_mix_bucket").agg(F.sum("_mix_size").alias("_mix_total"))
-    sizes = {r[0]: r[1] for r in totals.groupBy("_mix_source").agg(F.sum("_mix_total")).collect()}
+    found = totals.groupBy("_mix_source").agg(F.sum("_mix_total")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
+    sizes = {r[0]: r[1] for r in found}
     if weights is None:
         wanted = {s: float(n) ** power for s, n in sizes.items()}
     else:
         wanted = {s: max(0.0, float(weights.get(s[1:] if s else None, 0))) for s in sizes}
-    shares = exact_parts(wanted, max(period, 4 * len(wanted))) if wanted else {}
+    shares = exact_parts(wanted) if wanted else {}
     plan = written_plan(spark, shares, {s: (n - 1) // block_bytes + 1 for s, n in sizes.items()}) if wanted else spark.createDataFrame([], PLAN)
 
     earlier = Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -172,6 +170,10 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, pow
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """The same documents and columns, sorted into the order of the mixture; written out, their files are in that order."""
-    names = docs.columns
-    return mix_sources(docs, **options).orderBy("slot", "block_offset").select(*names)
+    """The same documents and columns, sorted into the order of the mixture; written out, their files are in that order.
+
+    Columns named like those of a mixture keep their values. Rows with a null id, text or source are in it as others are.
+    """
+    clash = {c: f"_own_{c}" for c in COLUMNS if c in docs.columns}
+    mixed = mix_sources(docs.withColumnsRenamed(clash), **options).orderBy("slot", "block_offset")
+    return mixed.select(*(F.col(clash[c]).alias(c) if c in clash else F.col(c) for c in docs.columns))
