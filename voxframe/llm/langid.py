@@ -20,8 +20,8 @@ DIMS = 1024
 #: Letter classes: 0 between words, 1-26 for a-z, the rest for other letters by their code.
 CLASSES = 64
 GRAMS = CLASSES**3
-#: Characters handled at a time.
-SLICE_CHARS = 1 << 19
+#: Characters and texts handled at a time.
+SLICE_CHARS, SLICE_TEXTS = 1 << 19, 1024
 _tables: dict = {}
 
 
@@ -53,7 +53,7 @@ def trigrams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np
     table, i = _classes(), 0
     while i < len(texts):
         j, size, some = i, 0, []
-        while j < len(texts) and (j == i or size + len(texts[j] or "") < SLICE_CHARS):
+        while j < len(texts) and j - i < SLICE_TEXTS and (j == i or size + len(texts[j] or "") < SLICE_CHARS):
             some.append((texts[j] or "").lower())
             size += len(some[-1])
             j += 1

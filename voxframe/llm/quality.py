@@ -21,7 +21,6 @@ from .common import SLICE_BYTES, held_out, slices, text_buffers, word_spans, wor
 #: Byte groups whose shares are statistics.
 GROUPS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t", ".", ",", "!", "?", "|", "#", "$", "%", "&", "*", "\"'", "-_", "()[]{}<>", ":;/\\@=+~^`"]
 N_STATS = len(GROUPS) + 1 + 12
-FIT_ROWS = 1 << 16
 
 
 def _group_table() -> np.ndarray:
@@ -70,12 +69,16 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.hstack([np.sqrt(counts / full), np.array(rest).T.reshape(n, len(rest))])
 
 
+def batch_statistics(column) -> np.ndarray:
+    data, at = text_buffers(column)
+    out = [statistics(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in slices(at, SLICE_BYTES)]
+    return np.vstack(out).astype(np.float32) if out else np.zeros((0, N_STATS), np.float32)
+
+
 def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Statistics of the texts; other columns go along."""
     for batch in batches:
-        data, at = text_buffers(batch.column("text"))
-        out = [statistics(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in slices(at, SLICE_BYTES)]
-        flat = np.vstack(out).astype(np.float32) if out else np.zeros((0, N_STATS), np.float32)
+        flat = batch_statistics(batch.column("text"))
         stats = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * N_STATS), pa.array(flat.ravel()))
         kept = [n for n in batch.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), stats], names=[*kept, "stats"])
@@ -166,39 +169,41 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col:
 
     Null and empty texts are scored by their own mark and zeros. Labels other than 0 and 1, null labels and labels without a
     document are left out; a repeated label counts each time. With no usable label every score is
-    0.5, with labels of one kind that label's share. An empty table gives an empty result.
+    0.5, with labels of one kind that label's share. An empty table gives an empty result. Other columns are not looked at. A text's
+    arrays take about 40 times its bytes while it is read; texts are read in runs of 256 KiB, or one by one where they are longer.
     """
-    out = _scored(docs, labels, id_col, text_col, False, **options)
-    return out.select(F.col("doc_id").alias(id_col), held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    stats = stored(rows.mapInArrow(features_of, "doc_id long, stats array<float>"), "quality-stats")
+    model = _model(stats, labels, **options)
 
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_matrix(batch.column("stats"))))], names=["doc_id", "score"])
 
-def text_digest(text):
-    """Equal for equal texts; null counts as empty, as it does for the scores."""
-    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+    out = stats.mapInArrow(scored, "doc_id long, score double")
+    return out.select(F.col("doc_id").alias(id_col), held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
-def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, digests: bool, **options) -> DataFrame:
-    """(doc_id, score) of every row of ``docs``, and the ``digest`` of its text if asked for."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([text_digest(F.col(text_col)).alias("digest")] if digests else []))
-    names = ["doc_id", "digest"] if digests else ["doc_id"]
-    schema = "doc_id long, digest string, " if digests else "doc_id long, "
-    stats = stored(rows.mapInArrow(features_of, schema + "stats array<float>"), "quality-stats")
+def _model(stats: DataFrame, labels: DataFrame, **options) -> Model:
+    """Fitted on the labelled rows of (doc_id, stats) that are not held out."""
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("label"))
-    model = fit(stats.join(known, "doc_id").select("stats", "label"), **options)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(model.score(_matrix(batch.column("stats"))))], names=[*names, "score"])
-
-    return stats.mapInArrow(scored, schema + "score double")
+    return fit(stored(stats.join(known, "doc_id").select("stats", "label"), "quality-examples"), **options)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with all their columns.
 
-    Each row is judged by its own text, whether or not others have its id.
+    Each row is judged by its own text as it is read again, whether or not others have its id; null ids and texts are judged as others. An
+    empty table stays empty.
     """
-    scores = _scored(docs, labels, id_col, text_col, True)
-    verdicts = scores.groupBy(F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad_digest")).agg(F.max("score").alias("_best"))
-    bad = verdicts.where(F.col("_best") < cut)
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")) & (text_digest(F.col(text_col)) == F.col("_bad_digest")), "left_anti")
+    names = docs.columns
+    rows = docs.withColumn("_quality_text", F.col(text_col).cast("string"))
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    model = _model(ids.mapInArrow(features_of, "doc_id long, stats array<float>"), labels, **options)
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = model.score(batch_statistics(batch.column("_quality_text")).astype(float)) >= cut
+            yield batch.select(names).filter(pa.array(keep))
+
+    return rows.mapInArrow(good, docs.schema)
