@@ -14,27 +14,30 @@ from voxframe.llm.queries import table, tokenizer_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject, judged by their own texts; null and empty texts count as empty, null ids stay or go by their texts."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
+    """Of texts that are equal but for the case of A-Z, the document with the largest id; null and empty texts are equal. Of rows that repeat id and text one stays."""
     return exact_dedup.keep_last_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (shingles of five words, similarity 0.8 or more), the document with the smallest id."""
+    """Of each group of near copies (shingles of five words, similarity 0.8 or more), the document with the smallest id.
+
+    Rows without words link with nothing and stay, as do rows with a null id; rows that repeat an id share its fate.
+    """
     return jaccard.keep_first_of_groups(docs, words=5, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which the sources are to be read."""
+    """All documents with all their columns, in the order in which the sources are to be read; a null source is a source of its own."""
     return mixing.mixed_order(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training sequences, in the order of the mixture."""
+    """The pieces of training sequences, in the order of the mixture; null and empty texts are the closing token alone."""
     return packing.pack(docs, tokenizer_path())
 
 
