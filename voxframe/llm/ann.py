@@ -164,7 +164,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 6, r
     are not looked at. A table without vectors that take part gives an empty result.
 
     Every row is indexed. The windows are fitted on ``sample`` queries at most: their width is that at which the orders
-    hold the share ``recall`` of those queries' true neighbours. Vectors without structure so get windows over much of the
+    hold the share ``recall`` of those queries' true neighbours, and as many of the ``curves``, two at least, are used as need the least work for that. Vectors without structure so get windows over much of the
     table, in blocks; the result stays right and only the work grows.
     """
     spark = vectors.sparkSession
@@ -194,15 +194,21 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 6, r
     true = entries.select("entry", "vec").mapInArrow(nearest(points, own, dims, k), "query long, entry long, d double")
     true = true.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("d", "entry"))).where(F.col("_n") <= k).select("query", "entry")
     apart = true.join(order, "entry").join(order.select(F.col("entry").alias("query"), "curve", F.col("rank").alias("own_rank")), ["query", "curve"])
-    needed = apart.groupBy("query", "entry").agg(F.min(F.abs(F.col("rank") - F.col("own_rank"))).alias("need")).agg(F.percentile("need", F.lit(recall))).first()[0]
-    window = max(k, int(needed or 0) + 1)
+    # how many of the curves are worth their work: the first ones, with the windows that these need
+    need = apart.withColumn("need", F.min(F.abs(F.col("rank") - F.col("own_rank"))).over(Window.partitionBy("query", "entry").orderBy("curve")))
+    needed = {r.curve: int(r.need or 0) + 1 for r in need.groupBy("curve").agg(F.percentile("need", F.lit(recall)).alias("need")).collect()}
+    used = min((c for c in needed if c), key=lambda c: ((c + 1) * min(2 * needed[c], count), c), default=curves - 1)
+    window = max(k, needed.get(used, count))
+    order = order.where(F.col("curve") <= used)
 
     block = F.expr(f"rank div {BLOCK}")
-    tiles = max(1, asked.count() // QUERIES)
-    blocks = entries.join(order, "entry").select("curve", block.alias("block"), "vec", "ids").withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     reach = F.sequence(F.expr(f"greatest(rank - {window}, 0) div {BLOCK}"), F.expr(f"least(rank + {window}, {count - 1}) div {BLOCK}"))
-    tile = F.pmod(F.xxhash64("query_id"), F.lit(tiles)).cast("int")
+    # queries that lie together on a curve share a tile, so a block goes to the few tiles that want it
+    tiles = max(1, asked.count() // QUERIES)
+    tile = F.least(F.floor(F.col("rank") * tiles / count), F.lit(tiles - 1)).cast("int")
     queries = asked.join(order, "entry").select("query_id", "vec", F.col("curve").alias("q_curve"), F.explode(reach).alias("q_block"), tile.alias("q_tile"))
+    wanted = asked.join(order, "entry").select("curve", F.explode(reach).alias("block"), tile.alias("tile")).distinct()
+    blocks = entries.join(order, "entry").select("curve", block.alias("block"), "vec", "ids").join(wanted, ["curve", "block"])
     found = blocks.groupBy("curve", "block", "tile").cogroup(queries.groupBy("q_curve", "q_block", "q_tile")).applyInArrow(compare_blocks(dims, k), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
