@@ -12,13 +12,13 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SAMPLE = [
     "cell_basic", "cell_surface", "cell_pca_axes", "cell_intensity", "contact_features", "contact_continuity", "knn_features", "local_neighbour_stats", "region_task", "summary_stats", "valid_patches_p999", "patch_store", "training_patches",
     "percentile_normalize", "voxel_argmax", "class_topk", "mask_costs", "merge_groups", "conflict_components", "match_instances", "slice_components", "split_disconnected", "clicked_component", "clean_instances", "finalized_labels", "resize_linear",
-    "surface_faces", "mesh_store", "apply_edit_log", "active_edits", "rasterize_polygons", "crop_centered", "select_clicked_query", "grown_boxes", "strided_voxels", "anomaly_from_scores", "lof_scores", "lof_on_features", "edit_rate", "edit_sessions",
+    "surface_faces", "mesh_store", "apply_edit_log", "active_edits", "rasterize_polygons", "smooth_polygons", "crop_centered", "select_clicked_query", "grown_boxes", "strided_voxels", "anomaly_from_scores", "lof_scores", "lof_on_features", "edit_rate", "edit_sessions",
     "online_confidence", "online_label_sizes", "npy_slices", "volume_store", "chunked_store", "run_parameters", "feature_map_store", "appended_log",
 ]
 #: Queries that SQL cannot say, with the columns that they must have.
 ROWS_ONLY = {
     "anomaly_scores": {"anomaly_score", "is_anomaly"}, "cluster_cells": {"cluster_id"}, "cluster_single_feature": {"cluster_id"}, "isolation_forest_scores": {"isolation_forest_score"}, "postprocess_patch": {"label", "confidence"},
-    "stitch_patches": {"label", "confidence"}, "smooth_polygons": {"roi_id"}, "flip_rot90": {"label"}, "sample_patches": {"patch_id"}, "principal_directions": {"orientation_z"}, "augmented_patches": {"norm"}, "morphometry_summary": {"metric", "value"},
+    "stitch_patches": {"label", "confidence"}, "flip_rot90": {"label"}, "sample_patches": {"patch_id"}, "principal_directions": {"orientation_z"}, "augmented_patches": {"norm"}, "morphometry_summary": {"metric", "value"},
 }
 
 

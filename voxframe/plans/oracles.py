@@ -432,6 +432,10 @@ SQL |= {
         "SELECT *, score>=0.05 AND click_prob>=0.10 AND area>=20 AS valid FROM (SELECT click_id, patch_id, query_id, max(prob) AS click_prob FROM query_vox JOIN "
         + CLICKS + " c ON abs(z-cz)<=1 AND abs(y-cy)<=3 AND abs(x-cx)<=3 GROUP BY ALL) JOIN quality USING (patch_id, query_id)))) WHERE n=1"
     ),
+    "smooth_polygons": (
+        f"SELECT b.vol_id, b.roi_id, b.ord*16+k AS ord, b.z, {r('0.5*(2*b.y+(c.y-a.y)*t+(2*a.y-5*b.y+4*c.y-d.y)*t*t+(3*b.y-a.y-3*c.y+d.y)*t*t*t)', 'y')}, {r('0.5*(2*b.x+(c.x-a.x)*t+(2*a.x-5*b.x+4*c.x-d.x)*t*t+(3*b.x-a.x-3*c.x+d.x)*t*t*t)', 'x')} FROM roi_vertices b JOIN roi_vertices a ON a.roi_id=b.roi_id AND a.ord=(b.ord+3)%4 JOIN roi_vertices c ON c.roi_id=b.roi_id AND c.ord=(b.ord+1)%4"
+        " JOIN roi_vertices d ON d.roi_id=b.roi_id AND d.ord=(b.ord+2)%4, (SELECT k, k/16.0::DOUBLE AS t FROM (SELECT unnest(range(0,16)) AS k))"
+    ),
     "grown_boxes": "SELECT vol_id, label, " + ", ".join(f"least(greatest(floor(({a}0+{a}1+1-g{a})/2.0), 0), n{a}-g{a})::BIGINT AS lo_{a}, least(greatest(floor(({a}0+{a}1+1-g{a})/2.0), 0), n{a}-g{a})::BIGINT+g{a} AS hi_{a}" for a in "zyx") + " FROM (SELECT *, " + ", ".join(f"least(greatest(({a}1+1-{a}0)*2, 5), n{a})::BIGINT AS g{a}" for a in "zyx") + " FROM basic)",
     "united_boxes": "SELECT vol_id, label%7 AS \"group\", " + ", ".join(f"greatest(min({a}0)-2, 0) AS lo_{a}, least(max({a}1)+1+2, any_value(n{a})) AS hi_{a}" for a in "zyx") + " FROM basic GROUP BY ALL",
     "bright_display": (
