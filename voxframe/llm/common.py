@@ -48,6 +48,8 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
 def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """An Arrow binary column whose i-th value is data[offsets[i]:offsets[i + 1]]."""
     n = len(offsets) - 1
+    if n and offsets[-1] >= 1 << 31:
+        raise ValueError("a chunk keeps more than 2 GB, which 32-bit offsets cannot tell")
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 

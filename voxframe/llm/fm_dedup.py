@@ -1,7 +1,7 @@
 """Substring deduplication of words with an FM-index per shard.
 
 A shard indexes its segments: sorted to the depth of a window, their Burrows-Wheeler transform lies in a wavelet
-matrix of packed bits. Backward search streams all segments, from their ends, through it; when a match is longer than
+matrix of packed bits, with a count of 32 bits for each 64 of them; all places are numbers of 32 bits, and what the sorting needed is let go. Backward search streams all segments, from their ends, through it; when a match is longer than
 a window it gives up its last word. Where the matching statistic reaches the window's length, the interval in the index
 holds all places of that window, and the smallest document id among them is reported.
 """
@@ -26,17 +26,19 @@ class WaveletMatrix:
         for level in range(bits - 1, -1, -1):
             bit = (codes >> level & 1).astype(np.uint8)
             words = np.packbits(np.concatenate([bit, np.zeros(-len(bit) % 64 + 64, np.uint8)]), bitorder="little").view(np.uint64)
-            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))])
+            ones = np.zeros(len(words) + 1, np.uint32)
+            np.cumsum(np.bitwise_count(words), out=ones[1:], dtype=np.uint32)
             self.rows.append((words, ones, level))
             self.zeros.append(len(bit) - int(bit.sum()))
             codes = np.concatenate([codes[bit == 0], codes[bit == 1]])
+            del bit
         self.begin = np.zeros(0, np.int64)
 
     def descend(self, code: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Where the codes before ``place`` that equal ``code`` end in the last row."""
         for (words, ones, level), zeros in zip(self.rows, self.zeros):
             word = place >> 6
-            before = ones[word] + np.bitwise_count(words[word] & ((_ONE << (place.astype(np.uint64) & _LOW6)) - _ONE))
+            before = ones[word].astype(np.int64) + np.bitwise_count(words[word] & ((_ONE << (place.astype(np.uint64) & _LOW6)) - _ONE))
             place = np.where(code >> level & 1, zeros + before, place - before)
         return place
 
@@ -49,7 +51,7 @@ class WaveletMatrix:
 
 
 def _ranked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1].astype(np.int64)
+    return np.unique(a.astype(np.int64) * (int(b.max()) + 1) + b, return_inverse=True)[1].astype(np.int32)
 
 
 def _later(rank: np.ndarray, by: int) -> np.ndarray:
@@ -58,32 +60,36 @@ def _later(rank: np.ndarray, by: int) -> np.ndarray:
 
 def _bounds(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each place: where its class begins and ends, and the class's number."""
-    at = np.flatnonzero(first)
+    at = np.flatnonzero(first).astype(np.int32)
     size = np.diff(np.concatenate([at, [len(first)]]))
-    return np.repeat(at, size), np.repeat(at + size, size), np.repeat(np.arange(len(at)), size)
+    return np.repeat(at, size), np.repeat((at + size).astype(np.int32), size), np.repeat(np.arange(len(at), dtype=np.int32), size)
 
 
 def fm_windows(units: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     """The smallest id of each window's equals, by backward search of every segment in an FM-index of all of them."""
-    code = np.unique(units, return_inverse=True)[1].astype(np.int64) + 1
-    segment = np.repeat(np.arange(len(sizes)), sizes)
+    if len(units) + len(sizes) >= 1 << 31:
+        raise ValueError("a shard's text is longer than 32-bit places can tell")
+    code = (np.unique(units, return_inverse=True)[1] + 1).astype(np.int32)
     begin = np.cumsum(sizes + 1) - sizes - 1
-    text = np.zeros(len(code) + len(sizes), np.int64)  # 0 ends each segment
-    text[np.arange(len(code)) + segment] = code
-    owner = np.repeat(ids, sizes + 1)
+    text = np.zeros(len(code) + len(sizes), np.int32)  # 0 ends each segment
+    text[np.arange(len(code)) + np.repeat(np.arange(len(sizes)), sizes)] = code
+    del code
     # sort to the depth of a window by doubling
     rank, depth = text, 1
     while depth * 2 < length:
         rank, depth = _ranked(rank, _later(rank, depth)), depth * 2
     shorter = _ranked(rank, _later(rank, length - 1 - depth)) if length - 1 > depth else rank
     full = _ranked(rank, _later(rank, length - depth))
-    order = np.argsort(full, kind="stable")
+    order = np.argsort(full, kind="stable").astype(np.int32)
     step = lambda r: np.concatenate([[True], r[order][1:] != r[order][:-1]])
     _, _, number = _bounds(step(full))
     low, high, _ = _bounds(step(shorter))
-    least = np.minimum.reduceat(owner[order], np.flatnonzero(step(full)))
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+    least = np.minimum.reduceat(ids[owner[order]], np.flatnonzero(step(full)))
+    del rank, shorter, full, owner
     bits = max(1, int(text.max()).bit_length())
     index = WaveletMatrix(text[order - 1], bits)
+    del order
     before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1 << bits))])
 
     windows = sizes - length + 1

@@ -14,6 +14,9 @@ their ids, and the work goes in five steps:
 An anchor may have different segments without bound, as at the ends of a passage that very many documents quote. Where many
 chunks have many such segments, the anchor's windows are sent one by one, to the shard of their own content, so that they meet no
 more than their equals, of which each chunk tells one.
+
+Segments are told apart inside a shard by 64-bit hashes of their contents. With a trillion different segments in 100,000 shards, 0.3 pairs
+of unlike segments are expected to share one; no smaller table has a pair to be expected.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import BYTE_VALUES, Spans, parts, slices, text_buffers, word_hashes, word_spans
 
 LAST = np.iinfo(np.int64).max
+#: Bytes of text in a chunk at most, by estimate; a task's arrays take about ten times as much.
+CHUNK_BYTES = 1 << 25
 #: Different segments of one anchor in one chunk from which on it counts as frequent there.
 OFTEN = 16
 _LOW = np.uint64(0xFFFFFFFF)
@@ -362,10 +367,18 @@ def covered(unit: Unit, docs: pa.Table, found: pa.Table) -> Iterator[tuple]:
         yield i, j, part, own, offsets, words, np.cumsum(mark[:-1]) > 0
 
 
+def estimated_bytes(docs: DataFrame, text_col: str, rows: int = 10_000) -> int:
+    """Bytes of all texts, from the number of rows and the mean of the first ones; only the number of chunks depends on it, never a result."""
+    mean = docs.select(F.octet_length(text_col).alias("n")).limit(rows).agg(F.avg(F.coalesce("n", F.lit(0)))).first()[0] or 0
+    return int(mean * docs.count())
+
+
 def remove_repeats(docs: DataFrame, unit: Unit, compare: Compare, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str, id_col: str, text_col: str, often: int = OFTEN) -> DataFrame:
     spark = docs.sparkSession
     # rows of the two exchanges are blobs of one sender for one receiver, so their number is the product of these
-    chunks, buckets, shards = parts(spark, 2), parts(spark, 1), parts(spark, 2)
+    chunks = max(parts(spark, 2), -(-estimated_bytes(docs, text_col) // CHUNK_BYTES))
+    buckets = shards = max(parts(spark, 1), chunks // 2)
+    shards *= 2
     rows = docs.select(F.pmod(F.xxhash64(id_col), F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     anchors = rows.groupBy("chunk").applyInArrow(send_anchors(unit, buckets, often), _ddl(_ANCHORS))
     shared = anchors.groupBy("bucket").applyInArrow(answer_anchors(max(4, chunks // 4)), _ddl(_SHARED))
