@@ -257,9 +257,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     signed = work.keep(rows.mapInArrow(signatures(words, percent), "id long, size long, digest binary, bits binary, tiles array<long>"), "signed")
     own = signed.where("size > 0 and id is not null")
     firsts = work.keep(own.groupBy("digest").agg(F.min("id").alias("first")), "firsts")
-    # one row of equal sets stands for all: the others are left out where they are, so that the wide rows need not be shuffled if they are few
+    # one row of equal sets stands for all; the wide rows are shuffled once for that, the same at every size
     copies = work.keep(own.select("digest", "id").join(firsts.select("digest", F.col("first").alias("id")), ["digest", "id"], "left_anti").distinct(), "copies")
-    nodes = own.join(copies, ["digest", "id"], "left_anti")
+    nodes = own.join(copies.hint("shuffle_hash"), ["digest", "id"], "left_anti")
 
     # most tiles have one member and end here; the rows are shuffled once
     tile = Window.partitionBy("tile")
@@ -270,7 +270,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     few = met.where(F.col("members") <= small).groupBy("tile").agg(F.collect_set(F.struct("id", "size")).alias("all"))
     fits = lambda x, y: (y["id"] > x["id"]) & (100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"]))
     pairs = few.select(F.explode("all").alias("x"), "all").select(F.col("x.id").alias("a"), F.explode(F.filter("all", lambda y: fits(F.col("x"), y))).alias("y"))
-    a, b = (nodes.select(F.col("id").alias(c), F.col("size").alias(f"{c}_size"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
+    a, b = (own.select(F.col("id").alias(c), F.col("size").alias(f"{c}_size"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
     pairs = pairs.select("a", F.col("y.id").alias("b")).distinct().join(a, "a").join(b, "b")
     maybe = work.keep(pairs.mapInArrow(possible(percent), "a long, b long"), "maybe")
 
@@ -328,4 +328,5 @@ def keep_first_of_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_
     """
     groups = jaccard_components(docs, words, percent, id_col, text_col)
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    # as above: the texts are many whatever the size of the ids
+    return docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
