@@ -20,6 +20,9 @@ FIXED = {
     "op8_ann": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
     "op9_ngram_jaccard": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
     "op10_mixing": {"doc_id": "bigint", "source": "string", "block": "bigint", "slot": "bigint"},
+    "op11_whitening": {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"},
+    "op12_near_vectors": {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op13_alignment": {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "n_best": "bigint", "count_sum": "bigint", "groups_sha256": "string"},
 }
 
 
@@ -43,7 +46,7 @@ def test_columns_and_types(results):
 
 
 def test_one_row_per_document(results, texts):
-    for name in ("op1_quality_classifier", "op2_substring_dedup", "op3_language_id", "op5_suffix_dedup", "op7_exact_dedup", "op9_ngram_jaccard", "op10_mixing"):
+    for name in ("op1_quality_classifier", "op2_substring_dedup", "op3_language_id", "op5_suffix_dedup", "op7_exact_dedup", "op9_ngram_jaccard", "op10_mixing", "op13_alignment"):
         assert sorted(r.doc_id for r in results[name][1]) == sorted(texts), name
     assert {r.doc_id for r in results["op6_packing"][1]} == set(texts)
 
