@@ -464,8 +464,44 @@ SQL |= {
         f" SELECT 'v0' AS vol_id, z, y, x, {r('confidence', 'confidence')}, coalesce(label, 0) AS label FROM (SELECT tz AS z, ty AS y, tx AS x, sum(confidence*wz*wy*wx) AS confidence FROM painted SEMI JOIN final USING (z,y,x) JOIN {_linear('z', 'nz', 'nz')} USING (z) JOIN {_linear('y', 'ny', '(ny//2)')} USING (y) JOIN {_linear('x', 'nx', '(nx//2)')} USING (x) WHERE wz>0 AND wy>0 AND wx>0 GROUP BY ALL) LEFT JOIN small USING (z,y,x)"
     ),
 }
+SQL["isolation_forest_points"] = f"WITH RECURSIVE SELECT vol_id, label, {r('least(greatest((raw-p[1])/(p[2]-p[1]+1e-12),0),1)', 'isolation_forest_score')} FROM forest JOIN (SELECT vol_id, quantile_cont(raw,[0.01,0.99]) AS p FROM forest GROUP BY vol_id) USING (vol_id)"
 SQL["intensity_task"] = f"SELECT * FROM ({SQL['cell_basic']}) JOIN ({SQL['cell_intensity']}) USING (vol_id, label)"
 
+def _matrix(features: dict[str, str], source: str) -> str:
+    """Common table expressions up to ``f``: features by (value - median) / (width of the middle half) of their volume."""
+    return (
+        "raw_f AS (SELECT vol_id, label, " + ", ".join(f"({e})::DOUBLE AS {x}" for x, e in features.items()) + f" FROM {source}),"
+        " q AS (SELECT vol_id, " + ", ".join(f"quantile_cont({x},[0.25,0.5,0.75]) AS q{x}" for x in features) + " FROM raw_f GROUP BY vol_id), f AS (SELECT vol_id, label, "
+        + ", ".join(f"(coalesce({x},q{x}[2])-q{x}[2])/(CASE WHEN q{x}[3]=q{x}[1] THEN 1 ELSE q{x}[3]-q{x}[1] END) AS {x}" for x in features) + " FROM raw_f JOIN q USING (vol_id))"
+    )
+
+
+def _draw(*values: str) -> str:
+    """A hashed draw of whole numbers."""
+    h = "0::BIGINT"
+    for v in values:
+        h = f"((xor({h}, ({v})::BIGINT % 2147483647)*48271) % 2147483647)"
+        h = f"(list_transform([{h}], lambda h: (xor(h, h>>13)*69621) % 2147483647)[1])"
+    return h
+
+
+def _forest(columns: list[str], trees: int = 200, sample: int = 256) -> str:
+    """Common table expressions up to ``forest`` (vol_id, label, raw): the whole forest over ``f``, by recursion; all cells walk, those drawn into a tree count."""
+    listed = ", ".join(f"round({c}, 9)" for c in columns)
+    ends = lambda g: "[" + ", ".join(f"{g}(x[{k + 1}]) FILTER (drawn) OVER w" for k in range(len(columns))) + "]"
+    return (
+        f"walkers AS (SELECT vol_id, label, tree, [{listed}] AS x, row_number() OVER (PARTITION BY vol_id, tree ORDER BY {_draw('tree', 'label')}, label) <= {sample} AS drawn FROM f, (SELECT unnest(range({trees})) AS tree)),"
+        " deep AS (SELECT vol_id, ceil(log2(greatest(2, least(count(*), " + str(sample) + "))))::INT AS most, least(count(*), " + str(sample) + ") AS seen FROM f GROUP BY vol_id),"
+        " walk AS (SELECT vol_id, label, tree, x, drawn, 1::BIGINT AS node, 0 AS depth FROM walkers UNION ALL SELECT vol_id, label, tree, x, drawn, 2*node+(CASE WHEN x[c]<(CASE WHEN cut>lo[c] THEN cut ELSE hi[c] END) THEN 0 ELSE 1 END), depth+1 FROM ("
+        f"SELECT *, lo[c]+({_draw('tree', 'node', '2')}/2147483647.0::DOUBLE)*(hi[c]-lo[c]) AS cut FROM (SELECT *, wide[1+{_draw('tree', 'node', '1')}*len(wide)//2147483647] AS c FROM ("
+        f"SELECT *, list_filter(range(1, {len(columns) + 1}), lambda k: hi[k]>lo[k]) AS wide FROM (SELECT *, {ends('min')} AS lo, {ends('max')} AS hi, count(*) FILTER (drawn) OVER w AS n FROM walk WINDOW w AS (PARTITION BY vol_id, tree, node)) JOIN deep USING (vol_id)"
+        " WHERE n>1 AND depth<most) WHERE len(wide)>0))),"
+        " leaves AS (SELECT *, count(*) FILTER (drawn) OVER (PARTITION BY vol_id, tree, node) AS n FROM (SELECT *, row_number() OVER (PARTITION BY vol_id, tree, label ORDER BY depth DESC) AS last FROM walk) WHERE last=1),"
+        " path AS (SELECT *, CASE WHEN n<=1 THEN 0 WHEN n=2 THEN 1 ELSE 2*(ln(n-1)+0.5772156649015329)-2*(n-1)/n::DOUBLE END AS more FROM leaves),"
+        " forest AS (SELECT vol_id, label, pow(2, -avg(depth+more)/(2*(ln(any_value(seen)-1)+0.5772156649015329)-2*(any_value(seen)-1)/any_value(seen)::DOUBLE)) AS raw FROM path JOIN deep USING (vol_id) GROUP BY vol_id, label)"
+    )
+
+
 #: More expressions that single queries need.
 SHAPES = f"shapes AS (SELECT e.vol_id, e.label, s.area, 2*sqrt(5*greatest(l1,0)) AS j, 2*sqrt(5*greatest(l2,0)) AS i, 2*sqrt(5*greatest(l3,0)) AS k FROM ({EIGEN}) e JOIN surface s USING (vol_id, label))"
 MORE = {
@@ -484,6 +520,7 @@ MORE = {
         " far AS (SELECT label, max(dist) AS kd FROM close WHERE rk<=20 GROUP BY label), lrd AS (SELECT e.label, 1/(avg(greatest(e.dist, w.kd))+1e-10) AS lrd FROM close e JOIN far w ON w.label=e.other WHERE e.rk<=20 GROUP BY e.label)"
     ),
     "finalized_labels": "painted AS (SELECT z, y, x, min(query_id) AS label, max(prob) AS confidence FROM query_vox JOIN volumes ON z<nz AND y<ny AND x<nx WHERE prob>0.5 GROUP BY z, y, x)",
+    "isolation_forest_points": _matrix({"a": "cz", "b": "cy", "c": "cx"}, "points") + ", " + _forest(list("abc")),
     "lof_scores": (
         "far AS (SELECT vol_id, label, max(d) AS kd FROM near_points WHERE rk<=20 GROUP BY ALL), lrd AS (SELECT e.vol_id, e.label, 1/(avg(greatest(e.d, f.kd))+1e-10) AS lrd FROM near_points e JOIN far f ON f.vol_id=e.vol_id AND f.label=e.other WHERE e.rk<=20 GROUP BY e.vol_id, e.label)"
     ),
@@ -495,7 +532,9 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for name, sql in SQL.items():
         head = FIXTURES + (f", {MORE[name]}" if name in MORE else "")
-        if sql.startswith("WITH RECURSIVE "):
+        if sql.startswith("WITH RECURSIVE SELECT "):
+            out[name] = f"WITH RECURSIVE {head} {sql.removeprefix('WITH RECURSIVE ')}"
+        elif sql.startswith("WITH RECURSIVE "):
             out[name] = f"WITH RECURSIVE {head}, {sql.removeprefix('WITH RECURSIVE ')}"
         else:
             out[name] = f"WITH {head} {sql}"

@@ -229,6 +229,11 @@ def isolation_forest_scores(vox, vol):
     return learn.isolation_forest_score(cells, learn.choose_feature_columns(cells))
 
 
+@query
+def isolation_forest_points(points):
+    return learn.isolation_forest_score(points, spatial.UM)
+
+
 @query
 def anomaly_scores(vox, vol):
     return tasks.anomaly(vox, vol).select("vol_id", "label", "anomaly_score", "is_anomaly", "anomaly_reason")
