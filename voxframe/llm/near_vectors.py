@@ -23,7 +23,7 @@ from ..functions.scratch import Tables
 from ..operators.components import graph_components
 
 #: Vectors of a shard at most, and shards that a larger one is cut into at most.
-SHARD, FAN = 2048, 32
+SHARD, FAN = 512, 32
 #: A vector goes to the second nearest centre too if that is farther by this angle at most.
 OVERLAP = 0.3
 #: Neighbours of a list: near ones after pruning, far ones by chance; candidates before pruning; how much nearer pruning asks for.
