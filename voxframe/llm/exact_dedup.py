@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.scratch import new_path, stored, write_table
 from .common import ascii_lower
 
-#: Digests that came more than once (about 400 bytes each in a hash table) up to which they are broadcast; beyond, texts meet in a shuffle.
-BROADCAST_DIGESTS = 1 << 17
+#: Bits of the filter that holds the digests that came more than once (8 MB, whatever their number), and of each of its rows.
+FILTER_BITS, ROW_BITS = 1 << 26, 1 << 15
 #: Settings of the keyed state while the stream runs.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -48,7 +48,17 @@ def keyed_state(spark, path: str, schema, files_per_batch: int = 1000) -> DataFr
     return held.select(F.col("key.digest").alias("digest"), keep_id.alias("keep_id"), group_size.alias("group_size"), locator.alias("locator"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=lambda text: F.sha2(text, 256), broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
+def maybe_in(rows: DataFrame, keys: DataFrame, name: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose ``name`` is in ``keys``, and by chance some others: a bitmap of hashed keys is sent to all tasks, of the same size for any number of keys."""
+    bit = F.pmod(F.xxhash64(name), F.lit(bits))
+    place = lambda c: c.select("*", F.expr(f"_bit div {ROW_BITS}").alias("_row"), F.expr(f"cast(_bit % {ROW_BITS} as int)").alias("_at"))
+    marks = place(keys.select(bit.alias("_bit"))).groupBy("_row").agg(F.bitmap_construct_agg("_at").alias("_map"))
+    found = place(rows.withColumn("_bit", bit)).join(F.broadcast(marks), "_row")
+    byte = F.conv(F.hex(F.expr("substring(_map, _at div 8 + 1, 1)")), 16, 10).cast("int")
+    return found.where(F.getbit(byte, F.col("_at") % 8) == 1).select(*rows.columns)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=lambda text: F.sha2(text, 256), filter_bits: int = FILTER_BITS) -> DataFrame:
     """Which rows of ``docs`` have the same text, and which of them stays.
 
     Texts are equal when identical after lower-casing A-Z only; null counts as empty. Of equal texts
@@ -63,7 +73,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Digests meet in one group of the state each; the map side aggregates first, so that a text which
     a third of all rows share sends one row per task, and so do the full bytes of hits. Only texts of digests that came
-    more than once are compared: where those digests are few enough to be broadcast, no other text is shuffled.
+    more than once need be compared: a bitmap of fixed size (``filter_bits``) tells most others before the shuffle and none of them, and a text that it lets through by chance costs work, not
+    rightness. The plan is the same at every size.
     ``digest`` may be any function of the text: equal digests of different texts are found by their bytes and parted.
     """
     spark = docs.sparkSession
@@ -76,12 +87,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = stored(keyed_state(spark, path, slim.schema), "exact-index")
 
     # Hits: every row of a digest that came more than once, by its full bytes.
-    known = index.where("group_size > 1").select("digest")
-    whole = lambda df: df.groupBy("digest", "body").agg(F.max("id").alias("own_keep"), F.count(F.lit(1)).alias("own_size"))
     texts = rows.select("id", "digest", "body")
-    few = known.count() <= broadcast_digests
-    bodies = whole(texts.join(F.broadcast(known), "digest", "left_semi")) if few else whole(texts).join(known, "digest", "left_semi")
-    bodies = stored(bodies, "exact-bodies")
+    bodies = maybe_in(texts, index.where("group_size > 1").select("digest"), "digest", filter_bits)
+    bodies = stored(bodies.groupBy("digest", "body").agg(F.max("id").alias("own_keep"), F.count(F.lit(1)).alias("own_size")), "exact-bodies")
     clashes = bodies.groupBy("digest").count().where("count > 1").select("digest")
 
     found = slim.select("id", "digest").join(index, "digest")
@@ -100,11 +108,12 @@ def keep_last_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     where those are equal too, any one.
     """
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("id"), "digest").distinct()
-    keys = {"_kept_null": F.col("id").isNull(), "_kept_id": F.coalesce("id", F.lit(0).cast("long")), "_kept_digest": F.col("digest")}
-    kept = kept.select(*(c.alias(n) for n, c in keys.items()))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = F.col(id_col).cast("long")
-    rows = docs.withColumns({"_kept_null": own.isNull(), "_kept_id": F.coalesce(own, F.lit(0).cast("long")), "_kept_digest": F.sha2(ascii_lower(text), 256)})
+    whole = lambda id: [id.isNull().alias("no_id"), F.coalesce(id, F.lit(0).cast("long")).alias("id")]  # noqa: E731, A002
+    kept = kept.select(*whole(F.col("id")), "digest")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # the row is one column, so that no name of it can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *whole(F.col(id_col).cast("long")), F.sha2(ascii_lower(text), 256).alias("digest"))
     # the keys of the join are those of the window, so the rows are shuffled once
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(text))
-    return rows.join(kept, list(keys), "left_semi").withColumn("_kept_place", first).where("_kept_place = 1").select(*docs.columns)
+    own = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+    first = F.row_number().over(Window.partitionBy("no_id", "id", "digest").orderBy(own))
+    return rows.join(kept, ["no_id", "id", "digest"], "left_semi").withColumn("place", first).where("place = 1").select("row.*")
