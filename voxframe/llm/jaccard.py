@@ -259,7 +259,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     firsts = work.keep(own.groupBy("digest").agg(F.min("id").alias("first")), "firsts")
     # one row of equal sets stands for all; the wide rows are shuffled once for that, the same at every size
     copies = work.keep(own.select("digest", "id").join(firsts.select("digest", F.col("first").alias("id")), ["digest", "id"], "left_anti").distinct(), "copies")
-    nodes = own.join(copies.hint("shuffle_hash"), ["digest", "id"], "left_anti")
+    nodes = own.join(copies.hint("merge"), ["digest", "id"], "left_anti")
 
     # most tiles have one member and end here; the rows are shuffled once
     tile = Window.partitionBy("tile")
@@ -283,7 +283,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 
     wanted = maybe.select(F.col("a").alias("id")).union(maybe.select("b")).union(homes.select("id")).distinct()
     # the texts are many whatever the size of the wanted ids: one shuffle, the same at every size
-    sets = rows.join(wanted.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id", "text"])
+    sets = rows.join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"])
     sets = work.keep(sets.mapInArrow(whole_sets(words), "id long, shingles binary").where("shingles <> X''"), "sets")
     both = maybe.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("a_set")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("b_set")), "b")
     links = work.keep(both.mapInArrow(exact(percent), "a long, b long").distinct(), "links")
@@ -327,6 +327,7 @@ def keep_first_of_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_
     Rows with a null id stay, as do rows without words. Rows that repeat an id share its fate. An empty table stays empty.
     """
     groups = jaccard_components(docs, words, percent, id_col, text_col)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    # as above: the texts are many whatever the size of the ids
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id")).distinct()
+    # the row is one column, so that no name of it can clash; as above, the texts are many whatever the size of the ids
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"))
+    return rows.join(gone.hint("merge"), "id", "left_anti").select("row.*")
