@@ -34,7 +34,9 @@ PLAN = "_mix_source string, _mix_run long, _mix_releases array<long>, _mix_deadl
 
 
 def exact_parts(weights: Mapping[str, float]) -> dict[str, int]:
-    """Whole numbers in exactly the proportion of the weights as decimals; equal ones if all weights are 0."""
+    """Whole numbers in exactly the proportion of the weights as decimals; equal ones if all weights are 0. Weights must be finite numbers, or ValueError names those that are not."""
+    if odd := [s for s, w in weights.items() if not math.isfinite(w)]:
+        raise ValueError(f"weights that are no finite numbers: {odd[:5]}")
     given = {s: Fraction(repr(float(w))) for s, w in weights.items()}
     if not any(given.values()):
         given = dict.fromkeys(weights, Fraction(1))
@@ -113,7 +115,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, pow
     ``weights``: target weight by source; a source that it leaves out or gives 0 runs only in slots that no other can use.
     Without it, a source's weight is its size in bytes to the ``power``. Of more than ``MOST_SOURCES`` sources, none is planned: ValueError
     asks for them to be grouped. The number of documents is not bounded. The driver plans a few hundred
-    thousand blocks a second, and raises ValueError for weights so small that slots pass 64 bits.
+    thousand blocks a second, and raises ValueError for weights so small that slots pass 64 bits, or that are no finite numbers.
 
     Returns the columns of ``docs`` (those named like a result column are replaced) and ``block`` (of its
     source, from 0), ``release``, ``deadline`` (slot numbers; the block runs in [release, deadline)),
@@ -127,15 +129,22 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, pow
     A source's documents are spread over many buckets by a hash of the id, and offsets are summed in two
     steps, so a source with a third of all rows is no larger for any task than the others.
     """
+    placed = _placed(docs, weights, power, block_bytes, seed, id_col, text_col, source_col)
+    return placed.select(*(F.col("_mix_row").getField(c).alias(c) for c in docs.columns if c not in COLUMNS), *COLUMNS)
+
+
+def _placed(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, block_bytes: int = 1 << 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` as one column ``_mix_row``, in which no name can clash, beside ``COLUMNS``."""
     spark = docs.sparkSession
-    docs = docs.drop(*COLUMNS)
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
     bits = max(4, (parts(spark, 4) - 1).bit_length())
-    rows = docs.withColumns({
-        "_mix_source": key,
-        "_mix_size": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1,
-        "_mix_hash": F.xxhash64(F.lit(seed), F.col(id_col)),
-    }).withColumn("_mix_bucket", F.shiftrightunsigned("_mix_hash", 64 - bits))
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_mix_row"),
+        F.col(id_col).alias("_mix_id"),
+        key.alias("_mix_source"),
+        (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1).alias("_mix_size"),
+        F.xxhash64(F.lit(seed), F.col(id_col)).alias("_mix_hash"),
+    ).withColumn("_mix_bucket", F.shiftrightunsigned("_mix_hash", 64 - bits))
     totals = rows.groupBy("_mix_source", "_mix_bucket").agg(F.sum("_mix_size").alias("_mix_total"))
     found = totals.groupBy("_mix_source").agg(F.sum("_mix_total")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
@@ -144,7 +153,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, pow
     if weights is None:
         wanted = {s: float(n) ** power for s, n in sizes.items()}
     else:
-        wanted = {s: max(0.0, float(weights.get(s[1:] if s else None, 0))) for s in sizes}
+        given = {s: float(weights.get(s[1:] if s else None, 0)) for s in sizes}
+        wanted = {s: w if math.isnan(w) else max(0.0, w) for s, w in given.items()}
     shares = exact_parts(wanted) if wanted else {}
     plan = written_plan(spark, shares, {s: (n - 1) // block_bytes + 1 for s, n in sizes.items()}) if wanted else spark.createDataFrame([], PLAN)
 
@@ -156,7 +166,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, pow
     own = own.groupBy("_mix_source", "_mix_bucket", "_mix_base", "_mix_first", "_mix_last").agg(F.array_sort(F.collect_list(F.struct("_mix_run", "_mix_releases", "_mix_deadlines", "_mix_slots"))).alias("_mix_runs"))
     cut = lambda c: F.expr(f"slice(flatten(_mix_runs.{c}), cast(_mix_first % {RUN} + 1 as int), cast(_mix_last - _mix_first + 1 as int))").alias(c)
     own = own.select("_mix_source", "_mix_bucket", "_mix_base", "_mix_first", *(cut(c) for c in ("_mix_releases", "_mix_deadlines", "_mix_slots")))
-    inside = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_hash", id_col).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_hash", "_mix_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_mix_before", F.coalesce(F.sum("_mix_size").over(inside), F.lit(0))).join(own, ["_mix_source", "_mix_bucket"])
     placed = placed.withColumn("_mix_start", F.col("_mix_base") + F.col("_mix_before")).withColumn("block", F.expr(f"_mix_start div {block_bytes}"))
     at = "cast(block - _mix_first + 1 as int)"
@@ -166,7 +176,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, pow
         "slot": F.expr(f"element_at(_mix_slots, {at})"),
         "block_offset": F.expr(f"_mix_start - block * {block_bytes}"),
     })
-    return placed.drop("_mix_source", "_mix_size", "_mix_hash", "_mix_bucket", "_mix_before", "_mix_base", "_mix_first", "_mix_releases", "_mix_deadlines", "_mix_slots", "_mix_start")
+    return placed.select("_mix_row", *COLUMNS)
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
@@ -174,6 +184,5 @@ def mixed_order(docs: DataFrame, **options) -> DataFrame:
 
     Columns named like those of a mixture keep their values. Rows with a null id, text or source are in it as others are.
     """
-    clash = {c: f"_own_{c}" for c in COLUMNS if c in docs.columns}
-    mixed = mix_sources(docs.withColumnsRenamed(clash), **options).orderBy("slot", "block_offset")
-    return mixed.select(*(F.col(clash[c]).alias(c) if c in clash else F.col(c) for c in docs.columns))
+    mixed = _placed(docs, **options).orderBy("slot", "block_offset")
+    return mixed.select(*(F.col("_mix_row").getField(c).alias(c) for c in docs.columns))

@@ -196,14 +196,16 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col: str
     Each row is judged by its own text as it is read again, whether or not others have its id; null ids and texts are judged as others. An
     empty table stays empty.
     """
-    names = docs.columns
-    rows = docs.withColumn("_quality_text", F.col(text_col).cast("string"))
+    names, text = docs.columns, "_quality_text"
+    while text in names:
+        text += "_"
+    rows = docs.withColumn(text, F.col(text_col).cast("string"))
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model = _model(ids.mapInArrow(features_of, "doc_id long, stats array<float>"), labels, **options)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = model.score(batch_statistics(batch.column("_quality_text")).astype(float)) >= cut
+            keep = model.score(batch_statistics(batch.column(text)).astype(float)) >= cut
             yield batch.select(names).filter(pa.array(keep))
 
     return rows.mapInArrow(good, docs.schema)
