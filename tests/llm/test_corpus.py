@@ -56,8 +56,8 @@ def source_rows(docs):
     return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
 
 
-@pytest.mark.parametrize("weak,broadcast", [(False, 1000), (False, 0), (True, 1000)])
-def test_exact_dedup(docs, weak, broadcast):
+@pytest.mark.parametrize("weak,bits", [(False, 1 << 26), (False, 64), (True, 1 << 16)])
+def test_exact_dedup(docs, weak, bits):
     from pyspark.sql import functions as F
 
     digest = (lambda t: (F.crc32(t.cast("binary")) % 3).cast("string")) if weak else (lambda t: F.sha2(t, 256))
@@ -65,16 +65,25 @@ def test_exact_dedup(docs, weak, broadcast):
     groups = collections.defaultdict(list)
     for i, t in source_rows(docs):
         groups[low(t)].append(i)
-    got = exact_dedup.exact_dedup(docs, digest=digest, broadcast_digests=broadcast).collect()
+    got = exact_dedup.exact_dedup(docs, digest=digest, filter_bits=bits).collect()
     assert len(got) == docs.count()
     for r in got:
         own = next(g for g in groups.values() if r.doc_id in g)
         assert (r.keep_id, r.group_size, r.kept) == (max(own), len(own), r.doc_id == max(own))
 
 
-@pytest.mark.parametrize("unit", ["words", "bytes"])
-def test_substring_dedup(docs, unit):
-    length = 50 if unit == "words" else 40
+def test_filter_of_digests_loses_none(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"), "id")
+    keys = rows.where("id % 7 = 3").select("digest")
+    for bits, most in ((1 << 20, 3200), (1 << 10, 20_000)):
+        got = {r.id for r in exact_dedup.maybe_in(rows, keys, "digest", bits).collect()}
+        assert {i for i in range(20_000) if i % 7 == 3} <= got and len(got) <= most
+
+
+@pytest.mark.parametrize("unit,length", [("words", 50), ("bytes", 40), ("bytes", 50)])
+def test_substring_dedup(docs, unit, length):
     f = fm_dedup.dedup_windows if unit == "words" else suffix_dedup.dedup_bytes
     got = collected(f(docs, length=length))
     first, seen = {}, {}

@@ -108,3 +108,40 @@ def test_tokenizers_that_cut_otherwise_are_read_whole(spark, tmp_path):
     c = packing.Coder(path)
     assert not c.by_words and packing.Coder(tokenizer_path()).by_words
     assert [np.frombuffer(x, "<u4").tolist() for x in c.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_names_that_the_operators_use_themselves(spark):
+    """Every column keeps its values, whatever its name."""
+    from voxframe.llm import exact_dedup, jaccard, mixing
+
+    names = ["_mix_size", "_mix_before", "_mix_row", "_mix_hash", "_kept_id", "_kept_null", "_gone", "_quality_text", "row", "id", "slot", "block", "place", "digest", "no_id"]
+    rows = [(k, f"text number {k} of a few words", "en", "ab"[k % 2], 7000 + k) for k in range(30)]
+    d = spark.createDataFrame([(*r, *[r[4]] * len(names)) for r in rows], SCHEMA + ", " + ", ".join(f"{n} long" for n in names))
+    labels = spark.createDataFrame([(k, 1) for k in range(30)], "doc_id long, quality int")
+    for got in (mixing.mixed_order(d), exact_dedup.keep_last_copies(d), jaccard.keep_first_of_groups(d), quality.keep_good(d, labels, cut=0.0)):
+        assert got.columns == d.columns
+        assert sorted((r.doc_id, *{r[n] for n in names}) for r in got.collect()) == [(k, 7000 + k) for k in range(30)]
+    mixed = mixing.mix_sources(d)
+    assert {r["_mix_size"] - r.doc_id for r in mixed.collect()} == {7000} and set(mixed.columns) == {*d.columns, *mixing.COLUMNS}
+    for bad in (float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="finite"):
+            mixing.mix_sources(d, {"a": bad, "b": 1.0})
+
+
+@pytest.mark.parametrize("length", [50])
+def test_bytes_with_many_null_ids(spark, length):
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh ", k=70))
+    rows = [(None if k % 2 else k, "".join(rng.choices("abcdefgh ", k=rng.randint(0, 90))) + (passage if k % 3 == 0 else "") + "".join(rng.choices("xyz", k=9))) for k in range(120)]
+    got = sorted((10**6 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string"), length=length).collect())
+    first = {}
+    order = lambda i: 10**6 if i is None else i  # noqa: E731  a null id comes after all others
+    starts = [{t[k : k + length] for k in range(len(t) - length + 1)} for _, t in rows]
+    for (i, _), own in zip(rows, starts):
+        for s in own:
+            first[s] = min(first.get(s, order(i)), order(i))
+    want = []
+    for i, t in rows:
+        gone = {k + d for k in range(len(t) - length + 1) if first[t[k : k + length]] < order(i) for d in range(length)}
+        want.append((order(i), len(t), len(gone)))
+    assert got == sorted(want)

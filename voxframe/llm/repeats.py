@@ -367,19 +367,19 @@ def covered(unit: Unit, docs: pa.Table, found: pa.Table) -> Iterator[tuple]:
         yield i, j, part, own, offsets, words, np.cumsum(mark[:-1]) > 0
 
 
-def estimated_bytes(docs: DataFrame, text_col: str, rows: int = 10_000) -> int:
-    """Bytes of all texts, from the number of rows and the mean of the first ones; only the number of chunks depends on it, never a result."""
-    mean = docs.select(F.octet_length(text_col).alias("n")).limit(rows).agg(F.avg(F.coalesce("n", F.lit(0)))).first()[0] or 0
-    return int(mean * docs.count())
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    """Bytes of all texts."""
+    return int(docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0)
 
 
 def remove_repeats(docs: DataFrame, unit: Unit, compare: Compare, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str, id_col: str, text_col: str, often: int = OFTEN) -> DataFrame:
     spark = docs.sparkSession
     # rows of the two exchanges are blobs of one sender for one receiver, so their number is the product of these
-    chunks = max(parts(spark, 2), -(-estimated_bytes(docs, text_col) // CHUNK_BYTES))
+    chunks = max(parts(spark, 2), -(-text_bytes(docs, text_col) // CHUNK_BYTES))
     buckets = shards = max(parts(spark, 1), chunks // 2)
     shards *= 2
-    rows = docs.select(F.pmod(F.xxhash64(id_col), F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # by id and text: rows without an id, or that repeat one, are spread as others are
+    rows = docs.select(F.pmod(F.xxhash64(id_col, F.col(text_col).cast("string")), F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     anchors = rows.groupBy("chunk").applyInArrow(send_anchors(unit, buckets, often), _ddl(_ANCHORS))
     shared = anchors.groupBy("bucket").applyInArrow(answer_anchors(max(4, chunks // 4)), _ddl(_SHARED))
     told = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(tell_segments(unit, buckets, shards), _ddl(_SEGMENTS))
