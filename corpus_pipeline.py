@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxframe.llm import exact_dedup, jaccard, mixing, packing, quality
-from voxframe.functions.scratch import new_path
+from voxframe.functions.scratch import Tables
 from voxframe.llm.queries import table, tokenizer_path
 
 
@@ -54,10 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages over documents, each written to the shared folder and read again; its table goes when the next one is written."""
+    docs, work = table(spark, sf_dir, "documents"), Tables(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = work.keep(stage(spark, docs, sf_dir), name)
+        if k:  # the stage before has been read for the last time
+            work.drop(STAGES[k - 1][0])
     return docs
