@@ -15,38 +15,55 @@ from ..functions.scratch import stored
 from .voxel import VOXEL, label_numbers
 
 
-#: Ranges that a volume's values are counted in before one of them is looked into.
-RANGES = 4096
+#: Ranges that the values of a range are dealt over in one step, and different values that are put in order in one task.
+RANGES, MOST = 4096, 200_000
 
 
-def exact_percentiles(rows: DataFrame, points: dict[str, float], name: str) -> DataFrame:
+def percentile_ranges(counts: DataFrame, asked: DataFrame, ends: DataFrame, most: int = MOST) -> DataFrame:
+    """(vol_id, base, lo, hi, kinds): ranges of values that hold the asked places, ``base`` values before each, with ``most`` different values at most.
+
+    A range with more is cut into equal ones between its least and its greatest value, of which those without an asked place go. Both ends then lie in ranges
+    of their own, so however far a value lies out, the others are told apart in the next step.
+    """
+    ranges, turn = ends.select("vol_id", F.lit(0).cast("long").alias("base"), F.col("lowest").alias("lo"), F.col("highest").alias("hi"), "kinds"), 0
+    part = lambda x: F.greatest(F.least(x, F.lit(1.7e308)), F.lit(-1.7e308)) / 4  # noqa: E731  so that differences stay in range
+    while True:
+        ranges = stored(ranges, "percentile-ranges")
+        wide = ranges.where((F.col("kinds") > most) & (F.col("hi") > F.col("lo")))
+        if turn == 200 or not wide.limit(1).count():
+            return ranges
+        at = F.floor((part(F.col("_v")) - part(F.col("lo"))) / (part(F.col("hi")) - part(F.col("lo"))) * RANGES)
+        at = F.when(F.col("_v") >= F.col("hi"), RANGES).otherwise(F.coalesce(at, F.lit(0)))
+        cut = counts.join(wide, "vol_id").where("_v >= lo AND _v <= hi").groupBy("vol_id", "base", at.alias("_r"))
+        cut = cut.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("kinds"), F.sum("_n").alias("_n"))
+        upto = Window.partitionBy("vol_id", "base").orderBy("_r")
+        cut = cut.select("vol_id", (F.col("base") + F.sum("_n").over(upto) - F.col("_n")).alias("base"), "lo", "hi", "kinds", "_n")
+        cut = cut.join(asked.select("vol_id", "place").distinct(), "vol_id").where("place >= base AND place < base + _n").select("vol_id", "base", "lo", "hi", "kinds").distinct()
+        ranges, turn = ranges.where((F.col("kinds") <= most) | (F.col("hi") <= F.col("lo"))).unionByName(cut), turn + 1
+
+
+def exact_percentiles(rows: DataFrame, points: dict[str, float], name: str, most: int = MOST) -> DataFrame:
     """(vol_id, lowest, highest, and each point by its name): percentiles with linear interpolation, exactly, in any number of tasks.
 
-    Values are counted, and the counts of equal ranges between the lowest and the highest say in which range a percentile's
-    neighbours lie; only the values of these ranges are put in order, each range in a task of its own.
+    Equal values are counted first; volumes with few different ones are done by that. Else the ranges that hold a percentile's neighbours are cut until they have
+    ``most`` different values at most (see ``percentile_ranges``), and only these are put in order, a range in a task of its own.
     """
     v = F.col(name).cast("double")
     counts = stored(rows.where(v.isNotNull()).groupBy("vol_id", v.alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "value-counts")
-    ends = counts.groupBy("vol_id").agg(F.min("_v").alias("lowest"), F.max("_v").alias("highest"), F.sum("_n").alias("_all"))
+    ends = counts.groupBy("vol_id").agg(F.min("_v").alias("lowest"), F.max("_v").alias("highest"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("kinds"))
     ends = stored(ends, "value-ends")  # a row for each volume
-    at = F.when(F.col("highest") > F.col("lowest"), F.least(F.floor((F.col("_v") - F.col("lowest")) / (F.col("highest") - F.col("lowest")) * RANGES), F.lit(RANGES - 1))).otherwise(0)
-    ranged = counts.join(ends, "vol_id").withColumn("_r", at.cast("int"))
-    sums = ranged.groupBy("vol_id", "_r").agg(F.sum("_n").alias("_n"))
-    upto = Window.partitionBy("vol_id").orderBy("_r")
-    sums = sums.withColumn("_end", F.sum("_n").over(upto)).withColumn("_begin", F.col("_end") - F.col("_n"))
     places = [F.struct(F.lit(p).alias("p"), g(F.lit(q) * (F.col("_all") - 1)).cast("long").alias("place")) for p, q in points.items() for g in (F.floor, F.ceil)]
     asked = ends.withColumn("_a", F.explode(F.array(*places))).select("vol_id", "_a.*").distinct()
-    asked = asked.join(sums, "vol_id").where("place >= _begin AND place < _end").select("vol_id", "p", "place", "_r", "_begin")
-    inside = ranged.join(asked.select("vol_id", "_r").distinct(), ["vol_id", "_r"], "left_semi")
-    inside = inside.withColumn("_last", F.sum("_n").over(Window.partitionBy("vol_id", "_r").orderBy("_v")))
-    hit = asked.join(inside.select("vol_id", "_r", "_v", "_last", (F.col("_last") - F.col("_n")).alias("_first")), ["vol_id", "_r"])
-    hit = hit.where("place - _begin >= _first AND place - _begin < _last").groupBy("vol_id", "p").agg(F.min_by("_v", "place").alias("low"), F.max_by("_v", "place").alias("high"))
-    out = ends
-    for p, q in points.items():
-        part = F.lit(q) * (F.col("_all") - 1)
-        own = hit.where(F.col("p") == p).select("vol_id", F.col("low").alias("_low"), F.col("high").alias("_high"))
-        out = out.join(own, "vol_id", "left").withColumn(p, F.col("_low") + (F.col("_high") - F.col("_low")) * (part - F.floor(part))).drop("_low", "_high")
-    return out.drop("_all")
+    ranges = percentile_ranges(counts, asked, ends, most)
+    inside = counts.join(ranges, "vol_id").where("_v >= lo AND _v <= hi")
+    last = F.col("base") + F.sum("_n").over(Window.partitionBy("vol_id", "base").orderBy("_v"))
+    inside = inside.select("vol_id", "_v", last.alias("_last"), (last - F.col("_n")).alias("_first"))
+    hit = asked.join(inside, "vol_id").where("place >= _first AND place < _last").groupBy("vol_id", "p").agg(F.min_by("_v", "place").alias("low"), F.max_by("_v", "place").alias("high"))
+    hit = hit.groupBy("vol_id").agg(*(F.max(F.when(F.col("p") == p, F.struct("low", "high"))).alias(f"_{p}") for p in points))
+    out = ends.join(hit, "vol_id", "left")
+    part = {p: F.lit(q) * (F.col("_all") - 1) for p, q in points.items()}
+    out = out.withColumns({p: F.col(f"_{p}.low") + (F.col(f"_{p}.high") - F.col(f"_{p}.low")) * (part[p] - F.floor(part[p])) for p in points})
+    return out.drop("_all", "kinds", *(f"_{p}" for p in points))
 
 
 def percentile_stats(raw: DataFrame, low: float = 1, high: float = 99, name: str = "value") -> DataFrame:
