@@ -1,6 +1,6 @@
-"""Connected components: of graphs, and of voxels after they are joined into runs along x.
+"""Connected components: of graphs, and of voxels in blocks of their volume.
 
-Neighbouring runs are linked by equi joins on their rows, and the graph of runs is contracted. Rounds
+A block's components are found in one task; links over the faces of blocks make a graph, which is contracted in rounds. Rounds
 are written to the shared folder, so that lost executors cost one round.
 """
 
@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import Tables, stored
 
-#: Cells of the x axis that one bucket of runs spans.
-_SPAN = 64
+#: Slices, rows and columns of the blocks in which components are found at first.
+SHAPE = (32, 128, 128)
 
 
 def graph_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,6 +26,8 @@ def graph_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     work, turn = Tables(edges.sparkSession, "links"), 0
     links = work.keep(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct(), "0")
+    if not links.limit(1).count():
+        return links.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
     while True:
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(links.select("lo", "hi"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -41,37 +45,86 @@ def graph_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return nodes.union(nodes.select(F.col("component").alias("id"), "component").distinct())
 
 
-def runs_along_x(voxels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of voxels that follow each other on x, as (keys, z, y, x_lo, x_hi, run); ``run`` orders them by keys, z, y, x."""
-    line = Window.partitionBy(*keys, "z", "y").orderBy("x")
-    island = voxels.select(*keys, "z", "y", "x").distinct().withColumn("_i", F.col("x") - F.row_number().over(line))
-    runs = island.groupBy(*keys, "z", "y", "_i").agg(F.min("x").alias("x_lo"), F.max("x").alias("x_hi"))
-    # a name that grows with z, y, x; 21 bits for each
-    name = F.shiftleft(F.col("z"), 42) + F.shiftleft(F.col("y"), 21) + F.col("x_lo")
-    return runs.select(*keys, "z", "y", "x_lo", "x_hi", name.alias("run"))
-
-
-def run_links(runs: DataFrame, keys: Sequence[str], steps: Sequence[tuple[int, int]], reach: int = 0) -> DataFrame:
-    """Pairs of runs of the same keys at the given steps of (z, y) that overlap on x, or come within ``reach``."""
-    cut = F.sequence(F.floor((F.col("x_lo") - reach) / _SPAN), F.floor((F.col("x_hi") + reach) / _SPAN))
-    right = runs.withColumn("_b", F.explode(cut))
-    out = None
-    for dz, dy in steps:
-        left = runs.select(*keys, (F.col("z") + dz).alias("z"), (F.col("y") + dy).alias("y"), F.col("x_lo").alias("_lo"), F.col("x_hi").alias("_hi"), F.col("run").alias("_run"))
-        left = left.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / _SPAN), F.floor(F.col("_hi") / _SPAN))))
-        pairs = left.join(right, [*keys, "z", "y", "_b"]).where(f"_lo <= x_hi + {reach} AND x_lo <= _hi + {reach}").select(*keys, F.col("_run").alias("a"), F.col("run").alias("b"))
-        out = pairs if out is None else out.union(pairs)
-    return out.distinct()
-
-
-def voxel_components(voxels: DataFrame, keys: Sequence[str], steps: Sequence[tuple[int, int]], reach: int = 0) -> DataFrame:
-    """(keys, z, y, x, component): components of the voxels with equal keys; ``component`` is the name of its first run in z, y, x order."""
-    runs = stored(runs_along_x(voxels, keys), "runs")
-    node = lambda c: F.struct(*keys, F.col(c).alias("run"))
-    found = graph_components(run_links(runs, keys, steps, reach).select(node("a").alias("a"), node("b").alias("b")))
-    label = found.select("id.*", F.col("component.run").alias("component"))
-    back = runs.join(label, [*keys, "run"], "left").withColumn("component", F.coalesce("component", "run")).withColumn("x", F.explode(F.sequence("x_lo", "x_hi")))
-    return back.select(*keys, *[c for c in ("z", "y", "x") if c not in keys], "component")
+def _local(keys: Sequence[str], steps: Sequence[tuple[int, int, int]]):
+    """Components of a block's voxels: each gets the name of its component's first voxel in z, y, x order."""
+
+    def run(block: pa.Table) -> pa.Table:
+        z, y, x = (block.column(a).to_numpy().astype(np.int64) for a in "zyx")
+        which = np.zeros(len(z), np.int64)
+        for k in keys:  # rows with equal keys have equal numbers
+            code = block.column(k).combine_chunks().dictionary_encode()
+            code = code.combine_chunks().indices if isinstance(code, pa.ChunkedArray) else code.indices
+            _, which = np.unique(which * (len(z) + 1) + code.to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
+        low = [int(a.min()) - 1 for a in (z, y, x)]
+        wide = [int(a.max()) - lo + 2 for a, lo in zip((z, y, x), low)]
+        place = lambda dz, dy, dx: ((which * wide[0] + z - low[0] + dz) * wide[1] + y - low[1] + dy) * wide[2] + x - low[2] + dx
+        own = place(0, 0, 0)
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        a, b = [], []
+        for step in steps:
+            there = place(*step)[order]
+            at = np.minimum(np.searchsorted(own, there), len(own) - 1)
+            hit = own[at] == there
+            a.append(np.flatnonzero(hit)), b.append(at[hit])
+        root = joined(len(own), np.concatenate(a), np.concatenate(b))
+        name = ((z << 42) + (y << 21) + x)[order]
+        out = block.take(pa.array(order)).select([*keys, *[c for c in "zyx" if c not in keys]])
+        return out.append_column("_local", pa.array(name[root]))
+
+    return run
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of n numbers that are linked by pairs, the least of each number's part: links are pulled to the least ends, and paths halved, until nothing changes."""
+    root = np.arange(n)
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            break
+        np.minimum.at(root, high[apart], low[apart])
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        a, b = a[apart], b[apart]
+    return root
+
+
+def voxel_components(voxels: DataFrame, keys: Sequence[str], steps: Sequence[tuple[int, int]], reach: int = 0, shape: Sequence[int] = SHAPE) -> DataFrame:
+    """(keys, z, y, x, component): components of the voxels with equal keys that touch along x, or at the given steps of (z, y) up to ``reach`` columns apart.
+
+    ``component`` is the name of its first voxel in z, y, x order. The first key tells volumes apart. Components are found inside blocks of ``shape`` first, a block in a task; only
+    links over the faces of blocks make a graph for rounds of contraction.
+    """
+    keys, extra = list(keys), [c for c in "zyx" if c not in keys]
+    all_steps = [(0, 0, 1), *((dz, dy, dx) for dz, dy in steps for dx in range(-reach, reach + 1))]
+    cut = [F.floor(F.col(a) / n).alias(f"_b{a}") for a, n in zip("zyx", shape)]
+    rows = voxels.select(*keys, *extra).distinct()
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", _local long"
+    found = stored(rows.groupBy(F.col(keys[0]).alias("_of"), *cut).applyInArrow(_local(keys, all_steps), schema), "block-components")
+    # voxels at a face may touch others beyond it
+    edge = F.lit(False)
+    for a, n, far in zip("zyx", shape, (max((abs(s[0]) for s in all_steps), default=0), max(abs(s[1]) for s in all_steps), max(abs(s[2]) for s in all_steps))):
+        if far:
+            edge = edge | (F.pmod(F.col(a), F.lit(n)) < far) | (F.pmod(F.col(a), F.lit(n)) >= n - far)
+    faces = found.where(edge)
+    move = F.explode(F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for a, d in zip("zyx", s))) for s in all_steps)))
+    same = [c for c in keys if c not in "zyx"]
+    from_ = faces.select(*keys, *extra, F.col("_local").alias("_a"), move.alias("_s")).withColumns({f"_t{a}": F.col(a) + F.col(f"_s.d{a}") for a in "zyx"})
+    # a step that stays in its block is known there
+    beyond = F.lit(False)
+    for a, n in zip("zyx", shape):
+        beyond = beyond | (F.floor(F.col(a) / n) != F.floor(F.col(f"_t{a}") / n))
+    from_ = from_.where(beyond).select(*same, *(F.col(f"_t{a}").alias(a) for a in "zyx"), "_a")
+    meet = from_.join(faces.select(*same, *"zyx", F.col("_local").alias("_c")), [*same, *"zyx"])
+    node = lambda c: F.struct(*same, F.col(c).alias("run"))
+    links = meet.select(node("_a").alias("a"), node("_c").alias("b")).distinct()
+    names = graph_components(links)
+    label = names.select("id.*", F.col("component.run").alias("component")).withColumnRenamed("run", "_local")
+    return found.join(label, [*same, "_local"], "left").select(*keys, *extra, F.coalesce("component", "_local").alias("component"))
 
 
 def slice_components(voxels: DataFrame) -> DataFrame:

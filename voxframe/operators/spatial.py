@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPS, missing_if_nan, region_bin
-from ..functions.scratch import stored
+from .metric import nearest_in_matrix
 from .voxel import CELL
 
 UM = ("centroid_z_um", "centroid_y_um", "centroid_x_um")
@@ -41,46 +41,43 @@ def radius_join(cells: DataFrame, radius: float, coords: Sequence[str] = UM) ->
     return _near_pairs(p, p, F.lit(float(radius))).where(F.col("distance") <= radius).select(*CELL, "other", "distance")
 
 
-#: Halvings of the side that the mean density asks for, to be tried where cells lie closer.
-_FINER = 8
+def knn_join(cells: DataFrame, k: int, coords: Sequence[str] = UM, block: int = 512) -> DataFrame:
+    """(vol_id, label, other, distance, rank) of the k nearest other cells, or all if there are fewer; ties by label. Cells without coordinates have none.
 
+    Cells are dealt into blocks of bounded size that follow the density, so a dense cluster is many blocks and not one; see ``metric.nearest_in_matrix``.
+    """
+    return nearest_in_matrix(_points(cells, coords), "zyx", k, block)
 
-def knn_join(cells: DataFrame, k: int, coords: Sequence[str] = UM) -> DataFrame:
-    """(vol_id, label, other, distance, rank) of the k nearest other cells, or all if there are fewer; ties by label.
 
-    At the mean density a bucket holds about k cells. Each cell starts with buckets of that side or, where its own would hold more than
-    8 k cells, with halved ones, so a dense cluster is not one bucket. A cell is done when its k-th neighbour is no farther than a bucket's side,
-    since nearer ones cannot lie outside the adjoining buckets; the others are tried again with doubled sides.
-    """
-    points = stored(_points(cells, coords), "knn-points")
-    extent = F.greatest(*(F.max(a) - F.min(a) for a in "zyx"), F.lit(1e-9))
-    volume = F.greatest(F.max("z") - F.min("z"), F.lit(1e-9)) * F.greatest(F.max("y") - F.min("y"), F.lit(1e-9)) * F.greatest(F.max("x") - F.min("x"), F.lit(1e-9))
-    facts = points.groupBy("vol_id").agg(F.count(F.lit(1)).alias("n"), extent.alias("extent"), volume.alias("v"))
-    facts = facts.select("vol_id", "n", "extent", F.greatest(F.pow(F.col("v") * k / F.col("n"), F.lit(1 / 3)), F.col("extent") / 1e6).alias("side"))
-    right = points.join(facts, "vol_id")
-    levels = right.withColumn("level", F.explode(F.sequence(F.lit(-_FINER), F.lit(0))))
-    levels = levels.withColumns({f"b{a}": F.floor(F.col(a) / (F.col("side") * F.pow(F.lit(2.0), F.col("level")))) for a in "zyx"})
-    full = levels.groupBy("vol_id", "level", "bz", "by", "bx").agg(F.count(F.lit(1)).alias("held"))
-    held = levels.join(full, ["vol_id", "level", "bz", "by", "bx"]).where(F.col("held") <= 8 * k)
-    start = held.groupBy(*CELL).agg(F.max("level").alias("start"))
-    todo = stored(right.join(start, CELL, "left").fillna(-_FINER, ["start"]), "knn-todo")
-    level, done = todo.agg(F.min("start")).first()[0], None
-    nearest = Window.partitionBy(*CELL).orderBy("distance", "other")
-    while level is not None:
-        scale = F.col("side") * 2.0**level
-        pairs = _near_pairs(todo.where(F.col("start") <= level).withColumn("side", scale), points.join(facts.select("vol_id", scale.alias("side")), "vol_id"), F.col("side"))
-        pairs = pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select(*CELL, "other", "distance", "rank", "side", "n", "extent")
-        pairs = stored(pairs, "knn-pairs")
-        sure = pairs.groupBy(*CELL).agg(F.count(F.lit(1)).alias("found"), F.max("distance").alias("far"), F.first("side").alias("s"), F.first("n").alias("m"), F.first("extent").alias("e"))
-        sure = sure.where((F.col("found") == F.least(F.lit(k), F.col("m") - 1)) & ((F.col("far") <= F.col("s")) | (F.col("s") > F.col("e")))).select(*CELL)
-        ready = pairs.join(sure, CELL, "left_semi").select(*CELL, "other", "distance", "rank")
-        done = ready if done is None else done.unionByName(ready)
-        todo = stored(todo.where("n > 1").join(sure, CELL, "left_anti"), "knn-todo")
-        level += 1
-        if not todo.limit(1).count():
-            break
-    empty = points.sparkSession.createDataFrame([], "vol_id string, label long, other long, distance double, rank int")
-    return empty if done is None else done
+#: Ways to choose a cell's neighbours.
+MODES = ("knn", "radius", "knn_radius", "contact", "all")
+
+
+def neighbours(cells: DataFrame, mode: str, k: int = 10, radius: float = 20.0, edges: DataFrame | None = None, coords: Sequence[str] = UM) -> DataFrame:
+    """(vol_id, label, other, distance) by mode: the k nearest, those within a radius, those of the k nearest that are within it, those in contact
+    (``edges`` as of ``contact_edges``; a contact's distance is that of the centroids), or all three together, each pair once."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}")
+    if mode in ("contact", "all") and edges is None:
+        raise ValueError(f"mode {mode} needs the contact edges")
+    found = []
+    if mode in ("knn", "knn_radius", "all"):
+        near = knn_join(cells, k, coords).drop("rank")
+        found.append(near.where(F.col("distance") <= radius) if mode == "knn_radius" else near)
+    if mode in ("radius", "all"):
+        found.append(radius_join(cells, radius, coords))
+    if mode in ("contact", "all"):
+        p = _points(cells, coords)
+        ends = edges.select("vol_id", F.col("label_a").alias("label"), F.col("label_b").alias("other"))
+        both = ends.unionByName(ends.select("vol_id", F.col("other").alias("label"), F.col("label").alias("other")))
+        other = p.select("vol_id", F.col("label").alias("other"), *(F.col(a).alias(f"o{a}") for a in "zyx"))
+        pairs = both.join(p, CELL).join(other, ["vol_id", "other"])
+        distance = F.sqrt(sum((F.col(a) - F.col(f"o{a}")) * (F.col(a) - F.col(f"o{a}")) for a in "zyx"))
+        found.append(pairs.select(*CELL, "other", distance.alias("distance")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.groupBy(*CELL, "other").agg(F.min("distance").alias("distance")) if len(found) > 1 else out
 
 
 _SPHERE = 4.0 / 3.0 * 3.141592653589793
