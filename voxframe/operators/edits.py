@@ -89,22 +89,30 @@ def apply_edit_log(voxels: DataFrame, edits: DataFrame) -> DataFrame:
     return voxels.select(*VOXEL, "label").join(last.select(*VOXEL), VOXEL, "left_anti").unionByName(last.where("label > 0"))
 
 
-def active_edits(log: DataFrame, undo: str = "undo", keys: Sequence[str] = ("layer_name",)) -> DataFrame:
-    """The log without undone edits: an entry ``undo`` takes back the newest edit of its layer that is still there, if any.
+#: Edits that undo can take back.
+UNDO_DEPTH = 20
 
-    The number of edits in force rises with each edit and falls with each undo, not below 0. An edit is undone if the
-    number falls below what it was with the edit at any later entry.
-    """
-    line = Window.partitionBy(*keys).orderBy("seq")
-    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
-    out = log.withColumn("_sum", F.sum(F.when(F.col("operation") == undo, -1).otherwise(1)).over(so_far))
-    out = out.withColumn("_depth", F.col("_sum") - F.least(F.min("_sum").over(so_far), F.lit(0)))
-    later = F.min("_depth").over(line.rowsBetween(1, Window.unboundedFollowing))
-    kept = out.withColumn("_later", later).where((F.col("operation") != undo) & (F.col("_later").isNull() | (F.col("_later") >= F.col("_depth"))))
-    return kept.select(*log.columns)
 
+def active_edits(log: DataFrame, undo: str = "undo", keys: Sequence[str] = ("layer_name",), depth: int = UNDO_DEPTH) -> DataFrame:
+    """The log without undone edits: an entry ``undo`` takes back the newest edit of its layer that can still be taken back, if any.
 
-def latest_edits(log: DataFrame, keys: Sequence[str] = ("layer_name",), depth: int = 20) -> DataFrame:
+    A layer remembers its last ``depth`` edits; one that as many later ones stand upon is forgotten and stays. The number of edits in force rises with each edit and falls with
+    each undo, not below 0. Of the entries that reach an edit's level, the undo that leaves it and the edit that comes ``depth`` above it, the first decides.
+    """
+    line = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("operation") == undo, -1).otherwise(1)
+    out = log.withColumn("_sum", F.sum(step).over(line))
+    out = out.withColumn("_level", F.col("_sum") - F.least(F.min("_sum").over(line), F.lit(0)))
+    # an undo belongs to the level that it leaves, an edit to its own and, as a mark, to the one that it pushes out
+    marks = F.when(F.col("operation") == undo, F.array(F.struct((F.col("_level") + 1).alias("at"), F.lit(0).alias("kind")))).otherwise(
+        F.array(F.struct(F.col("_level").alias("at"), F.lit(1).alias("kind")), F.struct((F.col("_level") - depth).alias("at"), F.lit(2).alias("kind")))
+    )
+    out = out.withColumn("_m", F.explode(marks)).select(*log.columns, "_m.*").where("at > 0")
+    then = F.lead("kind").over(Window.partitionBy(*keys, "at").orderBy("seq", "kind"))
+    return out.withColumn("_then", then).where("kind = 1 AND (_then IS NULL OR _then <> 0)").select(*log.columns)
+
+
+def latest_edits(log: DataFrame, keys: Sequence[str] = ("layer_name",), depth: int = UNDO_DEPTH) -> DataFrame:
     """The newest edits that undo can take back, the newest with place 1."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("seq")))
     return log.withColumn("place", place).where(F.col("place") <= depth)

@@ -185,8 +185,38 @@ def _recursive(rows: str, same: str, near: str) -> str:
     return f"WITH RECURSIVE start AS ({rows}), reach AS (SELECT *, name AS root FROM start UNION SELECT s.*, r.root FROM reach r JOIN start s ON {same} AND {near})"
 
 
+def _z_runs(label: str, near: str) -> str:
+    """The run of slices around the first one of each label, over gaps of one."""
+    return (
+        "SELECT vol_id, label, s AS start_z, min(z) AS lo_z, max(z) AS hi_z, min(y0) AS lo_y, max(y1) AS hi_y, min(x0) AS lo_x, max(x1) AS hi_x FROM ("
+        "SELECT *, sum(CASE WHEN z-p-1>1 THEN 1 ELSE 0 END) OVER (PARTITION BY vol_id, label ORDER BY z) AS island FROM (SELECT vol_id, label, z, s, lag(z) OVER (PARTITION BY vol_id, label ORDER BY z) AS p, y0, y1, x0, x1"
+        f" FROM (SELECT *, min(z) OVER (PARTITION BY vol_id, label) AS s FROM (SELECT vol_id, {label} AS label, z, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM label_vox GROUP BY ALL)) WHERE {near})) WHERE island=0 GROUP BY vol_id, label, s"
+    )
+
+
+def _undone(depth: int, undo: str) -> str:
+    """The log's edits that no undo takes back, where a layer remembers so many."""
+    return (
+        "SELECT * FROM (SELECT *, lead(kind) OVER (PARTITION BY layer_name, mark ORDER BY seq, kind) AS nxt FROM ("
+        f"SELECT *, level+1 AS mark, 0 AS kind FROM levels WHERE {undo} UNION ALL SELECT *, level, 1 FROM levels WHERE NOT ({undo}) UNION ALL SELECT *, level-{depth}, 2 FROM levels WHERE NOT ({undo})) WHERE mark>0) WHERE kind=1 AND (nxt IS NULL OR nxt<>0)"
+    ).replace("levels", (
+        "(SELECT *, total-least(min(total) OVER (PARTITION BY layer_name ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS level FROM ("
+        f"SELECT *, sum(CASE WHEN {undo} THEN -1 ELSE 1 END) OVER (PARTITION BY layer_name ORDER BY seq ROWS UNBOUNDED PRECEDING) AS total FROM curation_log))"
+    ))
+
+
 NEAR_SLICE, NEAR_SOLID = "s.z=r.z AND abs(s.y-r.y)+abs(s.x-r.x)=1", "abs(s.z-r.z)+abs(s.y-r.y)+abs(s.x-r.x)=1"
 NAME = "(z<<42)+(y<<21)+x AS name"
+
+
+def _solid(label: str) -> str:
+    """Of each voxel the least name in its piece of equal labels, step by step in space."""
+    return (
+        f"WITH RECURSIVE start AS (SELECT {label} AS label, z, y, x, {NAME} FROM label_vox), reach AS (SELECT *, name AS root FROM start UNION SELECT s.*, r.root FROM"
+        " (SELECT label, root, z+dz AS z, y+dy AS y, x+dx AS x FROM reach, (VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) d(dz,dy,dx)) r JOIN start s USING (label, z, y, x) WHERE r.root<s.name)"
+    )
+
+
 CLICKS = "(SELECT roi_id AS click_id, z AS cz, y AS cy, x-5 AS cx FROM roi_vertices WHERE ord=1)"
 CORNERS = (
     "(VALUES ('z',-1,0,0,0),('z',-1,0,0,1),('z',-1,0,1,1),('z',-1,0,1,0),('z',1,1,0,0),('z',1,1,1,0),('z',1,1,1,1),('z',1,1,0,1),"
@@ -339,11 +369,8 @@ SQL: dict[str, str] = {
     ),
     "latest_edits": "SELECT layer_name, seq, place FROM (SELECT layer_name, seq, row_number() OVER (PARTITION BY layer_name ORDER BY seq DESC) AS place FROM curation_log) WHERE place<=20",
     "edit_audit": "SELECT operation, count(*) AS edits, count(DISTINCT label_id) AS labels, count(DISTINCT z_index) AS slices, max(ts) AS last_ts FROM curation_log GROUP BY operation",
-    "z_run_bbox": (
-        "SELECT vol_id, label, s AS start_z, min(z) AS lo_z, max(z) AS hi_z, min(y0) AS lo_y, max(y1) AS hi_y, min(x0) AS lo_x, max(x1) AS hi_x FROM ("
-        "SELECT *, sum(CASE WHEN z-p-1>1 THEN 1 ELSE 0 END) OVER (PARTITION BY vol_id, label ORDER BY z) AS island FROM (SELECT vol_id, label, z, min(z) OVER (PARTITION BY vol_id, label) AS s, lag(z) OVER (PARTITION BY vol_id, label ORDER BY z) AS p, y0, y1, x0, x1"
-        " FROM (SELECT vol_id, label, z, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM label_vox WHERE z%8 NOT IN (0,1) GROUP BY ALL))) WHERE island=0 GROUP BY vol_id, label, s"
-    ),
+    "z_run_bbox": _z_runs("label%7*1000+y*100+x", "true"),
+    "z_run_near_click": _z_runs("label", "z-s<=3"),
     "pair_files": "SELECT regexp_extract(i.path, 'vol_\\d+') AS stem, i.path AS image, l.path AS label FROM image_files i JOIN label_files l ON regexp_extract(i.path, 'vol_\\d+')=regexp_extract(l.path, 'vol_\\d+')",
     "common_stems": "SELECT regexp_extract(path, 'vol_\\d+') AS stem FROM image_files INTERSECT SELECT regexp_extract(path, 'vol_\\d+') FROM label_files",
     "training_records": "SELECT image_id, image, l.path AS label FROM (SELECT path AS image, row_number() OVER (ORDER BY path)-1 AS image_id FROM image_files) JOIN label_files l ON regexp_extract(image, 'vol_\\d+')=regexp_extract(l.path, 'vol_\\d+')",
@@ -409,12 +436,12 @@ SQL |= {
         " SELECT patch_id, z, query_id, min(root) AS \"group\" FROM reach GROUP BY ALL"
     ),
     "split_disconnected": (
-        _recursive(f"SELECT label, z, y, x, {NAME} FROM label_vox WHERE y%9<>4", "s.label=r.label", NEAR_SOLID)
+        _solid("label%7+1")
         + ", found AS (SELECT label, z, y, x, min(root) AS component FROM reach GROUP BY ALL), pieces AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY component) AS n FROM (SELECT DISTINCT label, component FROM found)),"
         " more AS (SELECT label, component, row_number() OVER (ORDER BY label, component)+(SELECT max(label) FROM found) AS fresh FROM pieces WHERE n>1) SELECT 'v0' AS vol_id, z, y, x, coalesce(fresh, label) AS label FROM found LEFT JOIN more USING (label, component)"
     ),
     "clicked_component": (
-        _recursive(f"SELECT label, z, y, x, {NAME} FROM label_vox WHERE y%9<>4", "s.label=r.label", NEAR_SOLID)
+        _solid("label%7+1")
         + ", found AS (SELECT label, z, y, x, min(root) AS component FROM reach GROUP BY ALL), hit AS (SELECT click_id, label, component FROM found JOIN " + CLICKS + " c ON c.cz=z AND c.cy=y AND c.cx=x),"
         " large AS (SELECT label, component FROM found GROUP BY ALL HAVING count(*)>=20) SELECT 'v0' AS vol_id, click_id, z, y, x, label FROM found JOIN hit USING (label, component) JOIN large USING (label, component)"
     ),
@@ -444,10 +471,9 @@ SQL |= {
     ),
     "coarse_patches": f"SELECT vol_id AS patch_name, z, y, x, {r('avg((value-mn)/(mx-mn+1e-8)) OVER (PARTITION BY z, y//3, x//3)', 'norm')} FROM raw_vox, norms",
     "log_notes": "SELECT seq, format('{} label={}; z={}; voxels {} -> {}', operation, label_id, z_index, seq%100, seq%70) AS line FROM curation_log",
-    "active_edits": (
-        "SELECT seq, layer_name, operation FROM (SELECT *, min(depth) OVER (PARTITION BY layer_name ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM (SELECT *, total-least(min(total) OVER (PARTITION BY layer_name ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS depth FROM ("
-        "SELECT *, sum(CASE WHEN operation='delete all Z' THEN -1 ELSE 1 END) OVER (PARTITION BY layer_name ORDER BY seq ROWS UNBOUNDED PRECEDING) AS total FROM curation_log))) WHERE operation<>'delete all Z' AND (later IS NULL OR later>=depth)"
-    ),
+    "active_edits": f"SELECT seq, layer_name, operation FROM ({_undone(20, 'seq%5=4')})",
+    "shallow_undo": f"SELECT seq, layer_name, operation FROM ({_undone(3, 'seq%5>2')})",
+    "undo_stream": f"SELECT seq, layer_name FROM ({_undone(3, 'seq%5>2')})",
     "anomaly_from_scores": (
         f"SELECT vol_id, label, {r('s', 'anomaly_score')}, s>=cut AS is_anomaly, CASE WHEN why='' THEN 'none' ELSE why END AS anomaly_reason FROM (SELECT *, quantile_cont(s, 0.98) OVER () AS cut FROM (SELECT vol_id, label, (" + "+".join(f"least(greatest((c{k}-p{k}[1])/(p{k}[2]-p{k}[1]+1e-12),0),1)" for k in range(6))
         + "+(label%101)/100.0::DOUBLE+(label%89)/88.0::DOUBLE)/8 AS s, concat_ws(';', CASE WHEN zv>3 THEN 'large_volume' END, CASE WHEN zv<-3 THEN 'small_volume' END, CASE WHEN zs<-3 THEN 'low_sphericity' END, CASE WHEN ze>3 THEN 'high_elongation' END,"

@@ -421,15 +421,20 @@ def clean_instances(vox, raw):
     return segment.clean_instances(vox, raw, 10, 30)
 
 
+def _few_labels(vox):
+    """All voxels under seven labels, so that each label is in many pieces."""
+    return vox.withColumn("label", F.col("label") % 7 + 1)
+
+
 @query
 def split_disconnected(vox):
-    return components.split_disconnected(vox.where("y % 9 <> 4"))
+    return components.split_disconnected(_few_labels(vox))
 
 
 @query
 def clicked_component(vox, rois):
     clicks = rois.where("ord = 1").selectExpr("vol_id", "roi_id AS click_id", "z", "y", "x - 5 AS x")
-    return components.clicked_component(vox.where("y % 9 <> 4"), clicks)
+    return components.clicked_component(_few_labels(vox), clicks)
 
 
 @query
@@ -541,9 +546,15 @@ def edit_audit(log):
 
 @query
 def z_run_bbox(vox):
-    holes = vox.where("z % 8 not in (0, 1)")
-    starts = holes.groupBy("vol_id", "label").agg(F.min("z").alias("start_z"))
-    return edits.z_run_bbox(holes, starts)
+    thin = vox.withColumn("label", F.col("label") % 7 * 1000 + F.col("y") * 100 + F.col("x"))  # columns of voxels, with gaps along z
+    starts = thin.groupBy("vol_id", "label").agg(F.min("z").alias("start_z"))
+    return edits.z_run_bbox(thin, starts)
+
+
+@query
+def z_run_near_click(vox):
+    starts = vox.groupBy("vol_id", "label").agg(F.min("z").alias("start_z"))
+    return edits.z_run_bbox(vox, starts, reach=3)
 
 
 # --- sources and streams -----------------------------------------------------------------------
@@ -770,10 +781,28 @@ def log_notes(log):
     return log.select("seq", log_note(F.col("operation"), F.col("label_id"), F.col("z_index"), F.col("seq") % 100, F.col("seq") % 70).alias("line"))
 
 
+def _with_undo(log, every: str):
+    """A log in which some of the entries are undos."""
+    return log.withColumn("operation", F.when(F.expr(every), "undo").otherwise(F.col("operation")))
+
+
 @query
 def active_edits(log):
-    with_undo = log.withColumn("operation", F.when(F.col("operation") == "delete all Z", "undo").otherwise(F.col("operation")))
-    return edits.active_edits(with_undo).select("seq", "layer_name", "operation")
+    return edits.active_edits(_with_undo(log, "operation = 'delete all Z'")).select("seq", "layer_name", "operation")
+
+
+@query
+def shallow_undo(log):
+    """Edits that stay where a layer remembers three of them and two fifths of the entries are undos."""
+    return edits.active_edits(_with_undo(log, "seq % 5 > 2"), depth=3).select("seq", "layer_name", "operation")
+
+
+@query
+def undo_stream(spark, log):
+    """The same, from keyed state."""
+    entries = _with_undo(log, "seq % 5 > 2").select("layer_name", "seq", "operation").orderBy("seq").coalesce(1)
+    found = streams.replayed(spark, entries, lambda s: streams.undo_stream(s, depth=3), "update", ("layer_name", "seq"), streams.ROCKSDB)
+    return found.where("active").select("seq", "layer_name")
 
 
 # --- whole tasks ---------------------------------------------------------------------------------
