@@ -389,6 +389,11 @@ SQL |= {
     "npy_slices": "SELECT vol_id||'/'||z AS path, y, x, value::DOUBLE AS value FROM raw_vox",
     "volume_store": "SELECT * FROM label_vox WHERE z>=2 AND z<7",
     "chunked_store": "SELECT * FROM label_vox",
+    "chunked_box": "SELECT * FROM label_vox WHERE z>=1 AND z<6 AND y>=10 AND y<40 AND x>=3 AND x<30",
+    "npy_volume": "SELECT z, y, x, value::DOUBLE AS value FROM raw_vox",
+    "time_series": "SELECT t, z, y, x, (value+1000*t)::DOUBLE AS value FROM raw_vox, (SELECT unnest([1,2])::BIGINT AS t) WHERE z BETWEEN 1 AND 3",
+    "mapped_features": f"SELECT vol_id, label, 'volume_um3' AS feature, {r('volume', 'value')} FROM basic UNION ALL SELECT vol_id, label, 'equivalent_diameter_um', {r('pow(6*volume/pi(), 1.0/3)', 'value')} FROM basic",
+    "rolled_frames": "SELECT t, z, (y+2*t)%ny AS y, (x+2*t)%nx AS x, label FROM label_vox JOIN volumes USING (vol_id), (SELECT unnest([0,1,2])::BIGINT AS t)",
     "validated_voxels": "SELECT * FROM label_vox",
     "empty_label": f"SELECT vol_id, nz, ny, nx, {r('vz', 'vz')}, {r('vy', 'vy')}, {r('vx', 'vx')}, 1::BIGINT AS next_label_id, 0::BIGINT AS voxels FROM volumes",
     "task_csv": f"SELECT vol_id, label AS label_id, {r('volume', 'volume_um3')} FROM basic",
@@ -466,8 +471,8 @@ SQL |= {
     "grown_boxes": "SELECT vol_id, label, " + ", ".join(f"least(greatest(floor(({a}0+{a}1+1-g{a})/2.0), 0), n{a}-g{a})::BIGINT AS lo_{a}, least(greatest(floor(({a}0+{a}1+1-g{a})/2.0), 0), n{a}-g{a})::BIGINT+g{a} AS hi_{a}" for a in "zyx") + " FROM (SELECT *, " + ", ".join(f"least(greatest(({a}1+1-{a}0)*2, 5), n{a})::BIGINT AS g{a}" for a in "zyx") + " FROM basic)",
     "united_boxes": "SELECT vol_id, label%7 AS \"group\", " + ", ".join(f"greatest(min({a}0)-2, 0) AS lo_{a}, least(max({a}1)+1+2, any_value(n{a})) AS hi_{a}" for a in "zyx") + " FROM basic GROUP BY ALL",
     "bright_display": (
-        f"SELECT vol_id, z, y, x, {r('pow(least(greatest((value-lo)/(CASE WHEN hi>lo THEN hi ELSE lo+1 END-lo),0),1), 0.75)', 'display')} FROM raw_vox, (SELECT CASE WHEN q[2]>q[1] THEN q[1] ELSE mn END AS lo, CASE WHEN q[2]>q[1] THEN q[2] ELSE mx END AS hi FROM ("
-        "SELECT quantile_cont(value,[0.002,0.998]) AS q, min(value) AS mn, max(value) AS mx FROM raw_vox JOIN volumes USING (vol_id) WHERE z IN (0, nz//2, nz-1)))"
+        f"SELECT vol_id, z, y, x, {r('pow(least(greatest((value-lo)/(CASE WHEN hi>lo THEN hi ELSE lo+1 END-lo),0),1), 0.75)', 'display')} FROM seen, (SELECT CASE WHEN q[2]>q[1] THEN q[1] ELSE mn END AS lo, CASE WHEN q[2]>q[1] THEN q[2] ELSE mx END AS hi FROM ("
+        "SELECT quantile_cont(value,[0.002,0.998]) AS q, min(value) AS mn, max(value) AS mx FROM seen WHERE z IN (0, nz//2, nz-1)))"
     ),
     "coarse_patches": f"SELECT vol_id AS patch_name, z, y, x, {r('avg((value-mn)/(mx-mn+1e-8)) OVER (PARTITION BY z, y//3, x//3)', 'norm')} FROM raw_vox, norms",
     "log_notes": "SELECT seq, format('{} label={}; z={}; voxels {} -> {}', operation, label_id, z_index, seq%100, seq%70) AS line FROM curation_log",
@@ -487,10 +492,11 @@ SQL |= {
         + ", found AS (SELECT label, z, y, x, min(root) AS component FROM reach GROUP BY ALL), kept AS (SELECT * FROM found SEMI JOIN (SELECT label, z, component FROM found GROUP BY ALL HAVING count(*)>=4) USING (label, z, component)),"
         " good AS (SELECT label FROM kept JOIN raw_vox USING (z,y,x) GROUP BY label HAVING count(*)>=30 AND avg(value)>=120), final AS (SELECT z, y, x, dense_rank() OVER (ORDER BY label) AS label FROM kept SEMI JOIN good USING (label)),"
         f" small AS (SELECT tz AS z, ty AS y, tx AS x, label FROM final JOIN {_resized('z', 'nz', 'nz')} USING (z) JOIN {_resized('y', 'ny', '(ny//2)')} USING (y) JOIN {_resized('x', 'nx', '(nx//2)')} USING (x))"
-        f" SELECT 'v0' AS vol_id, z, y, x, {r('confidence', 'confidence')}, coalesce(label, 0) AS label FROM (SELECT tz AS z, ty AS y, tx AS x, sum(confidence*wz*wy*wx) AS confidence FROM painted SEMI JOIN final USING (z,y,x) JOIN {_linear('z', 'nz', 'nz')} USING (z) JOIN {_linear('y', 'ny', '(ny//2)')} USING (y) JOIN {_linear('x', 'nx', '(nx//2)')} USING (x) WHERE wz>0 AND wy>0 AND wx>0 GROUP BY ALL) LEFT JOIN small USING (z,y,x)"
+        f" SELECT 'v0' AS vol_id, z, y, x, {r('confidence+1e-9', 'confidence')}, coalesce(label, 0) AS label FROM (SELECT tz AS z, ty AS y, tx AS x, sum(confidence*wz*wy*wx) AS confidence FROM painted SEMI JOIN final USING (z,y,x) JOIN {_linear('z', 'nz', 'nz')} USING (z) JOIN {_linear('y', 'ny', '(ny//2)')} USING (y) JOIN {_linear('x', 'nx', '(nx//2)')} USING (x) WHERE wz>0 AND wy>0 AND wx>0 GROUP BY ALL) LEFT JOIN small USING (z,y,x)"
     ),
 }
 SQL["isolation_forest_points"] = f"WITH RECURSIVE SELECT vol_id, label, {r('least(greatest((raw-p[1])/(p[2]-p[1]+1e-12),0),1)', 'isolation_forest_score')} FROM forest JOIN (SELECT vol_id, quantile_cont(raw,[0.01,0.99]) AS p FROM forest GROUP BY vol_id) USING (vol_id)"
+SQL["chunked_clicks"] = SQL["crop_centered"]
 SQL["intensity_task"] = f"SELECT * FROM ({SQL['cell_basic']}) JOIN ({SQL['cell_intensity']}) USING (vol_id, label)"
 
 def _matrix(features: dict[str, str], source: str) -> str:
@@ -550,6 +556,7 @@ MORE = {
     "lof_scores": (
         "far AS (SELECT vol_id, label, max(d) AS kd FROM near_points WHERE rk<=20 GROUP BY ALL), lrd AS (SELECT e.vol_id, e.label, 1/(avg(greatest(e.d, f.kd))+1e-10) AS lrd FROM near_points e JOIN far f ON f.vol_id=e.vol_id AND f.label=e.other WHERE e.rk<=20 GROUP BY e.vol_id, e.label)"
     ),
+    "bright_display": "seen AS MATERIALIZED (SELECT r.*, nz FROM raw_vox r JOIN volumes USING (vol_id))",
     "replace_cell": "m AS (SELECT p.* FROM roi_pixels p ANTI JOIN (SELECT * FROM label_vox WHERE label<>52) o USING (vol_id,z,y,x) WHERE p.z<10 AND p.y<40 AND p.x<40)",
 }
 

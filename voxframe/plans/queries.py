@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import log_note
 from ..functions.scratch import new_path
 from ..operators import augment, cell, components, edits, geometry, learn, patches, segment, spatial, voxel
+from ..sources import chunks, npy
 from ..sources import fixtures as fx
 from ..sources import volumes as io
 from ..streaming import streams
@@ -625,11 +626,62 @@ def volume_store(spark, vox):
     return io.read_volume(spark, path, z=(2, 7)).select("vol_id", "z", "y", "x", "label")
 
 
+def _chunks(spark, rows):
+    path = new_path(spark, "chunks")
+    chunks.write_chunks(rows, path, (4, 16, 16), 20_000)
+    return path
+
+
 @query
 def chunked_store(spark, vox):
-    path = new_path(spark, "chunks")
-    io.write_chunked_store(vox, path, 32)
-    return spark.read.parquet(path).select("vol_id", "z", "y", "x", "label")
+    return spark.read.parquet(f"{_chunks(spark, vox)}/voxels").select("vol_id", "z", "y", "x", "label")
+
+
+@query
+def chunked_box(spark, vox, vol):
+    """A box from the chunks that it meets."""
+    return chunks.read_box(spark, _chunks(spark, vox), fx.VOL, (1, 10, 3), (6, 40, 30)).select("vol_id", "z", "y", "x", "label")
+
+
+@query
+def chunked_clicks(spark, raw, vol, rois):
+    """Patches around clicks from the chunks that they meet."""
+    clicks = rois.where("ord = 1").selectExpr("vol_id", "roi_id AS click_id", "z AS cz", "y AS cy", "x - 5 AS cx")
+    return chunks.crop_clicks(spark, _chunks(spark, raw), vol, clicks, (8, 16, 16))
+
+
+@query
+def npy_volume(spark, raw, vol):
+    """A volume as .npy files of eight slices, read again in slabs."""
+    path = new_path(spark, "npy")
+    npy.write_npy(raw, vol, path, slices=8).collect()
+    found = npy.read_npy(spark, f"{path}/{fx.VOL}", slab=40_000)
+    return found.select((F.col("t") * 8 + F.col("z")).alias("z"), "y", "x", "value")
+
+
+@query
+def time_series(spark, raw, vol):
+    """Frames of a moving volume, the second and third of them."""
+    path = new_path(spark, "frames")
+    for frame in range(3):
+        moved = raw.withColumn("vol_id", F.lit(f"f{frame}")).withColumn("value", F.col("value") + 1000 * frame)
+        npy.write_npy(moved, vol.withColumn("vol_id", F.lit(f"f{frame}")), path, slices=1 << 20).collect()
+    return npy.read_npy(spark, path, z=(1, 4), t=(1, 3), recursive=True).select("t", "z", "y", "x", "value")
+
+
+@query
+def rolled_frames(vox, vol):
+    """The volume in three frames that roll."""
+    shape = vol.select("nz", "ny", "nx").first()
+    return io.sample_time_series(vox, shape, 3).select(F.col("t").cast("long").alias("t"), "z", "y", "x", "label")
+
+
+@query
+def mapped_features(vox, vol):
+    """The features of a table that a map can show, one row for each cell and feature."""
+    cells = voxel.basic_features(vox, vol)
+    names = cell.map_features(cells, "core")
+    return cells.select("vol_id", "label", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names))).alias("f")).select("vol_id", "label", "f.*")
 
 
 @query
@@ -847,7 +899,8 @@ def morphometry_summary(vox, vol, raw):
 def finalized_labels(masks, vol, raw):
     rows = masks.where("prob > 0.5").groupBy("z", "y", "x").agg(F.min("query_id").alias("label"), F.max("prob").alias("confidence"))
     labels, confidence = tasks.finalize_segmentation(rows.withColumn("vol_id", F.lit(fx.VOL)), vol.selectExpr("*", "nz AS tz", "ny div 2 AS ty", "nx div 2 AS tx"), raw, 4, 30, None, 120, shape=True)
-    return confidence.withColumnRenamed("value", "confidence").join(labels, ["vol_id", "z", "y", "x"], "left").select("vol_id", "z", "y", "x", "confidence", F.coalesce("label", F.lit(0)).cast("long").alias("label"))
+    # a little more, so that no value lies halfway between two rounded ones
+    return confidence.select("vol_id", "z", "y", "x", (F.col("value") + 1e-9).alias("confidence")).join(labels, ["vol_id", "z", "y", "x"], "left").select("vol_id", "z", "y", "x", "confidence", F.coalesce("label", F.lit(0)).cast("long").alias("label"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

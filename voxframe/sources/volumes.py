@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .npy import read_npy
+
 VOXEL_ROWS = "path string, z long, y long, x long, value double"
 
 
@@ -52,16 +54,25 @@ def encode_npy(rows: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_time_series(spark: SparkSession, folder: str) -> DataFrame:
-    """All .npy files of a folder, in the order of their names, as frames t; (t, z, y, x, value)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder).select("path")
-    frames = files.withColumn("t", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))  # one row per file
-    return read_npy_stack(spark, folder).join(frames, "path").select("t", "z", "y", "x", "value")
+    """All .npy files of a folder, in the order of their names, as frames t; (t, z, y, x, value). An empty folder has no rows."""
+    return read_npy(spark, folder).select("t", "z", "y", "x", "value")
+
 
+def read_volume(spark: SparkSession, path: str, z: tuple[int, int] | None = None, volumes: DataFrame | None = None) -> DataFrame:
+    """S3: a voxel table from Parquet, or from .npy by the suffix; slices can be chosen, and others are not read.
 
-def read_volume(spark: SparkSession, path: str, z: tuple[int, int] | None = None) -> DataFrame:
-    """S3: a voxel table from Parquet, or from .npy by the suffix; slices can be chosen, which Parquet prunes."""
-    rows = read_npy_stack(spark, path).withColumnRenamed("path", "vol_id") if path.endswith(".npy") else spark.read.parquet(path)
-    return rows if z is None else rows.where((F.col("z") >= z[0]) & (F.col("z") < z[1]))
+    With ``volumes`` (vol_id, nz, ny, nx), a voxel outside its volume, or of none, is an error; the voxels are looked through once for that.
+    """
+    if path.endswith(".npy"):
+        return read_npy(spark, path, z).drop("t").withColumnRenamed("path", "vol_id")
+    rows = spark.read.parquet(path)
+    rows = rows if z is None else rows.where((F.col("z") >= z[0]) & (F.col("z") < z[1]))
+    if volumes is not None:
+        at = rows.join(volumes.select("vol_id", "nz", "ny", "nx"), "vol_id", "left")
+        bad = at.where(" OR ".join(f"n{a} IS NULL OR {a} IS NULL OR {a} < 0 OR {a} >= n{a}" for a in "zyx")).limit(1).collect()
+        if bad:
+            raise ValueError(f"a voxel lies outside its volume: {bad[0].asDict()}")
+    return rows
 
 
 def write_volume(rows: DataFrame, path: str, slices_per_chunk: int = 16) -> None:
@@ -69,11 +80,6 @@ def write_volume(rows: DataFrame, path: str, slices_per_chunk: int = 16) -> None
     rows.withColumn("z_chunk", F.expr(f"z div {slices_per_chunk}")).write.partitionBy("vol_id", "z_chunk").parquet(path)
 
 
-def write_chunked_store(rows: DataFrame, path: str, chunk: int = 512) -> None:
-    """Labels in an order in which a slice or a box reads few row groups."""
-    rows.repartitionByRange("vol_id", "z").sortWithinPartitions("vol_id", "z", F.expr(f"y div {chunk}"), F.expr(f"x div {chunk}")).write.partitionBy("vol_id").parquet(path)
-
-
 def empty_label(spark: SparkSession, volumes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A label volume without labels, and its metadata with 1 as the next label."""
     return spark.createDataFrame([], "vol_id string, z long, y long, x long, label long"), volumes.withColumn("next_label_id", F.lit(1).cast("long"))
