@@ -327,7 +327,9 @@ def test_mined_rules_match_brute_force(spark):
     host, path = url_rules.host_and_path(F.col("url"))
     name, verdict = url_rules.fixed_rule(host, path)
     t = d.select("page_id", url_rules.url_tokens(F.col("url"), host, path).alias("tokens"), verdict.alias("verdict"))
-    rules = url_rules.mine(t.where("verdict is not null"), 0.02, 0.8).collect()
+    # every token an item of its own: all rules there are, which the items of equal rows must stand for
+    apart = t.select(F.explode("tokens").alias("token")).distinct().select("token", F.col("token").alias("item"))
+    rules = url_rules.mine(t.where("verdict is not null").select("tokens", "verdict"), apart, 0.02, 0.8).collect()
     labelled = [r for r in t.collect() if r.verdict]
     for r in rules:
         have = [x for x in labelled if set(r.antecedent) <= set(x.tokens)]

@@ -145,3 +145,13 @@ def test_bytes_with_many_null_ids(spark, length):
         gone = {k + d for k in range(len(t) - length + 1) if first[t[k : k + length]] < order(i) for d in range(length)}
         want.append((order(i), len(t), len(gone)))
     assert got == sorted(want)
+
+
+def test_sixty_keys_that_come_together(spark):
+    keys = "&".join(f"key{k}=1" for k in range(60))
+    rows = [(k, f"http://a{k}.example.com/en/{'x' if k % 2 else 'y'}?{keys}") for k in range(40)] + [(100 + k, f"http://b{k}.com/p/{k}") for k in range(400)]
+    rows += [(1000, "http://c.net/other?key7=2&key9=2"), (1001, f"http://c.net/other?{keys}"), (1002, "http://c.net/other?nokey=1")]
+    got = {r.page_id: r for r in url_rules.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(got) == len(rows) and got[3].rule == "example.com/en/"
+    assert got[1000].verdict == got[1001].verdict == "block" and {"q=key7", "q=key9"} <= set(got[1000].mined) and len(got[1001].mined) >= 60
+    assert got[1002].verdict == "allow"

@@ -48,14 +48,28 @@ def fixed_rule(host, path, rules: Sequence[tuple[str, str, str]] = RULES):
     return name, verdict
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
-    """Rules (antecedent, block, confidence, support, key) from rows of (tokens, verdict).
+def token_items(labelled: DataFrame, min_support: float) -> DataFrame:
+    """(token, item): tokens that are in exactly the same rows are one item, named by the first of them; tokens of too little support are left out.
 
-    Every combination of enough support and confidence is a rule, however many tokens it has. A combination is in at least ``min_support`` of the rows, so their number is bounded by the rows' tokens
-    and not by the number of rows. ``key``, the antecedent's rarest token, is its posting in the index.
+    Which rows a token is in is told by two 64-bit sums of the rows' hashes and their number, added up without carry.
     """
-    items = labelled.select(F.concat(F.array(F.concat(F.lit("label="), "verdict")), "tokens").alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    sets = labelled.groupBy("tokens").agg(F.count(F.lit(1)).alias("rows"))
+    least = labelled.count() * min_support
+    each = sets.select(F.explode("tokens").alias("token"), "rows", *(F.xxhash64(F.lit(k), "tokens").alias(f"mark_{k}") for k in (1, 2)))
+    seen = each.groupBy("token").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("sets"), *(F.bit_xor(f"mark_{k}").alias(f"mark_{k}") for k in (1, 2))).where(F.col("rows") >= least)
+    same = Window.partitionBy("rows", "sets", "mark_1", "mark_2")  # a few thousand tokens: each is in so large a share of the rows
+    return seen.select("token", F.min("token").over(same).alias("item"))
+
+
+def mine(labelled: DataFrame, items: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
+    """Rules (antecedent, block, confidence, support, key) from rows of (tokens, verdict), over the items of ``token_items``.
+
+    Every combination of enough support and confidence is a rule, however many items it has. Tokens that always come together are one item, so they make one combination and not
+    one for each choice of them; the number of rules still grows with the combinations of items that come together often. ``key``, the antecedent's rarest item, is its posting in the index.
+    """
+    known = labelled.select("tokens").distinct().withColumn("token", F.explode("tokens")).join(items, "token").groupBy("tokens").agg(F.collect_set("item").alias("found"))
+    rows = labelled.join(known, "tokens", "left").select(F.concat(F.array(F.concat(F.lit("label="), "verdict")), F.coalesce("found", F.array().cast("array<string>"))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
     common = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rules = model.associationRules.where(F.col("consequent")[0].isin(ALLOW, BLOCK))
     rules = rules.select(F.array_sort("antecedent").alias("antecedent"), (F.col("consequent")[0] == BLOCK).alias("block"), "confidence", "support")
@@ -88,9 +102,15 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     sets = urls.where("verdict is null and size(tokens) > 0").select(F.array_sort("tokens").alias("tokens")).distinct()
     nothing = F.lit(None).cast("struct<confidence: double, support: double, n: int, allows: boolean, mined: array<string>>")
     if labelled.limit(1).count():
-        mined = stored(mine(labelled.select("tokens", "verdict"), min_support, min_confidence), "url-rules")
-        hits = sets.select("tokens", F.explode("tokens").alias("key")).join(mined, "key").where(F.size(F.array_except("antecedent", "tokens")) == 0)
-        rank = F.struct("confidence", "support", F.size("antecedent").alias("n"), (~F.col("block")).alias("allows"), F.col("antecedent").alias("mined"))
+        labelled = labelled.select("tokens", "verdict")
+        items = stored(token_items(labelled, min_support), "url-items")
+        mined = stored(mine(labelled, items, min_support, min_confidence), "url-rules")
+        # one of an item's tokens is enough, as each of them alone is in the same rows
+        own = sets.withColumn("token", F.explode("tokens")).join(items, "token").groupBy("tokens").agg(F.collect_set("item").alias("items"), F.collect_list(F.struct("item", "token")).alias("pairs"))
+        hits = own.withColumn("key", F.explode("items")).join(mined, "key").where(F.size(F.array_except("antecedent", "items")) == 0)
+        told = F.array_sort(F.transform(F.filter("pairs", lambda p: F.array_contains("antecedent", p["item"])), lambda p: p["token"]))
+        hits = hits.select("tokens", "confidence", "support", "block", told.alias("mined"))
+        rank = F.struct("confidence", "support", F.size("mined").alias("n"), (~F.col("block")).alias("allows"), "mined")
         best = hits.groupBy("tokens").agg(F.max(rank).alias("best"))
         # only URLs that no fixed rule decides look for a mined one
         open_ = urls.where("verdict is null").withColumn("tokens", F.array_sort("tokens")).join(best, "tokens", "left").select(*urls.columns, "best")
