@@ -14,6 +14,7 @@ SAMPLE = [
     "percentile_normalize", "voxel_argmax", "class_topk", "mask_costs", "merge_groups", "conflict_components", "match_instances", "slice_components", "split_disconnected", "clicked_component", "clean_instances", "finalized_labels", "resize_linear",
     "surface_faces", "mesh_store", "apply_edit_log", "active_edits", "rasterize_polygons", "smooth_polygons", "crop_centered", "select_clicked_query", "grown_boxes", "strided_voxels", "anomaly_from_scores", "lof_scores", "lof_on_features", "edit_rate", "edit_sessions",
     "online_confidence", "online_label_sizes", "npy_slices", "volume_store", "chunked_store", "run_parameters", "feature_map_store", "appended_log",
+    "isolation_forest_points", "shallow_undo", "undo_stream", "npy_volume", "time_series", "chunked_box", "chunked_clicks", "rolled_frames", "mapped_features", "z_run_bbox", "z_run_near_click", "bright_display", "knn_join_points",
 ]
 #: Queries that SQL cannot say, with the columns that they must have.
 ROWS_ONLY = {
