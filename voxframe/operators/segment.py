@@ -57,15 +57,35 @@ def masks(queries: DataFrame, threshold: float = 0.5) -> DataFrame:
     return queries.where(F.col("prob") > threshold)
 
 
+#: Columns of a row of pixels that one bucket of runs spans.
+SPAN = 64
+
+
+def row_runs(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, y, lo, hi): pixels of equal keys that follow each other in a row, each pixel once."""
+    line = Window.partitionBy(*keys, "y").orderBy("x")
+    island = pixels.select(*keys, "y", "x").distinct().withColumn("_i", F.col("x") - F.row_number().over(line))
+    return island.groupBy(*keys, "y", "_i").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).drop("_i")
+
+
+def run_overlap(left: DataFrame, right: DataFrame, on: Sequence[str], keys: Sequence[str], only: str = "true") -> DataFrame:
+    """(keys, overlap): pixels that runs of both sides have in common in rows with equal ``on``; runs meet in buckets of columns, and an overlap counts where it begins."""
+    cut = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / SPAN), F.floor(F.col(hi) / SPAN)))
+    mine = left.withColumn("_b", cut("lo", "hi"))
+    theirs = right.withColumnsRenamed({"lo": "_lo", "hi": "_hi"}).withColumn("_b", cut("_lo", "_hi"))
+    begin, end = F.greatest("lo", "_lo"), F.least("hi", "_hi")
+    met = mine.join(theirs, [*on, "y", "_b"]).where((begin <= end) & (F.floor(begin / SPAN) == F.col("_b")) & F.expr(only))
+    return met.groupBy(*keys).agg(F.sum(end - begin + 1).alias("overlap"))
+
+
 def mask_pair_overlap(queries: DataFrame, threshold: float = 0.5, min_overlap: int = 20) -> DataFrame:
-    """Pixels, share of the smaller mask (iom) and of the union (iou) that two queries' masks have in common in a slice."""
-    m = masks(queries, threshold).select(*PIXEL, "query_id")
-    areas = m.groupBy("patch_id", "z", "query_id").agg(F.count(F.lit(1)).alias("_area"))
-    right = m.withColumnRenamed("query_id", "query_b")
-    both = m.withColumnRenamed("query_id", "query_a").join(right, PIXEL).where("query_a < query_b")
-    both = both.groupBy("patch_id", "z", "query_a", "query_b").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= min_overlap)
-    for side in "ab":
-        both = both.join(areas.select("patch_id", "z", F.col("query_id").alias(f"query_{side}"), F.col("_area").alias(f"area_{side}")), ["patch_id", "z", f"query_{side}"])
+    """Pixels, share of the smaller mask (iom) and of the union (iou) that two queries' masks have in common in a slice. Runs of pixels meet, not pixels."""
+    runs = stored(row_runs(masks(queries, threshold), ["patch_id", "z", "query_id"]), "mask-runs")
+    areas = runs.groupBy("patch_id", "z", "query_id").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("_area"))
+    side = lambda s: runs.withColumnRenamed("query_id", f"query_{s}")
+    both = run_overlap(side("a"), side("b"), ["patch_id", "z"], ["patch_id", "z", "query_a", "query_b"], "query_a < query_b").where(F.col("overlap") >= min_overlap)
+    for s in "ab":
+        both = both.join(areas.select("patch_id", "z", F.col("query_id").alias(f"query_{s}"), F.col("_area").alias(f"area_{s}")), ["patch_id", "z", f"query_{s}"])
     i, a, b = F.col("overlap"), F.col("area_a"), F.col("area_b")
     return both.select("patch_id", "z", "query_a", "query_b", "overlap", (i / (F.least(a, b) + 1e-6)).alias("iom"), (i / (a + b - i + 1e-6)).alias("iou"))
 
@@ -88,15 +108,15 @@ def conflict_components(queries: DataFrame, threshold: float = 0.5, min_pixels:
 
 def adjacent_slice_iou(merged: DataFrame, queries: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(patch_id, z, component, group, query_id, iou): a merged slice against each of its queries' masks one slice above and below, the better of the two."""
-    m = masks(queries, threshold).select(*PIXEL, "query_id")
-    area = merged.groupBy(*GROUP).agg(F.countDistinct("y", "x").alias("_a"))
+    m = stored(row_runs(masks(queries, threshold), ["patch_id", "z", "query_id"]), "mask-runs")
+    own = stored(row_runs(merged, GROUP), "merged-runs")
+    area = own.groupBy(*GROUP).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("_a"))
     members = merged.select(*GROUP, "query_id").distinct()
-    pixels = merged.select(*GROUP, "y", "x").distinct()
     out = None
     for d in (-1, 1):
         there = m.withColumn("z", F.col("z") - d)
-        size = there.groupBy("patch_id", "z", "query_id").agg(F.count(F.lit(1)).alias("_b"))
-        hit = pixels.join(there, PIXEL).groupBy(*GROUP, "query_id").agg(F.count(F.lit(1)).alias("_i"))
+        size = there.groupBy("patch_id", "z", "query_id").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("_b"))
+        hit = run_overlap(own, there, ["patch_id", "z"], [*GROUP, "query_id"]).withColumnRenamed("overlap", "_i")
         one = members.join(size, ["patch_id", "z", "query_id"], "left").join(hit, [*GROUP, "query_id"], "left").join(area, GROUP)
         i = F.coalesce("_i", F.lit(0))
         one = one.select(*GROUP, "query_id", (i / (F.col("_a") + F.coalesce("_b", F.lit(0)) - i + 1e-6)).alias("iou"))
