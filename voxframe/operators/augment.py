@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import merge_join
 from ..functions.scratch import stored
 
 
@@ -77,7 +78,7 @@ def coarse_xy(rows: DataFrame, factor: int = 2) -> DataFrame:
     block = ["patch_name", "z", F.floor(F.col("y") / factor).alias("_by"), F.floor(F.col("x") / factor).alias("_bx")]
     means = rows.groupBy(*block).agg(F.avg("norm").alias("_mean"))
     keyed = rows.withColumns({"_by": F.floor(F.col("y") / factor), "_bx": F.floor(F.col("x") / factor)})
-    return keyed.join(means, ["patch_name", "z", "_by", "_bx"]).withColumn("norm", F.col("_mean")).select(*rows.columns)
+    return merge_join(keyed, means, ["patch_name", "z", "_by", "_bx"]).withColumn("norm", F.col("_mean")).select(*rows.columns)
 
 
 def degrade(rows: DataFrame, seed: int = 0, share: float = 0.5) -> DataFrame:
@@ -100,5 +101,5 @@ def random_scale(rows: DataFrame, size: tuple[int, int, int], seed: int = 0, low
         if value != "label":
             source = F.least(F.greatest(source, F.lit(0)), F.lit(n - 1))
         grid = grid.withColumn(a, source)
-    out = grid.join(rows, ["patch_name", "z", "y", "x"])
+    out = merge_join(grid, rows, ["patch_name", "z", "y", "x"])
     return out.select("patch_name", "z", F.col("_to_y").alias("y"), F.col("_to_x").alias("x"), value)

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import merge_join
 from ..functions.scratch import Tables, stored
 
 #: Slices, rows and columns of the blocks in which components are found at first.
@@ -31,9 +32,9 @@ def graph_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(links.select("lo", "hi"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = work.keep(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct(), "large")
+        large = work.keep(merge_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct(), "large")
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(down, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(down.select("hi", "m")).where("hi <> lo").distinct()
+        small = merge_join(large, down, ["hi"]).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(down.select("hi", "m")).where("hi <> lo").distinct()
         small = work.keep(small, str(turn + 1))
         work.drop("large", str(turn))
         links, turn = small, turn + 1
@@ -119,12 +120,12 @@ def voxel_components(voxels: DataFrame, keys: Sequence[str], steps: Sequence[tup
     for a, n in zip("zyx", shape):
         beyond = beyond | (F.floor(F.col(a) / n) != F.floor(F.col(f"_t{a}") / n))
     from_ = from_.where(beyond).select(*same, *(F.col(f"_t{a}").alias(a) for a in "zyx"), "_a")
-    meet = from_.join(faces.select(*same, *"zyx", F.col("_local").alias("_c")), [*same, *"zyx"])
+    meet = merge_join(from_, faces.select(*same, *"zyx", F.col("_local").alias("_c")), [*same, *"zyx"])
     node = lambda c: F.struct(*same, F.col(c).alias("run"))
     links = meet.select(node("_a").alias("a"), node("_c").alias("b")).distinct()
     names = graph_components(links)
     label = names.select("id.*", F.col("component.run").alias("component")).withColumnRenamed("run", "_local")
-    return found.join(label, [*same, "_local"], "left").select(*keys, *extra, F.coalesce("component", "_local").alias("component"))
+    return merge_join(found, label, [*same, "_local"], "left").select(*keys, *extra, F.coalesce("component", "_local").alias("component"))
 
 
 def slice_components(voxels: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def drop_small_slices(voxels: DataFrame, min_area: int) -> DataFrame:
     """G1: the voxels whose component in their slice has at least ``min_area`` pixels."""
     found = slice_components(voxels)
     sizes = found.groupBy("vol_id", "label", "z", "component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_area)
-    return found.join(sizes, ["vol_id", "label", "z", "component"], "left_semi").select("vol_id", "z", "y", "x", "label")
+    return merge_join(found, sizes, ["vol_id", "label", "z", "component"], "left_semi").select("vol_id", "z", "y", "x", "label")
 
 
 def solid_components(voxels: DataFrame, keys: Sequence[str] = ("vol_id", "label")) -> DataFrame:
@@ -154,7 +155,7 @@ def split_disconnected(voxels: DataFrame) -> DataFrame:
     more = pieces.where("_n > 1").withColumn("_k", F.row_number().over(Window.partitionBy("vol_id").orderBy("label", "component")))
     top = voxels.groupBy("vol_id").agg(F.max("label").alias("_top"))
     named = more.join(top, "vol_id").select("vol_id", "label", "component", (F.col("_top") + F.col("_k")).alias("_new"))
-    out = found.join(named, ["vol_id", "label", "component"], "left")
+    out = merge_join(found, named, ["vol_id", "label", "component"], "left")
     return out.select("vol_id", "z", "y", "x", F.coalesce("_new", "label").alias("label"))
 
 
@@ -172,7 +173,7 @@ def contact_continuity(contacts: DataFrame, keys: Sequence[str]) -> DataFrame:
 def clicked_component(voxels: DataFrame, clicks: DataFrame, min_voxels: int = 20) -> DataFrame:
     """The voxels of the piece that each click (vol_id, click_id, z, y, x) lies in; clicks outside, or in too small a piece, have none."""
     found = stored(solid_components(voxels), "pieces")
-    hit = clicks.join(found, ["vol_id", "z", "y", "x"]).select("vol_id", "click_id", "label", "component")
-    out = hit.join(found, ["vol_id", "label", "component"])
+    hit = merge_join(clicks, found, ["vol_id", "z", "y", "x"]).select("vol_id", "click_id", "label", "component")
+    out = merge_join(hit, found, ["vol_id", "label", "component"])
     large = out.groupBy("vol_id", "click_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_voxels)
     return out.join(large, ["vol_id", "click_id"], "left_semi").select("vol_id", "click_id", "z", "y", "x", "label")

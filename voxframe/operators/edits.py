@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import merge_join
 from .voxel import VOXEL
 
 
@@ -86,7 +87,7 @@ def edit_delta(before: DataFrame, after: DataFrame) -> DataFrame:
 def apply_edit_log(voxels: DataFrame, edits: DataFrame) -> DataFrame:
     """Edits (vol_id, seq, z, y, x, label) replayed: the last one of a voxel counts, label 0 clears it."""
     last = edits.groupBy(*VOXEL).agg(F.max_by("label", "seq").alias("label"))
-    return voxels.select(*VOXEL, "label").join(last.select(*VOXEL), VOXEL, "left_anti").unionByName(last.where("label > 0"))
+    return merge_join(voxels.select(*VOXEL, "label"), last.select(*VOXEL), VOXEL, "left_anti").unionByName(last.where("label > 0"))
 
 
 #: Edits that undo can take back.

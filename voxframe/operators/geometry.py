@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import merge_join
 from .voxel import VOXEL
 
 
@@ -83,7 +84,7 @@ def surface_faces(voxels: DataFrame, z_ratio: float = 1.0) -> tuple[DataFrame, D
     vertices = points.withColumn("vertex", (F.row_number().over(Window.partitionBy("vol_id", "label").orderBy("p.z", "p.y", "p.x")) - 1).cast("long"))
     triangles = quads.withColumn("_t", F.explode(F.array(F.array(F.lit(0), F.lit(1), F.lit(2)), F.array(F.lit(0), F.lit(2), F.lit(3)))))
     for i, name in enumerate("abc"):
-        triangles = triangles.withColumn("p", F.col("q")[F.col("_t")[i]]).join(vertices.withColumnRenamed("vertex", name), ["vol_id", "label", "p"]).drop("p")
+        triangles = merge_join(triangles.withColumn("p", F.col("q")[F.col("_t")[i]]), vertices.withColumnRenamed("vertex", name), ["vol_id", "label", "p"]).drop("p")
     where = vertices.select("vol_id", "label", "vertex", F.col("p.x").cast("double").alias("X"), F.col("p.y").cast("double").alias("Y"), (F.col("p.z") * z_ratio).alias("Z"))
     return where, triangles.select("vol_id", "label", "a", "b", "c")
 

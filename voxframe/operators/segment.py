@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import merge_join
 from ..functions.scratch import stored
 from .components import contact_continuity, drop_small_slices, graph_components, split_disconnected, voxel_components
 from .patches import voxels_in_patches
@@ -74,7 +75,7 @@ def run_overlap(left: DataFrame, right: DataFrame, on: Sequence[str], keys: Sequ
     mine = left.withColumn("_b", cut("lo", "hi"))
     theirs = right.withColumnsRenamed({"lo": "_lo", "hi": "_hi"}).withColumn("_b", cut("_lo", "_hi"))
     begin, end = F.greatest("lo", "_lo"), F.least("hi", "_hi")
-    met = mine.join(theirs, [*on, "y", "_b"]).where((begin <= end) & (F.floor(begin / SPAN) == F.col("_b")) & F.expr(only))
+    met = merge_join(mine, theirs, [*on, "y", "_b"]).where((begin <= end) & (F.floor(begin / SPAN) == F.col("_b")) & F.expr(only))
     return met.groupBy(*keys).agg(F.sum(end - begin + 1).alias("overlap"))
 
 
@@ -103,7 +104,7 @@ def conflict_components(queries: DataFrame, threshold: float = 0.5, min_pixels:
     claimed = masks(queries, threshold).groupBy(*PIXEL).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("slice", F.col("z"))
     found = voxel_components(claimed, ["patch_id", "slice"], [(0, 1)]).drop("slice")
     large = found.groupBy("patch_id", "z", "component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pixels)
-    return found.join(large, ["patch_id", "z", "component"], "left_semi")
+    return merge_join(found, large, ["patch_id", "z", "component"], "left_semi")
 
 
 def adjacent_slice_iou(merged: DataFrame, queries: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -132,15 +133,15 @@ def resolve_conflicts(queries: DataFrame, threshold: float = 0.5, min_pixels: in
     """
     m = masks(queries, threshold)
     conflicts = conflict_components(queries, threshold, min_pixels)
-    part = m.join(conflicts, PIXEL).select("patch_id", "z", "component", "query_id").distinct()
+    part = merge_join(m, conflicts, PIXEL).select("patch_id", "z", "component", "query_id").distinct()
     pairs = mask_pair_overlap(queries, threshold, min_pixels)
     for side in ("query_a", "query_b"):
         pairs = pairs.join(part.withColumnRenamed("query_id", side), ["patch_id", "z", *(["component"] if "component" in pairs.columns else []), side])
     groups = merge_groups(pairs, iom, iou, ("patch_id", "z", "component"))
-    merged = m.join(groups, ["patch_id", "z", "query_id"]).select(*PIXEL, "component", "group", "query_id", "score", "prob")
+    merged = merge_join(m, groups, ["patch_id", "z", "query_id"]).select(*PIXEL, "component", "group", "query_id", "score", "prob")
     merged = stored(merged, "merged")
     large = merged.groupBy(*GROUP).agg(F.countDistinct("y", "x").alias("_n")).where(F.col("_n") >= min_voxels)
-    merged = merged.join(large, GROUP, "left_semi")
+    merged = merge_join(merged, large, GROUP, "left_semi")
     like = adjacent_slice_iou(merged, queries, threshold)
     score = merged.select("patch_id", "query_id", "score").distinct()
     score = score.withColumn("final_score", F.col("score")) if scores is None else score.join(scores.select(*QUERY, "final_score"), QUERY)
@@ -148,11 +149,12 @@ def resolve_conflicts(queries: DataFrame, threshold: float = 0.5, min_pixels: in
     owner = like.join(score, QUERY).groupBy(*GROUP).agg(F.max_by(F.struct("query_id", "score"), rank).alias("o"))
     members = merged.select(*GROUP, "query_id").distinct()
     # a query's own probability counts wherever it has one, also below the threshold
-    union = merged.select(*PIXEL, "component", "group").distinct().join(members, GROUP).join(queries.select(*PIXEL, "query_id", "prob"), [*PIXEL, "query_id"])
+    union = merge_join(merge_join(merged.select(*PIXEL, "component", "group").distinct(), members, GROUP), queries.select(*PIXEL, "query_id", "prob"), [*PIXEL, "query_id"])
     union = stored(union.select(*PIXEL, "component", "group", "query_id", "prob"), "unions")
-    won = union.groupBy(*PIXEL, "component", "group").agg(F.max("prob").alias("prob")).join(owner, GROUP)
+    won = merge_join(union.groupBy(*PIXEL, "component", "group").agg(F.max("prob").alias("prob")), owner, GROUP)
     won = won.groupBy("patch_id", F.col("o.query_id").alias("query_id"), F.col("o.score").alias("score"), "z", "y", "x").agg(F.max("prob").alias("prob"))
-    rest = queries.join(union.select(*PIXEL, "query_id").distinct(), [*PIXEL, "query_id"], "left_anti").join(won.select(*PIXEL, "query_id"), [*PIXEL, "query_id"], "left_anti")
+    rest = merge_join(queries, union.select(*PIXEL, "query_id").distinct(), [*PIXEL, "query_id"], "left_anti")
+    rest = merge_join(rest, won.select(*PIXEL, "query_id"), [*PIXEL, "query_id"], "left_anti")
     return rest.select("patch_id", "query_id", "score", "z", "y", "x", "prob").unionByName(won)
 
 
@@ -161,12 +163,12 @@ def voxel_argmax(queries: DataFrame, threshold: float = 0.5, min_voxels: int = 2
     instances of too few voxels go, the others are numbered from the best score down. ``scores`` are those of W6, if they are known."""
     best = topk_queries(queries, k, min_score, threshold) if scores is None else scores
     best = best.select(*QUERY, "final_score", F.col("rank").cast("long").alias("rank"))
-    q = queries.join(best, QUERY)
+    q = merge_join(queries, best, QUERY)
     won = q.groupBy(*PIXEL).agg(F.max_by(F.struct("query_id", "prob", "final_score", "rank"), F.struct((F.col("prob") * F.col("final_score")).alias("w"), (-F.col("rank")).alias("r"))).alias("w"))
     own = won.select(*PIXEL, "w.*").where(F.col("prob") > threshold)
     kept = own.groupBy("patch_id", "query_id", "rank").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_voxels)
     numbered = kept.select(*QUERY, F.row_number().over(Window.partitionBy("patch_id").orderBy("rank")).cast("long").alias("label"))
-    return own.join(numbered, QUERY).select(*PIXEL, "label", "query_id", F.col("final_score").alias("confidence"))
+    return merge_join(own, numbered, QUERY).select(*PIXEL, "label", "query_id", F.col("final_score").alias("confidence"))
 
 
 def drop_full_foreground(instances: DataFrame, patch_voxels: int, share: float = 0.98) -> DataFrame:
@@ -178,14 +180,14 @@ def drop_full_foreground(instances: DataFrame, patch_voxels: int, share: float =
 def postprocess_patch(queries: DataFrame, patch_voxels: int, threshold: float = 0.5, min_score: float = 0.5, k: int = 300, min_voxels: int = 20) -> DataFrame:
     """Best queries, conflicts resolved, one owner per voxel, full patches cleared."""
     best = stored(topk_queries(queries, k, min_score, threshold).select(*QUERY, "final_score", "rank"), "best")
-    chosen = stored(queries.join(best, QUERY, "left_semi"), "queries")
+    chosen = stored(merge_join(queries, best, QUERY, "left_semi"), "queries")
     return drop_full_foreground(voxel_argmax(resolve_conflicts(chosen, threshold, min_voxels=min_voxels, scores=best), threshold, min_voxels, min_score, k, best), patch_voxels)
 
 
 def overlap_matrix(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """Common voxels of each predicted and true label that touch, with both sizes."""
     sizes = lambda v, name: v.groupBy(*CELL).agg(F.count(F.lit(1)).alias(f"{name}_size")).withColumnRenamed("label", name)
-    both = pred.select(*VOXEL, F.col("label").alias("pred")).join(truth.select(*VOXEL, F.col("label").alias("truth")), VOXEL)
+    both = merge_join(pred.select(*VOXEL, F.col("label").alias("pred")), truth.select(*VOXEL, F.col("label").alias("truth")), VOXEL)
     both = both.groupBy("vol_id", "pred", "truth").agg(F.count(F.lit(1)).alias("overlap"))
     return both.join(sizes(pred, "pred"), ["vol_id", "pred"]).join(sizes(truth, "truth"), ["vol_id", "truth"])
 
@@ -206,7 +208,7 @@ def mask_cost_matrix(queries: DataFrame, truth: DataFrame, voxels: int, eps: flo
     q = queries.withColumns({"_pos": -F.log(p), "_neg": -F.log(1 - p)})
     mine = q.groupBy("vol_id", "query_id").agg(F.sum("prob").alias("_p"), F.sum("_neg").alias("_neg"), F.count(F.lit(1)).alias("_rows"))
     theirs = truth.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_t"))
-    common = q.join(truth.select(*VOXEL, "label"), VOXEL).groupBy("vol_id", "query_id", "label").agg(F.sum("prob").alias("_i"), F.sum(F.col("_pos") - F.col("_neg")).alias("_gain"), F.count(F.lit(1)).alias("_n"))
+    common = merge_join(q, truth.select(*VOXEL, "label"), VOXEL).groupBy("vol_id", "query_id", "label").agg(F.sum("prob").alias("_i"), F.sum(F.col("_pos") - F.col("_neg")).alias("_gain"), F.count(F.lit(1)).alias("_n"))
     out = mine.join(theirs, "vol_id").join(common, ["vol_id", "query_id", "label"], "left")
     i, gain, n = (F.coalesce(c, F.lit(0)) for c in ("_i", "_gain", "_n"))
     off_pos, off_neg = -float(np.log(eps)), -float(np.log(1 - eps))
@@ -230,12 +232,12 @@ def confidence_mean(instances: DataFrame, keys: Sequence[str] = ("z", "y", "x"))
 def filter_instances(voxels: DataFrame, raw: DataFrame | None = None, min_size: int = 0, max_size: int | None = None, min_intensity: float | None = None) -> DataFrame:
     """The labels with a size between the bounds and at least the mean intensity, numbered anew."""
     kept = filtered_labels(voxels, raw, min_size, max_size, min_intensity).where("kept")
-    return relabel_sequential(voxels.join(kept, CELL, "left_semi"))
+    return relabel_sequential(merge_join(voxels, kept, CELL, "left_semi"))
 
 
 def filtered_labels(voxels: DataFrame, raw: DataFrame | None = None, min_size: int = 0, max_size: int | None = None, min_intensity: float | None = None) -> DataFrame:
     """Each label's size and mean intensity, and whether the filter keeps it."""
-    rows = voxels if raw is None else voxels.join(raw, VOXEL, "left")
+    rows = voxels if raw is None else merge_join(voxels, raw, VOXEL, "left")
     out = rows.groupBy(*CELL).agg(F.count(F.lit(1)).alias("voxel_count"), *([F.avg("value").alias("mean_intensity")] if raw is not None else []))
     keep = F.col("voxel_count") >= min_size
     if max_size is not None:
@@ -285,7 +287,7 @@ def split_local(local: DataFrame) -> DataFrame:
     """G2, in each patch: separate pieces of an instance get labels of their own."""
     patch = F.concat_ws("/", "vol_id", F.col("patch_id").cast("string"))
     pieces = split_disconnected(local.select(patch.alias("vol_id"), "z", "y", "x", "label")).withColumnsRenamed({"vol_id": "_patch", "label": "_piece"})
-    return local.withColumn("_patch", patch).join(pieces, ["_patch", "z", "y", "x"]).withColumn("label", F.col("_piece")).drop("_patch", "_piece")
+    return merge_join(local.withColumn("_patch", patch), pieces, ["_patch", "z", "y", "x"]).withColumn("label", F.col("_piece")).drop("_patch", "_piece")
 
 
 def stitch_patches(local: DataFrame, patches: DataFrame, volumes: DataFrame, stride: Sequence[int], min_core: int = 64, min_iom: float = 0.2, min_largest: int = 10, min_ratio: float = 0.5) -> DataFrame:
@@ -302,7 +304,7 @@ def stitch_patches(local: DataFrame, patches: DataFrame, volumes: DataFrame, str
     rows = stored(split_local(local).join(bounds, ["vol_id", "patch_id"]).withColumn("core", F.expr(inside)), "stitch-rows")
     item = ["vol_id", "patch_id", "label"]
     sizes = rows.groupBy(*item).agg(F.sum(F.col("core").cast("long")).alias("core_size")).where(F.col("core_size") >= min_core)
-    rows = rows.join(sizes.select(*item), item, "left_semi")
+    rows = merge_join(rows, sizes.select(*item), item, "left_semi")
     # the boxes of the cores, as patches whose first layer along an axis is a face
     boxes = bounds.select("vol_id", "patch_id", *(F.col(f"lo_{a}").alias(f"{a}0") for a in "zyx"), *((F.col(f"hi_{a}") - F.col(f"lo_{a}")).alias(f"p{a}") for a in "zyx"))
     mine = theirs = None
@@ -319,14 +321,14 @@ def stitch_patches(local: DataFrame, patches: DataFrame, volumes: DataFrame, str
     theirs = stored(theirs, "stitch-below")
     place = ["vol_id", "patch_id", "face", "y", "x"]
     areas = stored(mine.groupBy(*item, "face").agg(F.count(F.lit(1)).alias("area_a")), "stitch-areas")
-    touching = stored(mine.join(theirs, place), "stitch-faces")
+    touching = stored(merge_join(mine, theirs, place), "stitch-faces")
 
     root = ["up_patch", "up_label"]
     tree = stored(sizes.select(*item, F.col("patch_id").alias("up_patch"), F.col("label").alias("up_label")), "stitch-tree")
     while True:
         up = tree.select("vol_id", F.col("patch_id").alias("from_patch"), F.col("label").alias("from_label"), *root)
-        below = theirs.join(up, ["vol_id", "from_patch", "from_label"]).groupBy("vol_id", "patch_id", "face", *root).agg(F.count(F.lit(1)).alias("area_b"))
-        contact = touching.join(up, ["vol_id", "from_patch", "from_label"]).select(*item, "face", *root, F.lit(0).cast("long").alias("z"), "y", "x")
+        below = merge_join(theirs, up, ["vol_id", "from_patch", "from_label"]).groupBy("vol_id", "patch_id", "face", *root).agg(F.count(F.lit(1)).alias("area_b"))
+        contact = merge_join(touching, up, ["vol_id", "from_patch", "from_label"]).select(*item, "face", *root, F.lit(0).cast("long").alias("z"), "y", "x")
         found = contact_continuity(contact, [*item, "face", *root]).join(areas, [*item, "face"]).join(below, ["vol_id", "patch_id", "face", *root])
         found = found.withColumn("iom", F.col("contact_total") / (F.least("area_a", "area_b") + 1e-6))
         found = found.where((F.col("iom") >= min_iom) & (F.col("contact_largest") >= min_largest) & (F.col("contact_ratio") >= min_ratio))
@@ -341,7 +343,7 @@ def stitch_patches(local: DataFrame, patches: DataFrame, volumes: DataFrame, str
             break
     roots = tree.select("vol_id", *root).distinct().withColumn("global_label", F.row_number().over(Window.partitionBy("vol_id").orderBy(*root)).cast("long"))
     named = tree.join(roots, ["vol_id", *root]).select(*item, "global_label")
-    out = rows.join(named, item)
+    out = merge_join(rows, named, item)
     return out.groupBy(*VOXEL).agg(F.max_by("global_label", "patch_id").alias("label"), F.avg("confidence").alias("confidence"))
 
 
