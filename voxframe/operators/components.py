@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import merge_join
@@ -94,10 +94,11 @@ def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def voxel_components(voxels: DataFrame, keys: Sequence[str], steps: Sequence[tuple[int, int]], reach: int = 0, shape: Sequence[int] = SHAPE) -> DataFrame:
+def voxel_components(voxels: DataFrame, keys: Sequence[str], steps: Sequence[tuple[int, int]], reach: int = 0, shape: Sequence[int] = SHAPE, apart: Sequence[Column | str] = ()) -> DataFrame:
     """(keys, z, y, x, component): components of the voxels with equal keys that touch along x, or at the given steps of (z, y) up to ``reach`` columns apart.
 
-    ``component`` is the name of its first voxel in z, y, x order. The first key tells volumes apart. Components are found inside blocks of ``shape`` first, a block in a task; only
+    ``component`` is the name of its first voxel in z, y, x order. The first key tells volumes apart, or else ``apart`` does, which must follow from the keys:
+    without it, all that lies at one place under different keys is in one block. Components are found inside blocks of ``shape`` first, a block in a task; only
     links over the faces of blocks make a graph for rounds of contraction.
     """
     keys, extra = list(keys), [c for c in "zyx" if c not in keys]
@@ -105,7 +106,8 @@ def voxel_components(voxels: DataFrame, keys: Sequence[str], steps: Sequence[tup
     cut = [F.floor(F.col(a) / n).alias(f"_b{a}") for a, n in zip("zyx", shape)]
     rows = voxels.select(*keys, *extra).distinct()
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", _local long"
-    found = stored(rows.groupBy(F.col(keys[0]).alias("_of"), *cut).applyInArrow(_local(keys, all_steps), schema), "block-components")
+    of = [(F.col(c) if isinstance(c, str) else c).alias(f"_of{i}") for i, c in enumerate(apart or keys[:1])]
+    found = stored(rows.groupBy(*of, *cut).applyInArrow(_local(keys, all_steps), schema), "block-components")
     # voxels at a face may touch others beyond it
     edge = F.lit(False)
     for a, n, far in zip("zyx", shape, (max((abs(s[0]) for s in all_steps), default=0), max(abs(s[1]) for s in all_steps), max(abs(s[2]) for s in all_steps))):
@@ -159,12 +161,12 @@ def split_disconnected(voxels: DataFrame) -> DataFrame:
     return out.select("vol_id", "z", "y", "x", F.coalesce("_new", "label").alias("label"))
 
 
-def contact_continuity(contacts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def contact_continuity(contacts: DataFrame, keys: Sequence[str], apart: Sequence[Column | str] = ()) -> DataFrame:
     """Contact pixels (keys, z, y, x) in all, in the largest part by eight neighbours of their plane, and the ratio of the two.
 
-    The plane's coordinates are expected in y and x.
+    The plane's coordinates are expected in y and x. ``apart``: as of ``voxel_components``.
     """
-    found = voxel_components(contacts, list(keys), [(0, 1)], reach=1)
+    found = voxel_components(contacts, list(keys), [(0, 1)], reach=1, apart=apart)
     parts = found.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_n"))
     out = parts.groupBy(*keys).agg(F.sum("_n").alias("contact_total"), F.max("_n").alias("contact_largest"))
     return out.withColumn("contact_ratio", F.col("contact_largest") / (F.col("contact_total") + 1e-6))

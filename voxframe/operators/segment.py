@@ -58,6 +58,8 @@ def masks(queries: DataFrame, threshold: float = 0.5) -> DataFrame:
     return queries.where(F.col("prob") > threshold)
 
 
+#: Patches whose contacts on a face are looked at together.
+FACES = 64
 #: Columns of a row of pixels that one bucket of runs spans.
 SPAN = 64
 
@@ -326,12 +328,13 @@ def stitch_patches(local: DataFrame, patches: DataFrame, volumes: DataFrame, str
     touching = stored(merge_join(mine, theirs, place), "stitch-faces")
 
     root = ["up_patch", "up_label"]
+    some = ["vol_id", F.floor(F.col("patch_id") / FACES), "face"]  # faces of all patches lie at the same place
     tree = stored(sizes.select(*item, F.col("patch_id").alias("up_patch"), F.col("label").alias("up_label")), "stitch-tree")
     while True:
         up = tree.select("vol_id", F.col("patch_id").alias("from_patch"), F.col("label").alias("from_label"), *root)
         below = merge_join(theirs, up, ["vol_id", "from_patch", "from_label"]).groupBy("vol_id", "patch_id", "face", *root).agg(F.count(F.lit(1)).alias("area_b"))
         contact = merge_join(touching, up, ["vol_id", "from_patch", "from_label"]).select(*item, "face", *root, F.lit(0).cast("long").alias("z"), "y", "x")
-        found = contact_continuity(contact, [*item, "face", *root]).join(areas, [*item, "face"]).join(below, ["vol_id", "patch_id", "face", *root])
+        found = contact_continuity(contact, [*item, "face", *root], some).join(areas, [*item, "face"]).join(below, ["vol_id", "patch_id", "face", *root])
         found = found.withColumn("iom", F.col("contact_total") / (F.least("area_a", "area_b") + 1e-6))
         found = found.where((F.col("iom") >= min_iom) & (F.col("contact_largest") >= min_largest) & (F.col("contact_ratio") >= min_ratio))
         # of equal candidates the first by face and label
