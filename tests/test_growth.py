@@ -1,10 +1,13 @@
 """What keeps the queries on voxels within memory as their tables grow."""
 
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxframe.llm import suffix_dedup
 from voxframe.operators import components, segment
 from voxframe.plans.queries import queries
 from voxframe.sources import fixtures as fx
@@ -64,3 +67,16 @@ def test_costs_of_all_pairs_are_made_in_many_tasks(spark):
     masks = spark.range(60).selectExpr("'v' AS vol_id", "id AS query_id", "id AS z", "0L AS y", "0L AS x", "0.5D AS prob")
     found = segment.mask_cost_matrix(masks, masks.selectExpr("vol_id", "z", "y", "x", "query_id AS label"), 100)
     assert found.count() == 3600 and "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_shard_of_bytes_takes_some_forty_times_its_bytes():
+    """op5: it took 90 times as much."""
+    draw = np.random.default_rng(0)
+    sizes = draw.integers(50, 76, 8000)
+    units = draw.integers(97, 105, sizes.sum()).astype(np.uint8)
+    units[len(units) // 2 : len(units) // 2 * 2] = units[: len(units) // 2]
+    tracemalloc.start()
+    suffix_dedup.suffix_windows(units, sizes, np.arange(len(sizes)), 50)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50 * len(units)
