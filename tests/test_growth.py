@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxframe.llm import suffix_dedup
+from voxframe.llm import quality, suffix_dedup
 from voxframe.operators import components, metric, segment
 from voxframe.plans.queries import queries
 from voxframe.sources import fixtures as fx
@@ -95,3 +95,16 @@ def test_a_block_meets_all_that_ask_it_at_once(spark, monkeypatch):
     for i, (a, b) in at.items():
         brute = sorted((float(np.sqrt((a - c) ** 2 + (b - d) ** 2)), j) for j, (c, d) in at.items() if j != i)[:4]
         assert [x[1:] for x in sorted(found[i])] == brute
+
+
+def test_scores_of_a_batch_are_made_a_thousand_rows_at_a_time():
+    """pipeline: all features of a batch were at hand at once."""
+    model = quality.Model(np.zeros(quality.N_STATS), np.ones(quality.N_STATS), 256, 0.03, 11)
+    model.weights = np.random.default_rng(1).normal(size=len(model.weights))
+    stats = np.random.default_rng(0).normal(size=(10000, quality.N_STATS))
+    tracemalloc.start()
+    found = model.raw(stats)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2e7
+    assert np.allclose(found, model.phi(stats) @ model.weights) and model.raw(stats[:0]).shape == (0,)

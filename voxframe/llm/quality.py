@@ -21,6 +21,8 @@ from .common import SLICE_BYTES, held_out, slices, text_buffers, word_spans, wor
 #: Byte groups whose shares are statistics.
 GROUPS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t", ".", ",", "!", "?", "|", "#", "$", "%", "&", "*", "\"'", "-_", "()[]{}<>", ":;/\\@=+~^`"]
 N_STATS = len(GROUPS) + 1 + 12
+#: Rows whose features are at hand at once.
+ROWS = 1000
 
 
 def _group_table() -> np.ndarray:
@@ -105,7 +107,7 @@ class Model:
         return np.hstack([np.ones((len(x), 1)), x * 0.1, np.sqrt(2 / len(self.phase)) * np.cos(x @ self.project + self.phase)])
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        return self.phi(stats) @ self.weights
+        return np.concatenate([np.zeros(0), *(self.phi(stats[i : i + ROWS]) @ self.weights for i in range(0, len(stats), ROWS))])
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.raw(stats), *self.steps), 0, 1)
@@ -132,8 +134,9 @@ def fit(examples: DataFrame, dims: int = 256, gamma: float = 0.03, ridge: float
         total = np.zeros((size, size + 1))
         for batch in batches:
             stats, y = _matrix(batch.column("stats")), batch.column("label").to_numpy(zero_copy_only=False).astype(float)
-            phi = model.phi(stats)
-            total += phi.T @ np.hstack([phi, y[:, None]])
+            for i in range(0, len(stats), ROWS):
+                phi = model.phi(stats[i : i + ROWS])
+                total += phi.T @ np.hstack([phi, y[i : i + ROWS, None]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array([x.tobytes() for x in total], pa.binary())], names=["i", "row"])
 
     def added(table: pa.Table) -> pa.Table:
