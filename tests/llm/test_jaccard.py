@@ -96,3 +96,16 @@ def test_unlike_sets_share_few_tiles():
         keys = [jaccard.tile_keys(np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64)), 80) for _ in range(200)]
         assert np.unique(np.concatenate(keys), return_counts=True)[1].max() <= 2
         assert max(map(len, keys)) <= 0.55 * size + 4
+
+
+def test_wide_table_goes_once_read(spark):
+    """Bitmaps and tiles, as large as the texts, do not lie in the shared folder while later steps run."""
+    from pathlib import Path
+
+    rows = [(i, " ".join(f"w{(i // 2) * 50 + k}" for k in range(40)) + (" end" if i % 2 else "")) for i in range(20)]
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("jaccard-signed-*"))
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    (made,) = set(folder.glob("jaccard-signed-*")) - before
+    assert spark.read.parquet(str(made)).count() == 0
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == {i: (36 + i % 2, i - i % 2) for i, _ in rows}

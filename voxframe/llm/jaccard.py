@@ -273,6 +273,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     a, b = (own.select(F.col("id").alias(c), F.col("size").alias(f"{c}_size"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
     pairs = pairs.select("a", F.col("y.id").alias("b")).distinct().join(a, "a").join(b, "b")
     maybe = work.keep(pairs.mapInArrow(possible(percent), "a long, b long"), "maybe")
+    # bitmaps and tiles, most of what is written, have been read for the last time
+    named = work.keep(signed.select("id", "size", "digest"), "named")
+    own = named.where("size > 0 and id is not null")
+    work.drop("signed")
 
     # larger tiles in blocks; a set's homes are blocks of its fullest tiles
     cuts = F.ceil(F.col("weight") * 8 / block_bytes).cast("int")
@@ -309,7 +313,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
             labels = graph_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found))
     work.drop("met", "large", "homes", "sets", "left", "maybe")
 
-    out = signed.select("id", "size", "digest").join(firsts, "digest", "left").join(labels.withColumnRenamed("id", "first"), "first", "left")
+    out = named.join(firsts, "digest", "left").join(labels.withColumnRenamed("id", "first"), "first", "left")
     component = F.when(F.col("id").isNull(), None).when(F.col("size") == 0, F.col("id")).otherwise(F.coalesce("component", "first"))
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"))
 
