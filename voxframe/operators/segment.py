@@ -186,18 +186,53 @@ def postprocess_patch(queries: DataFrame, patch_voxels: int, threshold: float =
     return drop_full_foreground(voxel_argmax(resolve_conflicts(chosen, threshold, min_voxels=min_voxels, scores=best), threshold, min_voxels, min_score, k, best), patch_voxels)
 
 
-def overlap_matrix(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """Common voxels of each predicted and true label that touch, with both sizes."""
-    sizes = lambda v, name: v.groupBy(*CELL).agg(F.count(F.lit(1)).alias(f"{name}_size")).withColumnRenamed("label", name)
+#: Tiles of all pairs for each partition of a shuffle.
+TILES = 16
+
+
+def every_pair(left: DataFrame, right: DataFrame, common: DataFrame, one: str, other: str, sums: Sequence[str]) -> DataFrame:
+    """All pairs of ``left`` (vol_id, ``one``, ...) and ``right`` (vol_id, ``other``, ...) of a volume, with the ``sums`` of ``common`` (vol_id, ``one``, ``other``, sums), 0 where it has no row.
+
+    Pairs are made tile by tile, of a share of either side, and are never shuffled or sorted: what two names have in common travels with the first, as a map of the tile's other names.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = int(np.ceil(np.sqrt(TILES * parts)))
+    share = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    met = common.where(F.col(other).isNotNull()).groupBy("vol_id", one, share(other).alias("_b")).agg(F.map_from_entries(F.collect_list(F.struct(F.col(other), F.struct(*sums)))).alias("_common"))
+    # one key, so that it stays whole where all rows are known to be of one volume, and no other exchange follows
+    tile = lambda a, b: F.concat(F.col("vol_id").cast("string"), F.lit("/"), a, F.lit("/"), b)
+    mine = merge_join(left.withColumn("_b", every), met, ["vol_id", one, "_b"], "left").withColumn("_tile", tile(share(one), F.col("_b")))
+    theirs = right.withColumn("_a", every).withColumn("_tile", tile(F.col("_a"), share(other))).drop("vol_id")
+    # sides are few rows and would be dealt over few tasks, but their pairs are many
+    pairs = merge_join(mine.repartition(parts, "_tile"), theirs.repartition(parts, "_tile"), ["_tile"])
+    pairs = pairs.withColumn("_common", F.col("_common")[F.col(other)])
+    return pairs.select(*left.columns, *(c for c in right.columns if c != "vol_id"), *(F.coalesce(F.col(f"_common.{c}"), F.lit(0)).alias(c) for c in sums))
+
+
+def _sizes(voxels: DataFrame, name: str) -> DataFrame:
+    return voxels.groupBy(*CELL).agg(F.count(F.lit(1)).alias(f"{name}_size")).withColumnRenamed("label", name)
+
+
+def touching_labels(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """(vol_id, pred, truth, overlap): common voxels of each predicted and true label that have any."""
     both = merge_join(pred.select(*VOXEL, F.col("label").alias("pred")), truth.select(*VOXEL, F.col("label").alias("truth")), VOXEL)
-    both = both.groupBy("vol_id", "pred", "truth").agg(F.count(F.lit(1)).alias("overlap"))
-    return both.join(sizes(pred, "pred"), ["vol_id", "pred"]).join(sizes(truth, "truth"), ["vol_id", "truth"])
+    return both.groupBy("vol_id", "pred", "truth").agg(F.count(F.lit(1)).alias("overlap"))
 
 
-def dice_matrix(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """1 - (2 I + 1) / (P + G + 1) for each pair that overlaps; all other pairs have I = 0."""
+def overlap_matrix(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """Common voxels of every predicted with every true label of its volume, 0 included, with both sizes."""
+    return every_pair(_sizes(pred, "pred"), _sizes(truth, "truth"), touching_labels(pred, truth), "pred", "truth", ["overlap"])
+
+
+def _with_dice(pairs: DataFrame) -> DataFrame:
     i, p, g = F.col("overlap"), F.col("pred_size"), F.col("truth_size")
-    return overlap_matrix(pred, truth).select("vol_id", "pred", "truth", "overlap", (1 - (2 * i + 1) / (p + g + 1)).alias("dice_cost"), (i / (p + g - i)).alias("iou"))
+    return pairs.select("vol_id", "pred", "truth", "overlap", (1 - (2 * i + 1) / (p + g + 1)).alias("dice_cost"), (i / (p + g - i)).alias("iou"))
+
+
+def dice_matrix(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """1 - (2 I + 1) / (P + G + 1) for every pair of a predicted and a true label of a volume, also of labels without a common voxel."""
+    return _with_dice(overlap_matrix(pred, truth))
 
 
 def mask_cost_matrix(queries: DataFrame, truth: DataFrame, voxels: int, eps: float = 1e-7) -> DataFrame:
@@ -221,8 +256,9 @@ def mask_cost_matrix(queries: DataFrame, truth: DataFrame, voxels: int, eps: flo
 
 
 def match_instances(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """Pairs that are each other's cheapest, one to one."""
-    m = dice_matrix(pred, truth)
+    """Pairs with a common voxel that are each other's cheapest, one to one."""
+    m = touching_labels(pred, truth).join(_sizes(pred, "pred"), ["vol_id", "pred"]).join(_sizes(truth, "truth"), ["vol_id", "truth"])
+    m = _with_dice(m)
     for mine, other in (("pred", "truth"), ("truth", "pred")):
         m = m.withColumn(f"_{mine}", F.row_number().over(Window.partitionBy("vol_id", mine).orderBy("dice_cost", other)))
     return m.where("_pred = 1 AND _truth = 1").drop("_pred", "_truth")
