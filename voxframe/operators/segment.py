@@ -246,10 +246,8 @@ def mask_cost_matrix(queries: DataFrame, truth: DataFrame, voxels: int, eps: flo
     mine = q.groupBy("vol_id", "query_id").agg(F.sum("prob").alias("_p"), F.sum("_neg").alias("_neg"), F.count(F.lit(1)).alias("_rows"))
     theirs = truth.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_t"))
     common = merge_join(q, truth.select(*VOXEL, "label"), VOXEL).groupBy("vol_id", "query_id", "label").agg(F.sum("prob").alias("_i"), F.sum(F.col("_pos") - F.col("_neg")).alias("_gain"), F.count(F.lit(1)).alias("_n"))
-    # sums are few and would be dealt over one task, but their pairs are many
-    mine = mine.repartition(int(mine.sparkSession.conf.get("spark.sql.shuffle.partitions")), "vol_id", "query_id")
-    out = merge_join(mine.join(theirs, "vol_id"), common, ["vol_id", "query_id", "label"], "left")
-    i, gain, n = (F.coalesce(c, F.lit(0)) for c in ("_i", "_gain", "_n"))
+    out = every_pair(mine, theirs, common, "query_id", "label", ["_i", "_gain", "_n"])
+    i, gain, n = F.col("_i"), F.col("_gain"), F.col("_n")
     off_pos, off_neg = -float(np.log(eps)), -float(np.log(1 - eps))
     bce = (F.col("_neg") + (voxels - F.col("_rows")) * off_neg + gain + (F.col("_t") - n) * (off_pos - off_neg)) / voxels
     return out.select("vol_id", "query_id", "label", (1 - (2 * i + 1) / (F.col("_p") + F.col("_t") + 1)).alias("dice_cost"), bce.alias("bce_cost"))
