@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import shuffles_let_go
 from .npy import read_npy
 
 VOXEL_ROWS = "path string, z long, y long, x long, value double"
@@ -173,10 +174,15 @@ def load_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
     return tuple(spark.read.parquet(f"{path}/{p}") for p in ("vertices", "faces", "meta"))
 
 
-def write_training_patches(images: DataFrame, labels: DataFrame, path: str) -> None:
-    """Image and label rows of the patches, a folder for each patch."""
-    images.write.partitionBy("patch_name").parquet(f"{path}/images")
-    labels.write.partitionBy("patch_name").parquet(f"{path}/labels")
+def write_training_patches(images: DataFrame, labels: DataFrame, path: str, folders: bool = False) -> None:
+    """Image and label rows of the patches; a patch's rows lie together in one file, in the order of the names.
+
+    With ``folders`` a patch has a folder of its own. For many patches these take more time to make and to list than their rows.
+    """
+    for rows, name in ((images, "images"), (labels, "labels")):
+        with shuffles_let_go(rows.sparkSession):
+            out = rows.repartition("vol_id", "patch_name").sortWithinPartitions("vol_id", "patch_name").write
+            (out.partitionBy("patch_name") if folders else out).parquet(f"{path}/{name}")
 
 
 def sample_volume(spark: SparkSession, shape: Sequence[int] = (16, 64, 64), cells: int = 20, radius: int = 5, seed: int = 0) -> DataFrame:
