@@ -10,9 +10,9 @@ import os
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from glob import glob
+from uuid import uuid4
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 SCHEMA = "path string, t long, z long, y long, x long, value double"
 #: Bytes of an array that one partition reads.
 SLAB = 1 << 26
+#: Values that a task holds when a file is written.
+PIECE = 1 << 20
 
 
 def local_path(path: str) -> str:
@@ -146,24 +148,58 @@ def read_npy(spark: SparkSession, path: str, z: tuple[int, int] | None = None, t
 def write_npy(rows: DataFrame, volumes: DataFrame, folder: str, value: str = "value", slices: int = 16) -> DataFrame:
     """.npy files of so many slices each, voxels without a row 0; (path, vol_id, z), one row per file.
 
-    A file is put in place when it is whole, so a task that runs again does no harm. The tables of volumes gives the extents.
+    A task holds ``PIECE`` values at most, whatever the file's size: pieces are written beside the file and then put together. A file is put in
+    place when it is whole, so a task that runs again does no harm. The table of volumes gives the extents; a voxel outside is an error.
     """
-    own = local_path(folder)
+    own, piece, run = local_path(folder), PIECE, uuid4().hex
+    name = lambda vol, chunk: f"{own}/{vol}/z{chunk * slices:06d}.npy"
 
-    def save(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        from uuid import uuid4
-
-        vol, chunk = key[0], int(key[1])
-        nz, ny, nx = (int(pdf[c].iloc[0]) for c in ("nz", "ny", "nx"))
-        a = np.zeros((min(slices, nz - chunk * slices), ny, nx))
-        a[pdf.z - chunk * slices, pdf.y, pdf.x] = pdf[value]
-        path = f"{own}/{vol}/z{chunk * slices:06d}.npy"
+    def put(path: str, write) -> None:
         os.makedirs(os.path.dirname(path), exist_ok=True)
         part = f"{path}.{uuid4().hex}"
         with open(part, "wb") as f:
-            np.save(f, a)
+            write(f)
         os.replace(part, path)
-        return pd.DataFrame({"path": [path], "vol_id": [vol], "z": [chunk * slices]})
+
+    def save(table: pa.Table) -> pa.Table:
+        first = table.select(["vol_id", "nz", "ny", "nx", "chunk", "piece"]).slice(0, 1)
+        key, a = first.to_pylist()[0], np.zeros(piece)
+        a[table.column("at").to_numpy()] = table.column(value).to_numpy()
+        path = f"{name(key['vol_id'], key['chunk'])}.{run}/{key['piece']}"
+        put(path, lambda f: f.write(a.tobytes()))
+        return first.append_column("part", pa.array([path]))
+
+    def join(table: pa.Table) -> pa.Table:
+        key = table.slice(0, 1).to_pylist()[0]
+        shape = (min(slices, key["nz"] - key["chunk"] * slices), key["ny"], key["nx"])
+        path, total = name(key["vol_id"], key["chunk"]), shape[0] * shape[1] * shape[2]
+        parts = dict(zip(table.column("piece").to_pylist(), table.column("part").to_pylist()))
+
+        def write(f) -> None:
+            np.lib.format.write_array_header_1_0(f, {"descr": np.lib.format.dtype_to_descr(np.dtype(float)), "fortran_order": False, "shape": shape})
+            for i in range(-(-total // piece)):
+                n = 8 * min(piece, total - i * piece)
+                if i in parts:
+                    with open(parts[i], "rb") as part:
+                        f.write(part.read(n))
+                else:
+                    f.write(bytes(n))
+
+        # where an earlier attempt has put the file in place, pieces may be gone
+        if all(map(os.path.exists, parts.values())) or not os.path.exists(path):
+            put(path, write)
+        for part in parts.values():
+            if os.path.exists(part):
+                os.remove(part)
+        if os.path.isdir(f"{path}.{run}") and not os.listdir(f"{path}.{run}"):
+            os.rmdir(f"{path}.{run}")
+        return pa.table({"path": [path], "vol_id": [key["vol_id"]], "z": [key["chunk"] * slices]})
 
     at = rows.join(volumes.select("vol_id", "nz", "ny", "nx"), "vol_id").withColumn("chunk", F.expr(f"z div {slices}"))
-    return at.select("vol_id", "chunk", "z", "y", "x", value, "nz", "ny", "nx").groupBy("vol_id", "chunk").applyInPandas(save, "path string, vol_id string, z long")
+    inside = F.expr(" AND ".join(f"{a} >= 0 AND {a} < n{a}" for a in "zyx"))
+    place = F.expr(f"((z - chunk * {slices}) * ny + y) * nx + x")
+    at = at.withColumn("at", F.when(inside, place).otherwise(F.raise_error(F.lit("a voxel lies outside its volume")).cast("long")))
+    keys = ["vol_id", *(F.col(f"n{a}").cast("long").alias(f"n{a}") for a in "zyx"), F.col("chunk").cast("long").alias("chunk")]
+    at = at.select(*keys, F.expr(f"at div {piece}").alias("piece"), F.expr(f"at % {piece}").alias("at"), F.col(value).cast("double").alias(value))
+    parts = at.groupBy("vol_id", "nz", "ny", "nx", "chunk", "piece").applyInArrow(save, "vol_id string, nz long, ny long, nx long, chunk long, piece long, part string")
+    return parts.groupBy("vol_id", "chunk").applyInArrow(join, "path string, vol_id string, z long")
