@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.joins import merge_join
+from ..functions.scratch import stored
 from .voxel import VOXEL
 
 
@@ -61,32 +61,41 @@ _FACES = {
 
 
 def exposed_faces(voxels: DataFrame) -> DataFrame:
-    """(vol_id, label, z, y, x, axis, side) of the voxel faces behind which another label or nothing lies."""
-    v = voxels.select(*VOXEL, "label")
-    out = None
-    for a in "zyx":
-        line = Window.partitionBy(*[c for c in VOXEL if c != a]).orderBy(a)
+    """(vol_id, label, z, y, x, axis, side) of the voxel faces behind which another label or nothing lies.
+
+    Neighbours along y and x are in the same slice, so one shuffle serves both axes, and one more the third.
+    """
+    v, open_ = voxels.select(*VOXEL, "label"), []
+    for a, dealt in (("y", "z"), ("x", "z"), ("z", "y")):
+        if a != "x":
+            v = v.withColumn("_at", F.xxhash64("vol_id", dealt)).repartition("_at")  # a key that stays where all rows are known to be of one volume
+        line = Window.partitionBy("_at", "vol_id", dealt, *[c for c in "zyx" if c not in (a, dealt)]).orderBy(a)
         for side, f in ((-1, F.lag), (1, F.lead)):
-            near = v.withColumns({"_l": f("label").over(line), "_at": f(a).over(line)})
-            open_ = near.where(F.col("_at").isNull() | (F.col("_at") != F.col(a) + side) | (F.col("_l") != F.col("label")))
-            rows = open_.select("vol_id", "label", "z", "y", "x", F.lit(a).alias("axis"), F.lit(side).alias("side"))
-            out = rows if out is None else out.union(rows)
-    return out
+            same = (f(a).over(line) == F.col(a) + side) & (f("label").over(line) == F.col("label"))
+            v = v.withColumn(f"_{a}{side}", ~F.coalesce(same, F.lit(False)))
+            open_.append(F.when(F.col(f"_{a}{side}"), F.struct(F.lit(a).alias("axis"), F.lit(side).alias("side"))))
+    found = v.withColumn("_f", F.explode(F.filter(F.array(*open_), lambda f: f.isNotNull())))
+    return found.select("vol_id", "label", "z", "y", "x", "_f.axis", "_f.side")
 
 
 def surface_faces(voxels: DataFrame, z_ratio: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(vertices, faces) of each label's boundary: corners numbered from 0 in each label with coordinates X, Y, Z * z_ratio, and two triangles for each voxel face."""
-    corners = F.create_map(*(x for (a, s), c in _FACES.items() for x in (F.lit(f"{a}{s}"), F.array(*(F.array(*map(F.lit, p)) for p in c)))))
-    faces = exposed_faces(voxels).withColumn("_c", corners[F.concat("axis", F.col("side").cast("string"))])
-    key = lambda i: F.struct((F.col("z") + F.col("_c")[i][0]).alias("z"), (F.col("y") + F.col("_c")[i][1]).alias("y"), (F.col("x") + F.col("_c")[i][2]).alias("x"))
-    quads = faces.select("vol_id", "label", F.array(*(key(i) for i in range(4))).alias("q"))
-    points = quads.select("vol_id", "label", F.explode("q").alias("p")).distinct()
-    vertices = points.withColumn("vertex", (F.row_number().over(Window.partitionBy("vol_id", "label").orderBy("p.z", "p.y", "p.x")) - 1).cast("long"))
-    triangles = quads.withColumn("_t", F.explode(F.array(F.array(F.lit(0), F.lit(1), F.lit(2)), F.array(F.lit(0), F.lit(2), F.lit(3)))))
-    for i, name in enumerate("abc"):
-        triangles = merge_join(triangles.withColumn("p", F.col("q")[F.col("_t")[i]]), vertices.withColumnRenamed("vertex", name), ["vol_id", "label", "p"]).drop("p")
-    where = vertices.select("vol_id", "label", "vertex", F.col("p.x").cast("double").alias("X"), F.col("p.y").cast("double").alias("Y"), (F.col("p.z") * z_ratio).alias("Z"))
-    return where, triangles.select("vol_id", "label", "a", "b", "c")
+    """(vertices, faces) of each label's boundary: corners numbered from 0 in each label with coordinates X, Y, Z * z_ratio, and two triangles for each voxel face.
+
+    A label's faces meet in one shuffle. Corners get their numbers there and return to their faces, without a join; the face at which a corner is seen first gives its row to the vertices.
+    """
+    corners = F.create_map(*(x for (a, s), c in _FACES.items() for x in (F.lit(f"{a}{s}"), F.array(*(F.struct(F.lit(i).alias("i"), *(F.lit(v).alias(n) for v, n in zip(p, "zyx"))) for i, p in enumerate(c))))))
+    face = ["vol_id", "label", "z", "y", "x", "_s"]
+    faces = exposed_faces(voxels).select(*face[:-1], F.concat("axis", F.col("side").cast("string")).alias("_s")).withColumn("_at", F.xxhash64("vol_id", "label")).repartition("_at")
+    at = faces.withColumn("_c", F.explode(corners[F.col("_s")])).select("_at", *face, "_c.i", *((F.col(n) + F.col(f"_c.{n}")).alias(f"_{n}") for n in "zyx"))
+    place = Window.partitionBy("_at", "vol_id", "label").orderBy("_z", "_y", "_x")
+    at = at.withColumn("_v", (F.dense_rank().over(place) - 1).cast("long")).withColumn("_own", F.row_number().over(place) - F.rank().over(place) == 0)
+    of = lambda c: [F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for i in range(4)]
+    quads = stored(at.groupBy("_at", *face).agg(*of("_v"), *of("_own")).drop("_at"), "mesh-faces")
+    own = F.filter(F.array(*(F.when(F.col(f"_own{i}"), F.struct(F.col(f"_v{i}").alias("vertex"), corners[F.col("_s")][i].alias("c"))) for i in range(4))), lambda p: p.isNotNull())
+    seen = quads.select(*face[:-1], F.explode(own).alias("p"))
+    vertices = seen.select("vol_id", "label", "p.vertex", (F.col("x") + F.col("p.c.x")).cast("double").alias("X"), (F.col("y") + F.col("p.c.y")).cast("double").alias("Y"), ((F.col("z") + F.col("p.c.z")) * z_ratio).alias("Z"))
+    halves = F.array(*(F.struct(*(F.col(f"_v{i}").alias(n) for n, i in zip("abc", t))) for t in ((0, 1, 2), (0, 2, 3))))
+    return vertices, quads.select("vol_id", "label", F.explode(halves).alias("t")).select("vol_id", "label", "t.a", "t.b", "t.c")
 
 
 def smooth_polygons(vertices: DataFrame, samples: int = 16) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scratch import shuffles_let_go
+from ..functions.scratch import shuffles_let_go, write_table
 from .npy import read_npy
 
 VOXEL_ROWS = "path string, z long, y long, x long, value double"
@@ -164,8 +164,7 @@ def append_log(entries: DataFrame, path: str) -> None:
 
 def save_mesh(vertices: DataFrame, faces: DataFrame, path: str, z_ratio: float = 1.0) -> None:
     """Vertices, faces and counts of a mesh."""
-    vertices.write.parquet(f"{path}/vertices")
-    faces.write.parquet(f"{path}/faces")
+    vertices, faces = (write_table(rows, f"{path}/{name}") for rows, name in ((vertices, "vertices"), (faces, "faces")))
     counts = vertices.groupBy("vol_id", "label").agg(F.count(F.lit(1)).alias("n_vertices")).join(faces.groupBy("vol_id", "label").agg(F.count(F.lit(1)).alias("n_faces")), ["vol_id", "label"], "left")
     counts.withColumn("z_ratio", F.lit(z_ratio)).write.parquet(f"{path}/meta")
 
